@@ -766,7 +766,7 @@ def _(spark, d):
     return documents.assemble(accounts(spark, d)).select(
         "customer_id", "page", F.size("accounts").alias("n_accounts"),
         F.array_join(F.transform("accounts", lambda a: a["fip_id"]), ",").alias("banks"),
-        npround(F.aggregate("accounts", F.lit(0.0), lambda s, a: s + F.coalesce(a["balance"], F.lit(0.0))), 2).alias("balance"))
+        npround(F.aggregate("accounts", F.lit(0.0), lambda s, a: s + F.coalesce(a["balance"], F.lit(0.0))), 4).alias("balance"))
 
 
 def _tax_documents(spark, d):
@@ -923,7 +923,9 @@ def _(spark, d):
     # append mode keeps a window until the watermark passes it, so short windows close here
     w = alerts.healthcare_windows(_txn_stream(spark, d), watermark="1 hour", length="2 days", slide="1 day")
     out = _consumed(spark, w, "windows")
-    return out.withColumn("healthcare_spend_30d", npround(col("healthcare_spend_30d"), 2))
+    ts_type = table(spark, d, "events").schema["ts"].dataType
+    return out.withColumns({"window_start": col("window_start").cast(ts_type), "window_end": col("window_end").cast(ts_type),
+                            "healthcare_spend_30d": npround(col("healthcare_spend_30d"), 2)})
 
 
 # --- models ------------------------------------------------------------------
@@ -949,7 +951,7 @@ def _(spark, d):
     prep = ml.fit_preparation(f)
     values = ml.prepare(f, prep).select("LoanID", vector_to_array("features").alias("v"))
     return values.select("LoanID", F.size("v").alias("n_features"), npround(
-        F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("m2_class_weights")

@@ -11,6 +11,9 @@ from forewarn.plans.scan import running
 
 col = F.col
 
+# exact sums that do not depend on the order of rows
+MONEY, MONEY_SUM = "decimal(18,4)", "decimal(28,4)"
+
 ACCOUNT_TYPE = ("struct<fip_id:string,account_type:string,masked_account:string,balance:double,is_primary:boolean,"
                 "loan_type:string,emi:double,outstanding:double,interest_rate:double>")
 PROFILE_SCHEMA = (
@@ -28,8 +31,8 @@ def flatten(profiles: DataFrame) -> DataFrame:
 def rollup(profiles: DataFrame) -> DataFrame:
     """Per profile row: EMI total, savings banks, balance total, any fintech lender; no shuffle."""
     def total(field: str) -> Column:
-        return npround(F.aggregate(F.transform("accounts", lambda a: F.coalesce(a[field], F.lit(0.0))),
-                                   F.lit(0.0), lambda acc, x: acc + x), 2)
+        return npround(F.aggregate("accounts", F.lit(0).cast(MONEY_SUM), lambda acc, a: (
+            acc + F.coalesce(a[field], F.lit(0.0)).cast(MONEY)).cast(MONEY_SUM)).cast("double"), 2)
 
     savings = F.filter("accounts", lambda a: a["account_type"] == "SAVINGS")
     return profiles.select(
@@ -41,10 +44,13 @@ def rollup(profiles: DataFrame) -> DataFrame:
 
 def rollup_flat(accounts: DataFrame) -> DataFrame:
     """The same totals per customer from flat account rows, pre-aggregated before the shuffle."""
+    def total(field: str) -> Column:
+        return npround(F.sum(F.coalesce(field, F.lit(0.0)).cast(MONEY)).cast("double"), 2)
+
     return accounts.groupBy("customer_id").agg(
-        npround(F.sum(F.coalesce("emi", F.lit(0.0))), 2).alias("total_emi_other_banks"),
+        total("emi").alias("total_emi_other_banks"),
         F.count_distinct(F.when(col("account_type") == "SAVINGS", col("fip_id"))).alias("num_banks"),
-        npround(F.sum(F.coalesce("balance", F.lit(0.0))), 2).alias("total_balance_all_banks"),
+        total("balance").alias("total_balance_all_banks"),
         F.max(col("fip_id").isin(rules.FINTECH_LENDERS)).alias("has_fintech_loans"))
 
 
