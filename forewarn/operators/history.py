@@ -140,7 +140,7 @@ def point_in_time(spine: DataFrame, view: DataFrame, entity: str, ts: str, featu
     left = spine.select(
         col(entity), col(ts), F.lit(1).alias("_spine"), col(spine_key).cast("string").alias("_tie"),
         F.struct(*own).alias("_own"))
-    right = view.select(
+    right = view.where(col(entity).isNotNull()).select(
         col(entity), col(ts), F.lit(0).alias("_spine"), col(tiebreak).cast("string").alias("_tie"),
         payload.alias("_view"))
     rows = left.unionByName(right, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forewarn.functions import rules
@@ -17,11 +17,12 @@ def band_distribution(df: DataFrame, band: str = "risk_band") -> DataFrame:
     spark = df.sparkSession
     bands = spark.createDataFrame([(i, b) for i, b in enumerate(rules.BAND_NAMES)], "band_order int, band string")
     counts = df.groupBy(col(band).alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    # both sides are one row per band
-    filled = F.broadcast(bands).join(counts, "band", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    totals = counts.agg(F.sum("n").alias("total"))
-    return filled.withColumn("total", totals.scalar()).select(
-        "band_order", "band", "n", npround(F.try_divide(col("n"), col("total")) * 100, 4).alias("pct"))
+    # from here on one row per band
+    every = Window.partitionBy(F.lit(0))
+    counts = counts.withColumn("total", F.sum("n").over(every))
+    filled = F.broadcast(bands).join(counts, "band", "left").withColumns(
+        {"n": F.coalesce("n", F.lit(0)), "total": F.max("total").over(every)})
+    return filled.select("band_order", "band", "n", npround(F.try_divide(col("n"), col("total")) * 100, 4).alias("pct"))
 
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:
@@ -162,7 +163,10 @@ def retain_latest(log: DataFrame, order: list[Column], keep: int = 5000, limit:
 
 def band_top_list(df: DataFrame, clicks: int = 0, page: int = 20, band: str = "risk_band",
                   score: str = "risk_score_v2", key: str = "LoanID") -> DataFrame:
-    """Highest scores per band, ``page * (clicks + 1)`` rows, with the band's total."""
+    """Highest scores per band, ``page * (clicks + 1)`` rows, with the band's total.
+
+    Reads its input twice, narrowly; give it a written scored table at scale.
+    """
     k = page * (clicks + 1)
     top = top_k(df.select(key, band, score), k, [F.desc_nulls_last(score), F.asc(key)], by=[band], salt_key=key)
     totals = df.groupBy(band).agg(F.count(F.lit(1)).alias("band_total"))

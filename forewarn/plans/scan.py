@@ -12,6 +12,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _with_chunk(df: DataFrame, chunk: Column) -> DataFrame:
+    """``_chunk`` without nulls: a missing one becomes the lowest value, as nulls come first in the order."""
+    out = df.withColumn("_chunk", chunk)
+    kind = out.schema["_chunk"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        lowest = F.lit("0001-01-01 00:00:00").cast(kind)
+    elif isinstance(kind, T.StringType):
+        lowest = F.lit("")
+    else:
+        lowest = F.lit(-(1 << 31)).cast(kind)
+    return out.withColumn("_chunk", F.coalesce("_chunk", lowest))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
@@ -29,7 +43,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
             ``reset`` holds; such a row itself gives 0 plus its own count
     peers   rows equal on ``order`` share one result (range frame); not with ``since``
 
-    ``keys`` may be empty (one global order).  Keys must not be null.
+    ``keys`` may be empty (one global order).  Every row is kept; rows without a
+    key are not carried across chunks.
     """
     sums, lasts, firsts, since = sums or {}, lasts or {}, firsts or {}, since or {}
     part = [*keys, "_chunk"]
@@ -39,7 +54,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
 
     # an explicit exchange on (keys, chunk): one on the keys alone would also
     # satisfy the window and put a hot key back into a single task
-    base = df.withColumn("_chunk", chunk)
+    base = _with_chunk(df, chunk)
     local = base.repartition(*part).withColumns({
         **{f"_s_{n}": F.sum(c).over(frame) for n, c in sums.items()},
         **{f"_l_{n}": F.last(c, ignorenulls=True).over(frame) for n, c in lasts.items()},
@@ -87,7 +102,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, *,
         carried = F.coalesce(F.col(f"_bc_{n}"), F.lit(0)) - F.coalesce(F.col(f"_br_{n}"), F.lit(0))
         return F.coalesce(in_chunk, F.col(f"_c_{n}") + carried)
 
-    out = local.join(carry, part, "inner")
+    out = local.join(carry, part, "left")
     return out.select(
         *df.columns,
         *[plus_carry(f"_s_{n}", f"_bs_{n}").alias(n) for n in sums],

@@ -26,6 +26,9 @@ def local(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "forewa
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
              .config("spark.sql.shuffle.partitions", shuffle_partitions)
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             # no call-site capture per column expression: halves the time to build long plans
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+            .config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)

@@ -50,11 +50,11 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def load_best(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first path that exists, as parquet."""
+def load_best(spark: SparkSession, paths: list[str], **csv_options) -> DataFrame:
+    """The first path that exists: ``*.csv`` with header (``csv_options`` such as a schema), else parquet."""
     for path in paths:
         if path_exists(spark, path):
-            return spark.read.parquet(path)
+            return spark.read.csv(path, header=True, **csv_options) if path.endswith(".csv") else spark.read.parquet(path)
     raise FileNotFoundError(f"none of these exists: {paths}")
 
 

@@ -127,39 +127,44 @@ def _stepper(idle_ms: int | None):
             state.remove()
             return
         pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
-        kind, amount = pdf["type"], pdf["amount"].to_numpy(float)
+        n = len(pdf)
+        take = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))
+        cols = {c: pdf[c].to_numpy()[take] for c in pdf.columns}
+        kind, amount, ts = cols["type"], cols["amount"].astype(float), cols["ts"]
         if state.exists:
             n0, credits0, debits0, balance0, fails0, streak0, salary0, health0, income = state.get
         else:
             n0, credits0, debits0, balance0, fails0, streak0, salary0, health0 = 0, 0.0, 0.0, 0.0, 0, 0, None, 0.0
-            income = float(pdf["monthly_income"].iloc[0])
+            income = float(cols["monthly_income"][0])
 
-        credit, debit = kind.isin(["credit", "salary"]).to_numpy(), (kind == "debit").to_numpy()
-        salary, failed = (kind == "salary").to_numpy(), (kind == "payment_failure").to_numpy()
+        salary, failed, debit = kind == "salary", kind == "payment_failure", kind == "debit"
+        credit = salary | (kind == "credit")
+        signed = np.where(credit, amount, np.where(debit, -amount, 0.0))
         fails = failed.cumsum()
         at_reset = np.maximum.accumulate(np.where(salary, fails, -1))
-        paid = pdf["ts"].where(salary).ffill()
-        if salary0 is not None:
-            paid = paid.fillna(pd.Timestamp(salary0))
-
-        pdf["transaction_count"] = n0 + np.arange(1, len(pdf) + 1)
-        pdf["total_credits"] = credits0 + np.where(credit, amount, 0.0).cumsum()
-        pdf["total_debits"] = debits0 + np.where(debit, amount, 0.0).cumsum()
-        pdf["current_balance_estimate"] = balance0 + np.where(credit, amount, np.where(debit, -amount, 0.0)).cumsum()
-        pdf["payment_failures"] = fails0 + fails
-        pdf["consecutive_failures"] = np.where(at_reset >= 0, fails - at_reset, fails + streak0)
-        pdf["last_salary_date"] = paid
-        pdf["healthcare_spend"] = health0 + np.where(pdf["category"] == "healthcare", amount, 0.0).cumsum()
-        pdf["baseline_monthly_income"] = income
-
-        last = pdf.iloc[-1]
+        # position of the newest salary up to each row, -1 before the first
+        paid_at = np.maximum.accumulate(np.where(salary, np.arange(n), -1))
+        before = np.datetime64("NaT") if salary0 is None else np.datetime64(pd.Timestamp(salary0))
+
+        out = pd.DataFrame({
+            **cols,
+            "transaction_count": n0 + np.arange(1, n + 1),
+            "total_credits": credits0 + np.where(credit, amount, 0.0).cumsum(),
+            "total_debits": debits0 + np.where(debit, amount, 0.0).cumsum(),
+            "current_balance_estimate": balance0 + signed.cumsum(),
+            "payment_failures": fails0 + fails,
+            "consecutive_failures": np.where(at_reset >= 0, fails - at_reset, fails + streak0),
+            "last_salary_date": np.where(paid_at >= 0, ts[paid_at], before.astype(ts.dtype)),
+            "healthcare_spend": health0 + np.where(cols["category"] == "healthcare", amount, 0.0).cumsum(),
+            "baseline_monthly_income": np.full(n, income),
+        })
+        last = {c: out[c].iat[n - 1] for c in kinds}
         state.update(tuple(
-            None if pd.isna(last[n]) else last[n].to_pydatetime() if t == "timestamp" else
-            int(last[n]) if t == "long" else float(last[n]) for n, t in kinds.items()))
+            None if pd.isna(last[c]) else last[c].to_pydatetime() if t == "timestamp" else
+            int(last[c]) if t == "long" else float(last[c]) for c, t in kinds.items()))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pdf
+        yield out
 
     return step
 

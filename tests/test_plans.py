@@ -113,3 +113,9 @@ def test_profiles_of_a_hot_customer_are_paged(spark):
     flat = {r.customer_id: r for r in documents.rollup_flat(acc).collect()}
     assert flat["hot"].total_balance_all_banks == 142.5 and flat["x"].has_fintech_loans and not flat["hot"].has_fintech_loans
     docs.unpersist()
+
+
+def test_rows_without_time_or_key_are_kept(spark):
+    df = spark.createDataFrame([(1, "a", None, 1), (2, "a", 5, 2), (3, None, 7, 4), (4, "a", 60, 8)], "id int, key string, t long, v long")
+    got = running(df, ["key"], ["t", "id"], F.floor(col("t") / 50), sums={"s": col("v")})
+    assert {r.id: r.s for r in got.collect()} == {1: 1, 2: 3, 3: 4, 4: 11}
