@@ -649,7 +649,7 @@ def _(spark, d):
 
 @query("a14_log_retention")
 def _(spark, d):
-    return reporting.retain_latest(_prediction_log(spark, d), [F.desc("ts"), F.desc("LoanID")]).select(
+    return reporting.retain_latest(_prediction_log(spark, d), chunk="day").select(
         "LoanID", "ts", "risk_band")
 
 
@@ -734,7 +734,7 @@ def _(spark, d):
 @query("w7_random_subsample")
 def _(spark, d):
     return tables.random_subsample(loan_snapshot(spark, d).select("LoanID", "LoanAmount"), 1000, "LoanID",
-                                   order=col("LoanID") * 7919 % 100003)
+                                   order=col("LoanID") * 7919 % 100003, space=100003)
 
 
 @query("w8_stratified_split")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forewarn.functions import rules
 from forewarn.functions.semantics import first_match, npround, number_text
-from forewarn.plans.topk import top_k
+from forewarn.plans.topk import leading_chunks, top_k
 
 col = F.col
 
@@ -153,11 +153,13 @@ def prediction_log_stats(log: DataFrame, ts: str = "ts", score: str = "risk_scor
         F.max_by(F.struct(col("LoanID"), col(score), col(band)), F.struct(col(ts), col("LoanID"))).alias("latest"))
 
 
-def retain_latest(log: DataFrame, order: list[Column], keep: int = 5000, limit: int = 10000,
-                  salt_key: str = "LoanID") -> DataFrame:
+def retain_latest(log: DataFrame, ts: str = "ts", key: str = "LoanID", keep: int = 5000, limit: int = 10000,
+                  chunk: str = "hour") -> DataFrame:
     """The whole log while it has at most ``limit`` rows, else its newest ``keep`` rows."""
     size = log.agg(F.count(F.lit(1)).alias("n"))
-    newest = top_k(log, limit, order, salt_key=salt_key, rank="_rank")
+    recent = leading_chunks(log, limit, F.coalesce(F.date_trunc(chunk, ts).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")),
+                            descending=True)
+    newest = top_k(recent, limit, [F.desc(ts), F.desc(key)], salt_key=key, rank="_rank")
     return newest.where((size.scalar() <= limit) | (col("_rank") <= keep)).drop("_rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forewarn.functions import rules
 from forewarn.functions.semantics import has
 from forewarn.plans.scan import running
-from forewarn.plans.topk import top_k
+from forewarn.plans.topk import leading_chunks, top_k
 
 col = F.col
 HASH_SPACE = 1 << 30
@@ -72,10 +72,14 @@ def stable_hash(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(HASH_SPACE))
 
 
-def random_subsample(df: DataFrame, n: int, key: str, order: Column | None = None) -> DataFrame:
-    """n rows in hash order of the key, the same rows on every run."""
-    h = stable_hash(col(key)) if order is None else order
-    return top_k(df.withColumn("_h", h), n, [F.asc("_h"), F.asc(key)], salt_key=key, rank="_rank").drop("_rank", "_h")
+def random_subsample(df: DataFrame, n: int, key: str, order: Column | None = None, space: int = HASH_SPACE) -> DataFrame:
+    """n rows in hash order of the key, the same rows on every run.
+
+    ``order`` replaces the hash; its values lie in ``0 .. space - 1``.
+    """
+    hashed = df.withColumn("_h", stable_hash(col(key)) if order is None else order)
+    first = leading_chunks(hashed, n, F.floor(col("_h") * HASH_CHUNKS / space))
+    return top_k(first, n, [F.asc("_h"), F.asc(key)], salt_key=key, rank="_rank").drop("_rank", "_h")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, order: Column | None = None,

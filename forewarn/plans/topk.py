@@ -27,3 +27,19 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] = (), salt_k
             df = df.repartition(*[F.col(c) for c in by])
     outer = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= k)
+
+
+def leading_chunks(df: DataFrame, k: int, chunk: Column, descending: bool = False) -> DataFrame:
+    """Rows of the first chunks that together hold at least k rows; all rows if there are fewer.
+
+    For large k: one pre-aggregated count per chunk finds the boundary, so only
+    about k rows and not k per task move on to the exact ranking.  ``chunk``
+    must follow the ranking's leading order.
+    """
+    sign = -1 if descending else 1
+    counts = df.groupBy(chunk.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy(F.asc("_c") if sign > 0 else F.desc("_c")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).where(F.col("_before") < k)
+    edge = needed.agg((F.max("_c") if sign > 0 else F.min("_c")).alias("e")).scalar()
+    return df.where(chunk <= edge if sign > 0 else chunk >= edge)

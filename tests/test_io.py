@@ -37,10 +37,9 @@ def test_request_defaults(spark):
 
 
 def test_log_retention(spark):
-    log = spark.range(30).select(F.col("id").alias("LoanID"), F.col("id").alias("ts"))
-    order = [F.desc("ts")]
-    assert reporting.retain_latest(log, order, keep=5, limit=30).count() == 30
-    assert sorted(r.ts for r in reporting.retain_latest(log, order, keep=5, limit=29).collect()) == [25, 26, 27, 28, 29]
+    log = spark.range(30).select(F.col("id").alias("LoanID"), F.timestamp_seconds(F.col("id") * 1000).alias("ts"))
+    assert reporting.retain_latest(log, keep=5, limit=30).count() == 30
+    assert sorted(r.LoanID for r in reporting.retain_latest(log, keep=5, limit=29).collect()) == [25, 26, 27, 28, 29]
 
 
 def test_workflow_writes_by_band_and_prunes(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from forewarn.operators import documents, history, tables
 from forewarn.plans.scan import running
-from forewarn.plans.topk import top_k
+from forewarn.plans.topk import leading_chunks, top_k
 
 col = F.col
 
@@ -119,3 +119,21 @@ def test_rows_without_time_or_key_are_kept(spark):
     df = spark.createDataFrame([(1, "a", None, 1), (2, "a", 5, 2), (3, None, 7, 4), (4, "a", 60, 8)], "id int, key string, t long, v long")
     got = running(df, ["key"], ["t", "id"], F.floor(col("t") / 50), sums={"s": col("v")})
     assert {r.id: r.s for r in got.collect()} == {1: 1, 2: 3, 3: 4, 4: 11}
+
+
+def test_leading_chunks_hold_the_top_rows(spark):
+    df = skewed(spark)
+    for desc in (False, True):
+        part = leading_chunks(df, 400, F.floor(col("t") / 20), descending=desc)
+        order = [F.desc("t") if desc else F.asc("t"), F.asc("id")]
+        assert 400 <= part.count() < 800
+        assert [r.id for r in top_k(part, 400, order, salt_key="id").orderBy("rank").collect()] == [
+            r.id for r in df.orderBy(*order).limit(400).collect()]
+    assert leading_chunks(df, 10**6, F.floor(col("t") / 20)).count() == 3000
+
+
+def test_subsample_size_and_repeatability(spark):
+    df = skewed(spark)
+    a = {r.id for r in tables.random_subsample(df, 250, "id").collect()}
+    assert len(a) == 250 and a == {r.id for r in tables.random_subsample(df.repartition(3), 250, "id").collect()}
+    assert tables.random_subsample(df, 5000, "id").count() == 3000
