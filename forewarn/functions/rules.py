@@ -138,6 +138,63 @@ INTERVENTIONS = {
         "4️⃣ Insurance claim assistance\n"
         "A support specialist will call you within the hour."),
 }
+# special situation -> (message, reason); the marks are filled from the row
+SCENARIO_TEXTS = {
+    "cash_reliable": (
+        "Reminder: EMI of {emi} due in {days} days. Your cash deposit pattern is consistent. "
+        "Please ensure deposit before EMI date.",
+        "CDPS={cdps}%, CSR={csr} — reliable cash pattern"),
+    "cash_stressed": (
+        "Your EMI of {emi} is due in {days} days. Current balance: {balance}. "
+        "Need help? We can offer flexible options. Call us.",
+        "CDPS={cdps}%, CSR={csr} — irregular cash flow"),
+    "student_stress": (
+        # the amount mark stays as it is in this text
+        "We notice your family may be facing some financial changes. "
+        "Your education loan EMI of ₹{emi:,.0f} is protected. "
+        "Options: moratorium extension, income-based repayment. "
+        "Focus on your studies — we'll work with your family.",
+        "Parent income instability detected"),
+    "student_strong": (None, "Strong family financial support"),
+    "multi_loan": (
+        "Managing {loans} active credit lines with DTI of {dti}% requires careful planning. "
+        "Would you like us to help consolidate? We can restructure into a single lower EMI.",
+        "{loans} loans, DTI={dti}% — consolidation recommended"),
+    "medical_pension": (
+        "We understand medical emergencies are stressful. We can offer:\n"
+        "1. {emi_3x} medical emergency loan at 0% for 60 days\n"
+        "2. 3-month EMI payment holiday\n"
+        "3. Insurance claim assistance\n"
+        "Your pension is safe. Let us help.",
+        "Healthcare spike {spike}x, pension=stable"),
+    "medical_no_pension": (
+        "We understand medical emergencies are stressful. We can offer:\n"
+        "1. {emi_3x} medical emergency loan at 0% for 60 days\n"
+        "2. 3-month EMI payment holiday\n"
+        "3. Insurance claim assistance\n"
+        "Your pension is safe. Let us help.",
+        "Healthcare spike {spike}x, pension=none"),
+    "gig_partial": (
+        "We noticed your primary platform earnings stopped. Since you earn on other platforms, we can offer "
+        "a flexible EMI plan until your account is restored.",
+        "{zero_days} zero-income days but {platforms} platforms active"),
+    "gig_full": (
+        "We noticed your platform earnings stopped. Is everything okay? We can help:\n"
+        "1. 30-day payment holiday\n"
+        "2. {emi} emergency loan to cover EMI\n"
+        "3. Connect to alternate gig platforms\n"
+        "Reply YES to speak with support.",
+        "{zero_days} zero-income days, single platform dependency"),
+    "layoff": (
+        "We noticed news about your industry/employer. Your financial wellness is important to us. "
+        "If you're affected, we can:\n"
+        "1. Pause EMIs for 3 months\n"
+        "2. Provide job placement assistance\n"
+        "3. Offer emergency funds\n"
+        "This is proactive support, not a collection call.",
+        "Peer default rate={peer_rate}, industry stress={stress}"),
+}
+
 DUE_DATE_TEXT = "upcoming"
 MESSAGE_LIMIT = 200
 

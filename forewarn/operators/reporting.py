@@ -157,8 +157,9 @@ def retain_latest(log: DataFrame, ts: str = "ts", key: str = "LoanID", keep: int
                   chunk: str = "hour") -> DataFrame:
     """The whole log while it has at most ``limit`` rows, else its newest ``keep`` rows."""
     size = log.agg(F.count(F.lit(1)).alias("n"))
-    recent = leading_chunks(log, limit, F.coalesce(F.date_trunc(chunk, ts).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")),
-                            descending=True)
+    oldest = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    part = F.coalesce(F.date_trunc(chunk, ts).cast("timestamp"), oldest)
+    recent = leading_chunks(log, limit, part, descending=True)
     newest = top_k(recent, limit, [F.desc(ts), F.desc(key)], salt_key=key, rank="_rank")
     return newest.where((size.scalar() <= limit) | (col("_rank") <= keep)).drop("_rank")
 

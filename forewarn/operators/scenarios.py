@@ -33,93 +33,71 @@ def _whole(c: Column) -> Column:
     return c.cast("long").cast("string")
 
 
-def _join(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _render(template: str, fields: dict[str, Column]) -> Column:
+    """Text with ``{field}`` marks as one concat; unknown marks stay as they are."""
+    parts, rest = [], template
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [F.lit(head), fields[name]] if name in fields else [F.lit(head + "{" + name + "}")]
+    return F.concat(*parts, F.lit(rest)) if parts else F.lit(rest)
+
+
+def _arm(when: Column, scenario: str, override: str | None, text: str, **fields: Column) -> Arm:
+    message, reason = rules.SCENARIO_TEXTS[text]
+    return Arm(when, scenario, override, message and _render(message, fields), _render(reason, fields))
 
 
 def cash_businessman(df: DataFrame) -> list[Arm]:
     cdps, csr = or_default(opt(df, "cdps", 0.0), 0.0), or_default(opt(df, "cash_sufficiency_ratio", 0.0), 0.0)
     days, balance = opt(df, "cash_deposit_before_emi_days", 99.0), opt(df, "avg_monthly_balance_6m", 0.0)
     emi = emi_simple(df)
-    figures = _join("CDPS=", _num(cdps, ".0f"), "%, CSR=", _num(csr, ".2f"))
     hit = (opt(df, "segment_category") == "BUSINESS_OWNER") & (balance < emi) & (days <= 3)
-    return [
-        Arm(hit & (cdps > 70) & (csr >= 1.1), "CASH_BUSINESSMAN_RELIABLE", "MODERATE",
-            _join("Reminder: EMI of ", _money(emi), " due in ", _whole(days), " days. Your cash deposit pattern"
-                  " is consistent. Please ensure deposit before EMI date."),
-            _join(figures, " — reliable cash pattern")),
-        Arm(hit, "CASH_BUSINESSMAN_STRESSED", "CRITICAL",
-            _join("Your EMI of ", _money(emi), " is due in ", _whole(days), " days. Current balance: ",
-                  _money(balance), ". Need help? We can offer flexible options. Call us."),
-            _join(figures, " — irregular cash flow"))]
+    fields = dict(emi=_money(emi), days=_whole(days), balance=_money(balance), cdps=_num(cdps, ".0f"), csr=_num(csr, ".2f"))
+    return [_arm(hit & (cdps > 70) & (csr >= 1.1), "CASH_BUSINESSMAN_RELIABLE", "MODERATE", "cash_reliable", **fields),
+            _arm(hit, "CASH_BUSINESSMAN_STRESSED", "CRITICAL", "cash_stressed", **fields)]
 
 
 def student_family(df: DataFrame) -> list[Arm]:
     student = F.contains(opt(df, "detailed_segment", "").cast("string"), F.lit("STUDENT"))
     stable, income = opt(df, "parent_income_stable", 1.0), opt(df, "parent_income_monthly", 0.0)
-    return [
-        Arm(student & (stable == 0), "STUDENT_FAMILY_STRESS", "HIGH RISK",
-            # the amount placeholder is part of the fixed text here
-            "We notice your family may be facing some financial changes. "
-            "Your education loan EMI of ₹{emi:,.0f} is protected. "
-            "Options: moratorium extension, income-based repayment. "
-            "Focus on your studies — we'll work with your family.",
-            "Parent income instability detected"),
-        Arm(student & (income > 0) & (income > emi_simple(df) * 3), "STUDENT_FAMILY_STRONG", "LOW RISK",
-            None, "Strong family financial support")]
+    supported = (income > 0) & (income > emi_simple(df) * 3)
+    return [_arm(student & (stable == 0), "STUDENT_FAMILY_STRESS", "HIGH RISK", "student_stress"),
+            _arm(student & supported, "STUDENT_FAMILY_STRONG", "LOW RISK", "student_strong")]
 
 
 def multiple_loans(df: DataFrame) -> list[Arm]:
     loans = opt(df, "NumCreditLines", 1)
     dti = opt(df, "computed_dti") if has(df, "computed_dti") else opt(df, "DTIRatio", 30.0)
-    dti_text = _num(dti, ".1f%")
-    return [Arm((loans >= 3) & (dti > 45), "MULTI_LOAN_STRESS", None,
-                _join("Managing ", _whole(loans), " active credit lines with DTI of ", dti_text,
-                      " requires careful planning. Would you like us to help consolidate?"
-                      " We can restructure into a single lower EMI."),
-                _join(_whole(loans), " loans, DTI=", dti_text, " — consolidation recommended"))]
+    return [_arm((loans >= 3) & (dti > 45), "MULTI_LOAN_STRESS", None, "multi_loan",
+                 loans=_whole(loans), dti=_num(dti, ".1f"))]
 
 
 def retired_healthcare(df: DataFrame) -> list[Arm]:
     spike = or_default(opt(df, "healthcare_spike_ratio", 1.0), 1.0)
     hit = (opt(df, "segment_category", "") == "RETIRED") & (spike > 3.0)
-    text = _join("We understand medical emergencies are stressful. We can offer:\n1. ", _money(emi_simple(df) * 3),
-                 " medical emergency loan at 0% for 60 days\n2. 3-month EMI payment holiday\n"
-                 "3. Insurance claim assistance\nYour pension is safe. Let us help.")
-    reason = _join("Healthcare spike ", _num(spike, ".1fx"), ", pension=")
-    return [
-        Arm(hit & (opt(df, "monthly_pension", 0.0) > 0), "RETIRED_MEDICAL_EMERGENCY", "MODERATE", text,
-            _join(reason, "stable")),
-        Arm(hit, "RETIRED_MEDICAL_EMERGENCY", "CRITICAL", text, _join(reason, "none"))]
+    fields = dict(emi_3x=_money(emi_simple(df) * 3), spike=_num(spike, ".1f"))
+    return [_arm(hit & (opt(df, "monthly_pension", 0.0) > 0), "RETIRED_MEDICAL_EMERGENCY", "MODERATE",
+                 "medical_pension", **fields),
+            _arm(hit, "RETIRED_MEDICAL_EMERGENCY", "CRITICAL", "medical_no_pension", **fields)]
 
 
 def gig_suspension(df: DataFrame) -> list[Arm]:
     zero_days = or_default(opt(df, "zero_income_days_month", 0.0), 0.0)
     platforms = or_default(opt(df, "multi_platform_count", 1.0), 1.0)
     hit = (opt(df, "segment_category", "") == "SELF_EMPLOYED") & (zero_days > 10)
-    return [
-        Arm(hit & (platforms > 1), "GIG_PARTIAL_SUSPENSION", "MODERATE",
-            "We noticed your primary platform earnings stopped. Since you earn on other platforms, we can offer "
-            "a flexible EMI plan until your account is restored.",
-            _join(_whole(zero_days), " zero-income days but ", _whole(platforms), " platforms active")),
-        Arm(hit, "GIG_FULL_SUSPENSION", "CRITICAL",
-            _join("We noticed your platform earnings stopped. Is everything okay? We can help:\n"
-                  "1. 30-day payment holiday\n2. ", _money(emi_simple(df)), " emergency loan to cover EMI\n"
-                  "3. Connect to alternate gig platforms\nReply YES to speak with support."),
-            _join(_whole(zero_days), " zero-income days, single platform dependency"))]
+    fields = dict(emi=_money(emi_simple(df)), zero_days=_whole(zero_days), platforms=_whole(platforms))
+    return [_arm(hit & (platforms > 1), "GIG_PARTIAL_SUSPENSION", "MODERATE", "gig_partial", **fields),
+            _arm(hit, "GIG_FULL_SUSPENSION", "CRITICAL", "gig_full", **fields)]
 
 
 def employer_layoff(df: DataFrame) -> list[Arm]:
     peer = or_default(opt(df, "peer_default_rate", 0.0), 0.0)
     stress = or_default(opt(df, "industry_stress_index", 30.0), 30.0)
     health = or_default(opt(df, "employer_health_score", 70.0), 70.0)
-    hit = (peer > 0.15) | ((stress > 70) & (health < 40))
-    return [Arm((opt(df, "segment_category", "") == "EMPLOYED") & hit, "EMPLOYER_LAYOFF_RISK", None,
-                "We noticed news about your industry/employer. Your financial wellness is important to us. "
-                "If you're affected, we can:\n1. Pause EMIs for 3 months\n2. Provide job placement assistance\n"
-                "3. Offer emergency funds\nThis is proactive support, not a collection call.",
-                _join("Peer default rate=", _num(peer, ".1%"), ", industry stress=",
-                      F.coalesce(stress.cast("string"), F.lit("nan"))))]
+    hit = (opt(df, "segment_category", "") == "EMPLOYED") & ((peer > 0.15) | ((stress > 70) & (health < 40)))
+    return [_arm(hit, "EMPLOYER_LAYOFF_RISK", None, "layoff", peer_rate=_num(peer, ".1%"),
+                 stress=F.coalesce(stress.cast("string"), F.lit("nan")))]
 
 
 SCENARIOS = [cash_businessman, student_family, multiple_loans, retired_healthcare, gig_suspension, employer_layoff]
@@ -156,16 +134,6 @@ def at_risk(df: DataFrame) -> DataFrame:
     return df.where(F.col("risk_band").isin(rules.AT_RISK_BANDS))
 
 
-def _render(template: str, fields: dict[str, Column]) -> Column:
-    """Text with ``{field}`` marks as one concat."""
-    parts, rest = [], template
-    while "{" in rest:
-        head, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        parts += [F.lit(head), fields[name]]
-    return F.concat(*parts, F.lit(rest))
-
-
 def message(df: DataFrame, band: Column, days_to_emi: Column) -> Column:
     """Outreach text of a band, cut after 200 characters; null for bands without one."""
     emi = emi_simple(df)
