@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, sharding
+from llm import exact_dedup, permutation_index, sharding
 from llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+NEIGHBOURS = 10
+
+
+@query("op1_permutation_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", NEIGHBOURS)
+
+
 @query("op2_exact_dedup", sql=r"""
     WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
     g AS (SELECT *, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
