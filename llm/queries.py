@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, permutation_index, sharding
+from llm import exact_dedup, packing, permutation_index, sharding
 from llm.common import table
 
 QUERIES = {}
@@ -38,6 +39,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Public vocabulary files; their folder is that of the installed package, on every machine.
+VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
+                  ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+END_ID = 2
+SEQUENCE = 1024
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), end_id=END_ID, capacity=SEQUENCE, **VOCABULARY)
+    return packing.pack(pieces, SEQUENCE)
+
+
 SHARDS = 16
 
 
