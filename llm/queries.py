@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, packing, permutation_index, sharding
+from llm import exact_dedup, jaccard_join, packing, permutation_index, sharding
 from llm.common import table
 
 QUERIES = {}
@@ -39,6 +39,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 #: Public vocabulary files; their folder is that of the installed package, on every machine.
 VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
                   ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
