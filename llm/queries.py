@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, jaccard_join, packing, permutation_index, sharding
+from llm import exact_dedup, jaccard_join, packing, permutation_index, sharding, toxicity
 from llm.common import table
 
 QUERIES = {}
@@ -44,6 +44,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out), label_col="toxic")
+    return toxicity.scored(docs, model, threshold=0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 #: Public vocabulary files; their folder is that of the installed package, on every machine.
 VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
                   ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
