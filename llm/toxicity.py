@@ -4,8 +4,8 @@ Two zstandard dictionaries are trained on labelled text: the ordinary one on win
 is the same with the text typical of toxic documents added.  Typical are words that follow clearly more different words in
 toxic than in ordinary documents; counting the words before them, and not their occurrences, keeps copied documents from
 counting twice.  Every window of a document is compressed with both; what the toxic dictionary saves is the window's
-evidence.  Calibrated thresholds: a logistic fit on labelled documents that trained no dictionary turns the largest
-saving, the sum of the clear ones and the number of windows into a probability.
+evidence.  Calibrated thresholds: a logistic fit turns the largest saving, the sum of the clear ones and the number of
+windows into a probability; the evidence it learns from comes from toxic dictionaries of the other folds.
 
 The fit reads at most ``SAMPLE`` labelled documents of each class, those with the smallest keyed hashes of their ids;
 scoring reads every whole text.
@@ -34,10 +34,11 @@ DICTIONARY = 16384
 TRAINING_WINDOWS = 20_000
 #: Words added to the toxic dictionary at most, and the least of their log-odds, two standard errors below the estimate.
 TYPICAL = 200
-LEAST_ODDS = 1.0
+LEAST_ODDS = 1.5
 #: A saving of so many bytes is clear.
 CLEAR = 2
 BLOCK = 1 << 20
+FOLDS = 3
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else max(b, 32) for b in range(256))
 
 
@@ -162,27 +163,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [hashed.where(F.col("y") == y).orderBy("k", "id").limit(sample) for y in (0, 1)]  # bounded, so broadcast
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = saved(rows.join(F.broadcast(chosen[0].union(chosen[1])), "id").dropDuplicates(["id"])
-                  .withColumn("trains", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(4)) != 0), "toxic-sample")
+                  .withColumn("fold", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(FOLDS)).cast("int")), "toxic-sample")
     sizes = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model(b"", b"", None, float(max(sizes, default=0)))
-    train = texts.where("trains")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
+            for text, y, fold in zip(*[batch[c].to_pylist() for c in ("text", "y", "fold")]):
                 found = (text or "").encode().translate(_FOLDED).split()
                 pairs = list(set(zip(found, [b"", *found])))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()),
-                                                  pa.array([y] * len(pairs), pa.int32())], ["word", "before", "y"])
-
-    seen = train.select("text", "y").mapInArrow(words, "word binary, before binary, y int").distinct()
-    counts = saved(seen.groupBy("word").agg(*[F.count_if(F.col("y") == y).alias(f"n{y}") for y in (0, 1)]), "toxic-words")
-    n0, n1 = counts.agg(F.sum("n0"), F.sum("n1")).first()
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    odds = F.log(a / (F.lit(n1) - a + 1)) - F.log(b / (F.lit(n0) - b + 1)) - 2 * F.sqrt(1 / a + 1 / b)
-    typical = counts.where("n1 >= 3").select("word", odds.alias("odds")).where(F.col("odds") > LEAST_ODDS).orderBy(
-        F.desc("odds"), "word").limit(TYPICAL).collect()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()),
+                     pa.array([y] * len(pairs), pa.int32()), pa.array([fold] * len(pairs), pa.int32())], ["word", "before", "y", "fold"])
+
+    seen = texts.select("text", "y", "fold").mapInArrow(words, "word binary, before binary, y int, fold int").distinct()
+    cells = [(y, f) for y in (0, 1) for f in range(FOLDS)]
+    counts = saved(seen.groupBy("word").agg(*[F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}_{f}") for y, f in cells]),
+                   "toxic-words")
+    totals = counts.agg(*[F.sum(f"n{y}_{f}").alias(f"n{y}_{f}") for y, f in cells]).first()
+
+    def typical(folds: list[int]) -> bytes:
+        """The words typical of the toxic documents of ``folds``, the strongest last, where references are shortest."""
+        n0, n1 = [sum((F.col(f"n{y}_{f}") for f in folds), F.lit(0)) for y in (0, 1)]
+        all0, all1 = [float(sum(totals[f"n{y}_{f}"] for f in folds)) for y in (0, 1)]
+        a, b = n1 + 0.5, n0 + 0.5
+        odds = F.log(a / (F.lit(all1 + 1) - a)) - F.log(b / (F.lit(all0 + 1) - b)) - 2 * F.sqrt(1 / a + 1 / b)
+        found = counts.where(n1 >= 3).select("word", odds.alias("odds")).where(F.col("odds") > LEAST_ODDS)
+        return b"".join(b" " + bytes(r["word"]) for r in reversed(found.orderBy(F.desc("odds"), "word").limit(TYPICAL).collect())) + b" "
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,17 +198,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 data, _, offsets, lengths = windows(_parts(text), stride=WINDOW)
                 yield pa.RecordBatch.from_arrays([pa.array([data[o: o + n] for o, n in zip(offsets, lengths)], pa.binary())], ["window"])
 
-    ordinary = train.where("y = 0").select("text").mapInArrow(pieces, "window binary").where("length(window) <= 1000").distinct()
+    ordinary = texts.where("y = 0").select("text").mapInArrow(pieces, "window binary").where("length(window) <= 1000").distinct()
     samples = [bytes(r[0]) for r in ordinary.orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()]
     try:
         base = zstandard.train_dictionary(DICTIONARY, samples, d=6, k=48).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         base = b" ".join(samples)[-DICTIONARY:] or b" " * 8
-    added = b"".join(b" " + bytes(r["word"]) for r in reversed(typical))  # the strongest last, where references are shortest
-    model = Model(base, base + added + b" ", None, 0.0)
-    rest = [(r["y"], *r["e"]) for r in _evidence(texts.where("not trains"), model, "y").collect()]  # four numbers a document
-    found = np.array(rest, dtype=float).reshape(-1, 4)
-    return Model(model.ordinary, model.toxic, calibrated(found[:, 1:], found[:, 0]), 0.0)
+    found = []
+    for fold in range(FOLDS):  # four numbers a document of the sample
+        part = Model(base, base + typical([f for f in range(FOLDS) if f != fold]), None, 0.0)
+        found += [(r["y"], *r["e"]) for r in _evidence(texts.where(F.col("fold") == fold), part, "y").collect()]
+    found = np.array(found, dtype=float).reshape(-1, 4)
+    return Model(base, base + typical(list(range(FOLDS))), calibrated(found[:, 1:], found[:, 0]), 0.0)
 
 
 def _evidence(texts: DataFrame, model: Model, keep: str) -> DataFrame:
