@@ -6,8 +6,8 @@
     occur in any other span has no partner and leaves.
 3.  What remains of a span, rarest first, is cut to the prefix that must meet the prefix of every partner.  Classes with
     identical prefix and size collapse into one group.
-4.  Groups that meet in a prefix shingle are compared with that shingle's hub, the group with the fewest lone shingles,
-    and the members of a group with its first one.  Pairs that a 512-bit parity sketch proves too different are left
+4.  Groups that meet in a prefix shingle are compared with that shingle's hub, the group with the fewest lone shingles
+    first and another one in each further round, and the members of a group with its first one.  Pairs that a 512-bit parity sketch proves too different are left
     out; the others are expanded to members and verified on the whole sets.
 5.  What the links so far do not connect is compared in full: groups that meet, or a group's own members, as long as
     they lie in different components.  Pairs within a component cannot change a component.
@@ -33,6 +33,8 @@ from llm.components import components
 SKETCH = [f"s{i}" for i in range(8)]
 #: Ids whose texts are fetched for verification are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Rounds of comparisons with one hub for each shingle; what they leave apart is compared in full.
+STAR_ROUNDS = 3
 
 
 class Bounds:
@@ -60,11 +62,6 @@ class Bounds:
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
-    def places_fit(self, na: Column, ra: Column, nb: Column, rb: Column) -> Column:
-        """ra, rb: shingles of each set that cannot be shared; what remains must suffice."""
-        most = F.least(na - ra, nb - rb)
-        return most * (self.num + self.den) >= (na + nb) * self.num
-
     def sketches_fit(self, na: Column, a: list[Column], nb: Column, b: list[Column]) -> Column:
         apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
         return apart * (self.num + self.den) <= (na + nb) * (self.den - self.num)
@@ -155,35 +152,40 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         F.min_by(F.struct("n", "many", "prefix", *SKETCH), "id").alias("v"), F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
         .select("g", "first", "size", "v.*"), "jaccard-groups")
 
-    # 4: stars
-    marks = groups.select("g", "first", "n", "many", "size", *SKETCH, F.posexplode("prefix").alias("place", "h"))
-    lone = bounds.span(F.col("n")) - F.col("many")
-    hubs = marks.groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct(
-        lone.alias("lone"), F.col("first").alias("b"), F.col("n").alias("nb"), *SKETCH)).alias("hub")).where("groups > 1")
-    fits = bounds.sizes_fit(F.col("n"), F.col("hub.nb")) & bounds.sketches_fit(
-        F.col("n"), [F.col(s) for s in SKETCH], F.col("hub.nb"), [F.col(f"hub.{s}") for s in SKETCH])
-    stars = marks.select("h", "first", "n", *SKETCH).join(hubs, "h").where(
-        (F.col("first") != F.col("hub.b")) & fits).select(F.col("first").alias("a"), F.col("hub.b").alias("b"))
-    first = groups.where("size > 1").select("g", F.col("first").alias("b"), *[F.col(s).alias(f"b{s}") for s in SKETCH])
-    within = members.join(first, "g").where((F.col("id") != F.col("b")) & bounds.sketches_fit(
-        F.col("n"), [F.col(s) for s in SKETCH], F.col("n"), [F.col(f"b{s}") for s in SKETCH])).select(F.col("id").alias("a"), "b")
+    # 4: stars; hubs are first the groups with the fewest lone shingles, then others for what is still apart
+    c = F.col
     args = docs, id_col, text_col, width, bounds
-    links = saved(_verified(*args, stars.union(within).distinct()), "jaccard-links")
-    found = components(links)
-
-    # 5: what is left between components
-    placed = saved(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-placed")
-    spread = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_marks = marks.join(spread, "g")
-    mixed = open_marks.groupBy("h").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("h")
-    left = saved(open_marks.join(mixed, "h"), "jaccard-open")
+    sketch = [c(s) for s in SKETCH]
+    marks = groups.select("g", "first", "n", "size", "prefix", (bounds.span(c("n")) - c("many")).alias("lone"), *SKETCH,
+                          F.explode("prefix").alias("h"))
+    first = groups.where("size > 1").select("g", c("first").alias("b"), *[c(s).alias(f"b{s}") for s in SKETCH])
+    pairs = members.join(first, "g").where((c("id") != c("b")) & bounds.sketches_fit(
+        c("n"), sketch, c("n"), [c(f"b{s}") for s in SKETCH])).select(c("id").alias("a"), "b")
+    links, found, left, spread, placed = None, None, marks.withColumn("own", c("first")), None, None
+    for turn in range(STAR_ROUNDS):
+        rank = c("lone") if turn == 0 else F.xxhash64(F.lit(turn), "h", "first")
+        hubs = left.groupBy("h").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct(
+            rank.alias("rank"), c("first").alias("b"), c("n").alias("nb"), c("own").alias("of"), *SKETCH)).alias("hub")).where("groups > 1")
+        fits = bounds.sizes_fit(c("n"), c("hub.nb")) & bounds.sketches_fit(c("n"), sketch, c("hub.nb"), [c(f"hub.{s}") for s in SKETCH])
+        stars = left.select("h", "first", "n", "own", *SKETCH).join(hubs, "h").where((c("own") != c("hub.of")) & fits).select(
+            c("first").alias("a"), c("hub.b").alias("b"))
+        more = _verified(*args, (stars if links is not None else stars.union(pairs)).distinct())
+        links = saved(more if links is None else links.union(more), "jaccard-links")
+        found = components(links)
+        placed = saved(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-placed")
+        spread = saved(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                               F.min_by("component", "id").alias("own")), "jaccard-spread")
+        open_marks = marks.join(spread, "g")
+        mixed = open_marks.groupBy("h").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("h")
+        left = saved(open_marks.join(mixed, "h"), "jaccard-open")
+
+    # 5: what is left between components; groups that meet in several shingles are compared at the first of them
     x, y = left.alias("x"), left.alias("y")
-    c = F.col
     settled = (c("x.low") == c("x.high")) & (c("y.low") == c("y.high")) & (c("x.low") == c("y.low"))
     alone = (c("x.size") > 1) | (c("y.size") > 1) | bounds.sketches_fit(
         c("x.n"), [c(f"x.{s}") for s in SKETCH], c("y.n"), [c(f"y.{s}") for s in SKETCH])
-    meet = x.join(y, (c("x.h") == c("y.h")) & (c("x.g") < c("y.g")) & ~settled
-                  & bounds.sizes_fit(c("x.n"), c("y.n")) & alone).select(c("x.g").alias("gx"), c("y.g").alias("gy"))
+    meet = x.join(y, (c("x.h") == c("y.h")) & (c("x.g") < c("y.g")) & ~settled & bounds.sizes_fit(c("x.n"), c("y.n")) & alone
+                  & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == c("x.h"))).select(c("x.g").alias("gx"), c("y.g").alias("gy"))
     torn = spread.where("low <> high").select(F.col("g").alias("gx"), F.col("g").alias("gy"))
     side = placed.select("g", "id", "n", "component", *SKETCH)
     px = side.select(*[F.col(k).alias(f"x_{k}") for k in side.columns])
