@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows survives a lost executor and reads it once per use."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    # what only this write needed is garbage now; collecting it lets Spark remove its shuffle files
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, jaccard_join, packing, permutation_index, sharding, toxicity
+from llm import exact_dedup, jaccard_join, katz, packing, permutation_index, sharding, toxicity
 from llm.common import table
 
 QUERIES = {}
@@ -64,6 +64,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE)
 
 
+@query("op8_katz_backoff")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), folds=10, fold=0)
+    model = katz.fit(docs.where(~out))
+    return katz.scored(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 SHARDS = 16
 
 

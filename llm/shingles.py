@@ -86,37 +86,40 @@ def _shingled(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(np.array([np.sum(words * _COEFFICIENTS[: len(words)], dtype=np.uint64) + np.uint64(len(words))]))
 
 
-def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """For each text of an Arrow string column its set of shingle hashes, sorted; nulls and blank texts give none."""
+def text_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of texts in order: hashes of all their words, and where each text's words begin, with the end as last."""
     column = column.cast(pa.large_binary())
     ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset: column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    # a null takes no bytes, as Arrow writes it; its words are none in any case
     null = column.is_null().to_numpy(zero_copy_only=False)
     with np.errstate(over="ignore"):
         i = 0
         while i < len(column):
             j = i + 1
-            while j < len(column) and ends[j + 1] - ends[i] <= BLOCK:
+            while j < len(column) and ends[j + 1] - ends[i] <= BLOCK and not null[j] and not null[j - 1]:
                 j += 1
-            if ends[j] - ends[i] > BLOCK:  # one long text
+            if null[i]:
+                yield np.empty(0, np.uint64), np.zeros(2, np.int64)
+            elif ends[j] - ends[i] > BLOCK:  # one long text
                 words = _long_words(data[ends[i]: ends[j]])
-                yield np.unique(_shingled(words, width)) if not null[i] else words[:0]
+                yield words, np.array([0, len(words)])
             else:
                 begins = ends[i:j] - ends[i]
                 words, places = _hashes(data[ends[i]: ends[j]], begins)
-                cuts = np.append(np.searchsorted(places, begins), len(words))
-                whole = _shingled(words, width) if len(words) >= width else words[:0]
-                for d in range(j - i):
-                    a, b = cuts[d], cuts[d + 1]
-                    if null[i + d]:
-                        yield words[:0]
-                    elif b - a >= width:
-                        yield np.unique(whole[a: b - width + 1])
-                    else:
-                        yield _shingled(words[a:b], width)
+                yield words, np.append(np.searchsorted(places, begins), len(words))
             i = j
 
 
+def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text of an Arrow string column its set of shingle hashes, sorted; nulls and blank texts give none."""
+    for words, cuts in text_words(column):
+        with np.errstate(over="ignore"):
+            whole = _shingled(words, width) if len(words) >= width else words[:0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield np.unique(whole[a: b - width + 1]) if b - a >= width else _shingled(words[a:b], width)
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """512 bits, each the parity of the set's hashes that fall on it: sets differ in at least as many elements as bits."""
     bits = np.bincount((found >> np.uint64(7)).astype(np.int64) & 511, minlength=512) & 1
