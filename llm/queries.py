@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, jaccard_join, katz, packing, permutation_index, sharding, toxicity
-from llm.common import table
+from llm import (
+    exact_dedup, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, toxicity, training_order,
+)
+from llm.common import shared_folder, table
 
 QUERIES = {}
 ORACLE = {}
@@ -44,6 +46,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+#: Domains of a label row, and what share of the tokens each shall have.
+DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+TARGETS = {"good": 0.7, "poor": 0.2, "toxic": 0.1}
+
+
+@query("op4_soft_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN, TARGETS)[0]
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
@@ -51,6 +63,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, threshold=0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+PSEUDONYM_KEY = "for tests; keep the real one secret"
+
+
+@query("op6_pseudonyms")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY).drop("text")
+
+
 #: Public vocabulary files; their folder is that of the installed package, on every machine.
 VOCABULARY = dict(vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
                   ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
@@ -71,6 +92,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scored(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+RECORDS = 4096
+
+
+@query("op9_training_order")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.withColumn("said", F.concat_ws(": ", "role", "text"))
+    keys = ["conv_id", "turn"]
+    rows = training_order.token_sequences(said, keys, "said", SEQUENCE, END_ID, **VOCABULARY)
+    laid = training_order.ordered(rows, [*keys, "piece"], key="epoch 0")
+    return training_order.write_shards(laid, shared_folder(spark, "token-shards"), SEQUENCE, RECORDS)
+
+
 SHARDS = 16
 
 
