@@ -55,9 +55,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without later copies; all columns stay.  Of rows equal in text and id one is kept."""
     keep = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    ranked = docs.withColumn("_sha", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    # a kept id names one text; rows that repeat id and text are cut down to one by the window on exactly these
-    same = Window.partitionBy("_sha", id_col).orderBy(F.lit(0))
-    out = ranked.join(keep, ranked[f"`{id_col}`"].eqNullSafe(keep["_keep_id"]) & (ranked["_sha"] == keep["_keep_sha"]))
-    return out.withColumn("_at", F.row_number().over(same)).where("_at = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+                               "_sha": F.sha2(normalised(F.col(f"`{text_col}`")), 256)})
+    # a kept id names one text; rows that repeat both are cut down to one, in the join's own partitions
+    same = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
+    out = marked.join(keep, ["_id", "_sha"]).withColumn("_at", F.row_number().over(same)).where("_at = 1")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
