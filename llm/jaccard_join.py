@@ -156,8 +156,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     c = F.col
     args = docs, id_col, text_col, width, bounds
     sketch = [c(s) for s in SKETCH]
-    marks = groups.select("g", "first", "n", "size", "prefix", (bounds.span(c("n")) - c("many")).alias("lone"), *SKETCH,
-                          F.explode("prefix").alias("h"))
+    marks = groups.select("g", "first", "n", "size", (bounds.span(c("n")) - c("many")).alias("lone"), *SKETCH, F.explode("prefix").alias("h"))
     first = groups.where("size > 1").select("g", c("first").alias("b"), *[c(s).alias(f"b{s}") for s in SKETCH])
     pairs = members.join(first, "g").where((c("id") != c("b")) & bounds.sketches_fit(
         c("n"), sketch, c("n"), [c(f"b{s}") for s in SKETCH])).select(c("id").alias("a"), "b")
@@ -179,13 +178,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         mixed = open_marks.groupBy("h").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("h")
         left = saved(open_marks.join(mixed, "h"), "jaccard-open")
 
-    # 5: what is left between components; groups that meet in several shingles are compared at the first of them
+    # 5: what is left between components
     x, y = left.alias("x"), left.alias("y")
     settled = (c("x.low") == c("x.high")) & (c("y.low") == c("y.high")) & (c("x.low") == c("y.low"))
     alone = (c("x.size") > 1) | (c("y.size") > 1) | bounds.sketches_fit(
         c("x.n"), [c(f"x.{s}") for s in SKETCH], c("y.n"), [c(f"y.{s}") for s in SKETCH])
     meet = x.join(y, (c("x.h") == c("y.h")) & (c("x.g") < c("y.g")) & ~settled & bounds.sizes_fit(c("x.n"), c("y.n")) & alone
-                  & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == c("x.h"))).select(c("x.g").alias("gx"), c("y.g").alias("gy"))
+                  ).select(c("x.g").alias("gx"), c("y.g").alias("gy"))
     torn = spread.where("low <> high").select(F.col("g").alias("gx"), F.col("g").alias("gy"))
     side = placed.select("g", "id", "n", "component", *SKETCH)
     px = side.select(*[F.col(k).alias(f"x_{k}") for k in side.columns])
