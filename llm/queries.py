@@ -46,14 +46,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-#: Domains of a label row, and what share of the tokens each shall have.
-DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+#: What share of the tokens each domain shall have.
 TARGETS = {"good": 0.7, "poor": 0.2, "toxic": 0.1}
 
 
 @query("op4_soft_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN, TARGETS)[0]
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain, TARGETS)[0]
 
 
 @query("op5_toxicity")
