@@ -116,7 +116,7 @@ def _(spark, d):
 @query("s7_json_lines")
 def _(spark, d):
     path = io.work_dir(spark, "profiles")
-    io.write_json(documents.assemble(accounts(spark, d)), path)
+    io.write_json(documents.assemble(accounts(spark, d), PAGE), path)
     back = io.read_json(spark, path, documents.PROFILE_SCHEMA)
     return documents.flatten(back).select("customer_id", "fip_id", "account_type", "balance", "is_primary", "emi",
                                           "outstanding")
@@ -647,10 +647,13 @@ def _(spark, d):
         col("latest.LoanID").alias("latest_loan"), col("latest.risk_band").alias("latest_band"))
 
 
+LOG_SINCE = "1996-01-01 00:00:00"
+
+
 @query("a14_log_retention")
 def _(spark, d):
-    return reporting.retain_latest(_prediction_log(spark, d), chunk="day").select(
-        "LoanID", "ts", "risk_band")
+    since = F.lit(LOG_SINCE).cast("timestamp")
+    return reporting.retain_since(_prediction_log(spark, d), since).select("LoanID", "ts", "risk_band")
 
 
 @query("a15_row_aggregates")
@@ -747,13 +750,16 @@ def _(spark, d):
 
 @query("n1_flatten_accounts")
 def _(spark, d):
-    return documents.flatten(documents.assemble(accounts(spark, d))).select(
+    return documents.flatten(documents.assemble(accounts(spark, d), PAGE)).select(
         "customer_id", "fip_id", "account_type", "balance", "is_primary", "emi", "outstanding")
 
 
+PAGE = 10_000
+
+
 @query("n2_profile_rollup")
 def _(spark, d):
-    return documents.rollup(documents.assemble(accounts(spark, d)))
+    return documents.rollup(documents.assemble(accounts(spark, d), PAGE))
 
 
 @query("n2_account_rollup")
@@ -763,7 +769,7 @@ def _(spark, d):
 
 @query("n3_assemble_profiles")
 def _(spark, d):
-    return documents.assemble(accounts(spark, d)).select(
+    return documents.assemble(accounts(spark, d), PAGE).select(
         "customer_id", "page", F.size("accounts").alias("n_accounts"),
         F.array_join(F.transform("accounts", lambda a: a["fip_id"]), ",").alias("banks"),
         npround(F.aggregate("accounts", F.lit(0.0), lambda s, a: s + F.coalesce(a["balance"], F.lit(0.0))), 4).alias("balance"))
@@ -791,8 +797,7 @@ def _(spark, d):
 
 @query("n5_primary_and_funds")
 def _(spark, d):
-    primary = documents.assemble(accounts(spark, d)).where(col("page") == 0).select(
-        "customer_id", documents.primary_account().alias("a")).select("customer_id", "a.fip_id", "a.balance")
+    primary = documents.primary_accounts(accounts(spark, d))
     funds = _tax_documents(spark, d).select("customer_id", npround(documents.fund_total(), 2).alias("fund_value"))
     return primary.join(funds, "customer_id")
 
@@ -920,9 +925,9 @@ def _(spark, d):
 
 @query("t8_stream_windows")
 def _(spark, d):
-    # append mode keeps a window until the watermark passes it, so short windows close here
-    w = alerts.healthcare_windows(_txn_stream(spark, d), watermark="1 hour", length="2 days", slide="1 day")
-    out = _consumed(spark, w, "windows")
+    folder = io.work_dir(spark, "windows")
+    alerts.upserts(alerts.daily_healthcare(_txn_stream(spark, d)), f"{folder}/data", f"{folder}/checkpoint")
+    out = alerts.healthcare_windows(spark.read.parquet(f"{folder}/data"), days=2)
     ts_type = table(spark, d, "events").schema["ts"].dataType
     return out.withColumns({"window_start": col("window_start").cast(ts_type), "window_end": col("window_end").cast(ts_type),
                             "healthcare_spend_30d": npround(col("healthcare_spend_30d"), 2)})

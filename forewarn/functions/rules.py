@@ -196,7 +196,6 @@ SCENARIO_TEXTS = {
 }
 
 DUE_DATE_TEXT = "upcoming"
-MESSAGE_LIMIT = 200
 
 DISPLAY_ACTIONS = {
     "SAFE": ("No action needed", "success"),
@@ -288,7 +287,6 @@ EVENT_DEFAULTS = {"type": "debit", "amount": 0.0, "category": "other", "monthly_
 # --- fixed values: account profiles ------------------------------------------
 
 FINTECH_LENDERS = ["PaySense", "MoneyTap", "CASHe", "EarlySalary"]
-BANKS = ["HDFC", "ICICI", "SBI", "AXIS", "KOTAK", "PNB", "BOB"]
 
 # --- fixed values: feature views (name -> (ttl in hours, features)) ----------
 

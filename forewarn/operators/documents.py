@@ -12,7 +12,7 @@ from forewarn.plans.scan import running
 col = F.col
 
 # exact sums that do not depend on the order of rows
-MONEY, MONEY_SUM = "decimal(18,4)", "decimal(28,4)"
+MONEY = "decimal(18,4)"
 
 ACCOUNT_TYPE = ("struct<fip_id:string,account_type:string,masked_account:string,balance:double,is_primary:boolean,"
                 "loan_type:string,emi:double,outstanding:double,interest_rate:double>")
@@ -29,17 +29,8 @@ def flatten(profiles: DataFrame) -> DataFrame:
 
 
 def rollup(profiles: DataFrame) -> DataFrame:
-    """Per profile row: EMI total, savings banks, balance total, any fintech lender; no shuffle."""
-    def total(field: str) -> Column:
-        return npround(F.aggregate("accounts", F.lit(0).cast(MONEY_SUM), lambda acc, a: (
-            acc + F.coalesce(a[field], F.lit(0.0)).cast(MONEY)).cast(MONEY_SUM)).cast("double"), 2)
-
-    savings = F.filter("accounts", lambda a: a["account_type"] == "SAVINGS")
-    return profiles.select(
-        "customer_id", total("emi").alias("total_emi_other_banks"),
-        F.size(F.array_distinct(F.transform(savings, lambda a: a["fip_id"]))).cast("long").alias("num_banks"),
-        total("balance").alias("total_balance_all_banks"),
-        F.exists("accounts", lambda a: a["fip_id"].isin(rules.FINTECH_LENDERS)).alias("has_fintech_loans"))
+    """Per customer, over all pages: EMI total, savings banks, balance total, any fintech lender."""
+    return rollup_flat(profiles.select("customer_id", F.inline_outer("accounts")))
 
 
 def rollup_flat(accounts: DataFrame) -> DataFrame:
@@ -51,15 +42,20 @@ def rollup_flat(accounts: DataFrame) -> DataFrame:
         total("emi").alias("total_emi_other_banks"),
         F.count_distinct(F.when(col("account_type") == "SAVINGS", col("fip_id"))).alias("num_banks"),
         total("balance").alias("total_balance_all_banks"),
-        F.max(col("fip_id").isin(rules.FINTECH_LENDERS)).alias("has_fintech_loans"))
+        F.coalesce(F.max(col("fip_id").isin(rules.FINTECH_LENDERS)), F.lit(False)).alias("has_fintech_loans"))
+
+
+def primary_accounts(accounts: DataFrame, order: str = "account_key") -> DataFrame:
+    """Bank and balance of each customer's first savings account in ``order``; null for customers without one."""
+    first = F.when(col("account_type") == "SAVINGS", col(order))
+    return accounts.groupBy("customer_id").agg(F.min_by(F.struct("fip_id", "balance"), first).alias("a")).select("customer_id", "a.*")
 
 
-def assemble(accounts: DataFrame, order: str = "account_key", chunk: Column | None = None,
-             page_size: int = 10_000) -> DataFrame:
-    """Profiles from flat account rows, at most ``page_size`` accounts per row.
+def assemble(accounts: DataFrame, page_size: int, order: str = "account_key", chunk: Column | None = None) -> DataFrame:
+    """Profiles in pages: rows (customer, page) with ``page_size`` accounts each, the last page with the rest.
 
-    Customers up to the page size get one row (``page`` 0).  Larger ones are
-    continued on further pages, so no array and no task grows with a hot customer.
+    The output format is chosen by the caller; no array and no task grows with a hot customer.  Figures per customer
+    come from flat rows (``rollup_flat``, ``primary_accounts``) or from all pages (``rollup``), never from one page.
     The first savings account in ``order`` is the primary one.
     """
     chunk = F.floor(col(order) / 65536) if chunk is None else chunk

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from forewarn.functions import rules
 from forewarn.functions.semantics import (
     as_col, clip, cut, first_match, has, map_values, npmax, npround, opt, row_std,
-    safe_divide, select_cols,
+    safe_divide, select_cols, null_nan,
 )
 
 col = F.col
@@ -228,7 +228,8 @@ def cross_features(df: DataFrame) -> DataFrame:
 
 def run(df: DataFrame, healthcare_multiplier=1.0, isi_noise=0.0, sdt_noise=0.0, abt_noise=0.0,
         bill_splits=0.0, merchant_noise=0.0) -> DataFrame:
-    """All seventeen steps; later steps read earlier outputs."""
+    """All seventeen steps; later steps read earlier outputs.  NaN counts as missing."""
+    df = null_nan(df)
     steps = [
         income_stability.layers(df, isi_noise), debt_to_income.layers(df), savings_rate.layers(df),
         emi_cushion.layers(df), expenditure_volatility.layers(df), salary_delay_trend.layers(df, sdt_noise),

@@ -22,6 +22,16 @@ def _by_period(txn: DataFrame, period: str, **aggs: Column) -> DataFrame:
         *[c.alias(n) for n, c in aggs.items()])
 
 
+def _whole(rows: DataFrame, period: str, values: list[str]) -> DataFrame:
+    """``rows`` (customer_id, period, values) with a row of zeros for every period without events between a customer's
+    first and last one."""
+    step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH",
+            "year": "INTERVAL 1 YEAR"}[period]
+    spans = rows.groupBy("customer_id").agg(F.min("period").alias("_a"), F.max("period").alias("_b"))
+    calendar = spans.select("customer_id", F.explode(F.sequence("_a", "_b", F.expr(step))).alias("period"))
+    return calendar.join(rows, ["customer_id", "period"], "left").fillna(0.0, values)
+
+
 def _amount_if(cond: Column) -> Column:
     return F.sum(F.when(cond, col("amount")).otherwise(0.0))
 
@@ -93,8 +103,8 @@ def balance_trajectory(txn: DataFrame, period: str = "month", opening: float = 0
 
 
 def healthcare_ratio(txn: DataFrame, period: str = "month", trailing: int = 3) -> DataFrame:
-    """Healthcare spending of a period over the mean of the ``trailing`` periods before it."""
-    spend = _by_period(txn.where(col("category") == "healthcare"), period, current_spend=F.sum("amount"))
+    """Healthcare spending of a period over the mean of the ``trailing`` periods before it, those without spending as 0."""
+    spend = _whole(_by_period(txn.where(col("category") == "healthcare"), period, current_spend=F.sum("amount")), period, ["current_spend"])
     baseline = F.avg("current_spend").over(_periods().rowsBetween(-trailing, -1))
     return spend.withColumn("baseline", baseline).select(
         "customer_id", "period", npround(col("current_spend"), 2).alias("current_spend"),
@@ -103,8 +113,8 @@ def healthcare_ratio(txn: DataFrame, period: str = "month", trailing: int = 3) -
 
 
 def gig_variance(txn: DataFrame) -> DataFrame:
-    """Deviation of daily income over its mean."""
-    daily = _by_period(txn.where(col("type").isin(*CREDITS)), "day", income=F.sum("amount"))
+    """Deviation of daily income over its mean, days without income between the first and last one as 0."""
+    daily = _whole(_by_period(txn.where(col("type").isin(*CREDITS)), "day", income=F.sum("amount")), "day", ["income"])
     return daily.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("days"),
         npround(F.try_divide(F.stddev_samp("income"), F.avg("income")), 4).alias("income_cv_daily"))
@@ -114,7 +124,7 @@ def discretionary_drop(txn: DataFrame, period: str = "month", discretionary=("en
     """Discretionary share of spending per period and its change against the period before (DSR)."""
     debit = txn.where(col("type") == "debit")
     share = _by_period(debit, period, disc=_amount_if(col("category").isin(*discretionary)), total=F.sum("amount"))
-    share = share.withColumn("dsr", F.try_divide(col("disc"), F.greatest(col("total"), F.lit(1.0))) * 100)
+    share = _whole(share, period, ["disc", "total"]).withColumn("dsr", F.try_divide(col("disc"), F.greatest(col("total"), F.lit(1.0))) * 100)
     prev = F.lag("dsr").over(_periods())
     return share.select("customer_id", "period", npround(col("dsr"), 4).alias("dsr"),
                         npround(col("dsr") - prev, 4).alias("dsr_change"))
@@ -138,14 +148,14 @@ def point_in_time(spine: DataFrame, view: DataFrame, entity: str, ts: str, featu
     own = [c for c in spine.columns if c not in (entity, ts)]
     payload = F.struct(col(ts).alias("ts"), *[col(c) for c in features])
     left = spine.select(
-        col(entity), col(ts), F.lit(1).alias("_spine"), col(spine_key).cast("string").alias("_tie"),
+        col(entity), col(ts), F.lit(1).alias("_spine"), F.lit(None).cast(view.schema[tiebreak].dataType).alias("_tie"),
         F.struct(*own).alias("_own"))
     right = view.where(col(entity).isNotNull()).select(
-        col(entity), col(ts), F.lit(0).alias("_spine"), col(tiebreak).cast("string").alias("_tie"),
+        col(entity), col(ts), F.lit(0).alias("_spine"), col(tiebreak).alias("_tie"),
         payload.alias("_view"))
     rows = left.unionByName(right, allowMissingColumns=True)
     seen = running(rows, [entity], [ts, "_spine", "_tie"], F.date_trunc(chunk, ts), lasts={"_hit": col("_view")})
-    fresh = col("_hit.ts") > col(ts) - F.make_dt_interval(hours=F.lit(int(ttl_hours)))
+    fresh = col("_hit.ts") > col(ts) - F.make_dt_interval(secs=F.lit(ttl_hours * 3600).cast("decimal(18,6)"))
     return seen.where(col("_spine") == 1).select(
         entity, ts, "_own.*", F.when(fresh, col("_hit.ts")).alias("feature_ts"),
         *[F.when(fresh, col(f"_hit.{c}")).alias(c) for c in features])
@@ -157,6 +167,6 @@ def online_latest(view: DataFrame, entity: str, ts: str, features: list[str], tt
     payload = F.struct(col(ts).alias("ts"), *[col(c) for c in features])
     newest = view.where(col(ts) <= as_of).groupBy(entity).agg(
         F.max_by(payload, F.struct(col(ts), col(tiebreak))).alias("v"))
-    fresh = col("v.ts") > as_of - F.make_dt_interval(hours=F.lit(int(ttl_hours)))
+    fresh = col("v.ts") > as_of - F.make_dt_interval(secs=F.lit(ttl_hours * 3600).cast("decimal(18,6)"))
     return newest.select(entity, col("v.ts").alias("feature_ts"),
                          *[F.when(fresh, col(f"v.{c}")).alias(c) for c in features])

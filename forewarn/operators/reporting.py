@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forewarn.functions import rules
 from forewarn.functions.semantics import first_match, npround, number_text
-from forewarn.plans.topk import leading_chunks, top_k
+from forewarn.plans.topk import top_k
 
 col = F.col
 
@@ -35,18 +35,13 @@ def segment_default_rate(df: DataFrame, segment: str = "EmploymentType", label:
 
 
 def score_stats(df: DataFrame, name: str = "risk_score_v2") -> DataFrame:
-    """Mean, exact median and sample deviation from one row per distinct score.
+    """Mean, exact median and sample deviation.
 
-    Scores have two digits, so at most 10,001 distinct values reach the last task.
+    ``percentile`` keeps one counter per distinct value: meant for scores, which are rounded to two digits and so have
+    at most 10,001 of them.
     """
-    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    moments = counts.agg(
-        F.sum(F.when(col(name).isNotNull(), col("_n"))).alias("n"), F.sum(col(name) * col("_n")).alias("s"),
-        F.sum(col(name) * col(name) * col("_n")).alias("ss"),
-        F.expr(f"percentile(`{name}`, 0.5, `_n`)").alias("median"))
-    mean = col("s") / col("n")
-    var = (col("ss") - col("s") * mean) / F.nullif(col("n") - 1, F.lit(0))
-    return moments.select("n", mean.alias("mean"), "median", F.sqrt(var).alias("std"))
+    return df.agg(F.count(name).alias("n"), F.avg(name).alias("mean"), F.percentile(name, F.lit(0.5)).alias("median"),
+                  F.stddev_samp(name).alias("std"))
 
 
 def default_rate(df: DataFrame, label: str = "Default") -> DataFrame:
@@ -153,15 +148,9 @@ def prediction_log_stats(log: DataFrame, ts: str = "ts", score: str = "risk_scor
         F.max_by(F.struct(col("LoanID"), col(score), col(band)), F.struct(col(ts), col("LoanID"))).alias("latest"))
 
 
-def retain_latest(log: DataFrame, ts: str = "ts", key: str = "LoanID", keep: int = 5000, limit: int = 10000,
-                  chunk: str = "hour") -> DataFrame:
-    """The whole log while it has at most ``limit`` rows, else its newest ``keep`` rows."""
-    size = log.agg(F.count(F.lit(1)).alias("n"))
-    oldest = F.lit("0001-01-01 00:00:00").cast("timestamp")
-    part = F.coalesce(F.date_trunc(chunk, ts).cast("timestamp"), oldest)
-    recent = leading_chunks(log, limit, part, descending=True)
-    newest = top_k(recent, limit, [F.desc(ts), F.desc(key)], salt_key=key, rank="_rank")
-    return newest.where((size.scalar() <= limit) | (col("_rank") <= keep)).drop("_rank")
+def retain_since(log: DataFrame, since: Column, ts: str = "ts") -> DataFrame:
+    """The entries of the log from ``since`` on; the filter reaches the scan.  Entries without a time go."""
+    return log.where(col(ts) >= since)
 
 
 def band_top_list(df: DataFrame, clicks: int = 0, page: int = 20, band: str = "risk_band",
@@ -184,11 +173,11 @@ def top_importance(df: DataFrame, n: int = 15, value: str = "importance") -> Dat
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """Rows whose key equals ``value`` in its text form (1 finds '1' and the reverse)."""
-    return df.where(col(key).cast("string") == F.lit(str(value)))
+    """Rows whose key equals ``value`` (1 finds '1' and the reverse): the value takes the column's type, so the scan filters."""
+    return df.where(col(key) == F.lit(str(value)).try_cast(df.schema[key].dataType))
 
 
 def lookup_many(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose key is among ``ids``, both compared as text."""
-    wanted = ids.select(col(id_col).cast("string").alias("_id"))
-    return df.join(wanted, col(key).cast("string") == col("_id"), "left_semi")
+    """Rows whose key is among ``ids``, which take the key's type; ids that cannot have it match nothing."""
+    wanted = ids.select(col(id_col).try_cast(df.schema[key].dataType).alias("_id")).where(col("_id").isNotNull())
+    return df.join(wanted, col(key) == col("_id"), "left_semi")

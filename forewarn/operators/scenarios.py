@@ -135,17 +135,16 @@ def at_risk(df: DataFrame) -> DataFrame:
 
 
 def message(df: DataFrame, band: Column, days_to_emi: Column) -> Column:
-    """Outreach text of a band, cut after 200 characters; null for bands without one."""
+    """Outreach text of a band, whole; null for bands without one.  A missing name or amount never removes the text."""
     emi = emi_simple(df)
     loan_id = F.coalesce(opt(df, "LoanID", "").cast("string"), F.lit(""))
     fields = {
-        "name": F.col("name") if has(df, "name") else F.concat(F.lit("Customer "), loan_id),
+        "name": F.coalesce(opt(df, "name", None).cast("string"), F.concat(F.lit("Customer "), loan_id)),
         "emi": _num(emi, ",.0f"), "emi_3x": _num(emi * 3, ",.0f"), "emergency_loan": _num(emi * 2, ",.0f"),
         "due_date": F.lit(rules.DUE_DATE_TEXT), "days_to_emi": days_to_emi.cast("string"),
     }
-    text = first_match(*[(band == b, _render(t, fields)) for b, (_, _, t) in rules.INTERVENTIONS.items()])
-    limit = rules.MESSAGE_LIMIT
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+    fields = {n: F.coalesce(c, F.lit("")) for n, c in fields.items()}
+    return first_match(*[(band == b, _render(t, fields)) for b, (_, _, t) in rules.INTERVENTIONS.items()])
 
 
 def stable_days(key: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forewarn.functions import rules
-from forewarn.functions.semantics import clip, first_match, has, npmin, npround, opt, or_default, pymax0
+from forewarn.functions.semantics import clip, first_match, has, npmin, npround, null_nan, opt, or_default, pymax0
 from forewarn.plans.fence import fence
 
 
@@ -192,8 +192,9 @@ def band_action(band: Column) -> Column:
 def score(df: DataFrame, impute_missing: bool = False, mode: str = "scorer") -> DataFrame:
     """Adds the 15 ``comp_*`` columns, ``risk_score_v2`` and ``risk_band``.
 
-    Filters on input columns belong before this call: later ones stay above it (see ``fence``).
+    NaN counts as missing.  Filters on input columns belong before this call: later ones stay above it (see ``fence``).
     """
+    df = null_nan(df)
     return fence(df.withColumns(components(df, impute_missing))
                  .withColumn("risk_score_v2", weighted_score())
                  .withColumn("risk_band", classify(F.col("risk_score_v2"), mode)), "scored")

@@ -13,6 +13,8 @@ from forewarn.plans.topk import leading_chunks, top_k
 col = F.col
 HASH_SPACE = 1 << 30
 HASH_CHUNKS = 4096
+#: Values sampled for the borders of ``label_codes``.
+LABEL_SAMPLE = 1024
 
 
 def drop_present(df: DataFrame, names) -> DataFrame:
@@ -55,9 +57,16 @@ def keep_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def label_codes(df: DataFrame, name: str) -> DataFrame:
-    """Distinct values with their position in sorted order."""
+    """Distinct values with their position in sorted order.
+
+    A bounded sample of the values gives the boundaries of the ranges that are numbered apart, so values with a common
+    beginning spread over all of them.
+    """
     distinct = df.select(name).where(col(name).isNotNull()).distinct()
-    ranked = running(distinct, [], [name], F.substring(name, 1, 2), sums={"_n": F.lit(1)})
+    sample = sorted(r[0] for r in distinct.orderBy(F.xxhash64(name), name).limit(LABEL_SAMPLE).collect())
+    borders = sample[LABEL_SAMPLE // 64::LABEL_SAMPLE // 64]
+    chunk = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= col(name))) if borders else F.lit(0)
+    ranked = running(distinct, [], [name], chunk, sums={"_n": F.lit(1)})
     return ranked.select(name, (col("_n") - 1).cast("int").alias(f"{name}_code"))
 
 

@@ -27,6 +27,8 @@ def local(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "forewa
              .config("spark.sql.shuffle.partitions", shuffle_partitions)
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
+             # small test files still make a split for every core
+             .config("spark.sql.files.maxPartitionBytes", "1m").config("spark.sql.files.openCostInBytes", "64k")
              # no call-site capture per column expression: halves the time to build long plans
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.driver.memory", "12g").getOrCreate())

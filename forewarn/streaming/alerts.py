@@ -64,11 +64,21 @@ def file_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, max_
 # --- shared expressions ------------------------------------------------------
 
 def clean(events: DataFrame) -> DataFrame:
-    """Drops events without a customer, fills absent fields."""
-    kept = events.where(col("customer_id").isNotNull() & (col("customer_id") != ""))
+    """Events with a customer and a time, absent fields filled; the others are in ``rejected``."""
+    kept = events.where(col("customer_id").isNotNull() & (col("customer_id") != "") & col("ts").isNotNull())
     return kept.withColumns({n: F.coalesce(col(n), F.lit(v)) for n, v in rules.EVENT_DEFAULTS.items()})
 
 
+def rejected(events: DataFrame) -> DataFrame:
+    """Events that ``clean`` leaves out, with ``reason``: for a side table, so that none vanishes without a trace.
+
+    Records that were no valid JSON have neither customer nor time.
+    """
+    no_customer = col("customer_id").isNull() | (col("customer_id") == "")
+    reason = F.when(no_customer & col("ts").isNull(), "unreadable").when(no_customer, "no customer").when(col("ts").isNull(), "no time")
+    return events.withColumn("reason", reason).where(col("reason").isNotNull())
+
+
 def _amount_if(cond: Column) -> Column:
     return F.when(cond, col("amount")).otherwise(0.0)
 
@@ -80,7 +90,7 @@ def reasons() -> Column:
     return F.array_compact(F.array(
         F.when(large, F.concat(
             F.lit("Large expense: "), number_text(amount, "₹,.0f"), F.lit(" ("),
-            number_text(F.try_divide(amount, income) * 100, ".0f"), F.lit("% of income)"))),
+            number_text(amount / F.greatest(income, F.lit(1.0)) * 100, ".0f"), F.lit("% of income)"))),
         F.when(col("consecutive_failures") >= rules.RESCORE["consecutive_failures"], F.concat(
             F.lit("Consecutive payment failures: "), col("consecutive_failures").cast("string"))),
         F.when(spike > rules.RESCORE["health_expense_spike"], F.concat(
@@ -207,7 +217,10 @@ def alert_sink(stream: DataFrame, deliver, checkpoint: str):
 # --- further alert inputs ----------------------------------------------------
 
 def daily_balance_drop(events: DataFrame, drop: float = rules.RESCORE["balance_drop_pct"]) -> DataFrame:
-    """Days on which a positive closing balance fell by more than ``drop`` against the day before with events."""
+    """Days on which a positive balance fell by more than ``drop`` within the day.
+
+    ``previous`` is the balance that the day began with: the last closing balance, carried over days without events.
+    """
     signed = F.when(col("type").isin("credit", "salary"), col("amount")).when(
         col("type") == "debit", -col("amount")).otherwise(0.0)
     # one row per customer and day before any window
@@ -243,10 +256,34 @@ def rolling_healthcare(events: DataFrame, days: int = 30, chunk: str = "hour") -
         "customer_id", "event_id", "ts", (F.rint(col("healthcare_spend_30d") * 100) / 100 + F.lit(0.0)).alias("healthcare_spend_30d"))
 
 
-def healthcare_windows(events: DataFrame, watermark: str = "1 day", length: str = "30 days", slide: str = "1 day") -> DataFrame:
-    """Streaming form: sliding windows with late data bounded by the watermark."""
+def daily_healthcare(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Streaming form: healthcare spending per customer and day, late data bounded by the watermark."""
     spend = clean(events).where(col("category") == "healthcare").withColumn(
         "ts", col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return spend.groupBy(F.window("ts", length, slide).alias("w"), "customer_id").agg(
-        F.sum("amount").alias("healthcare_spend_30d")).select(
-        "customer_id", col("w.start").alias("window_start"), col("w.end").alias("window_end"), "healthcare_spend_30d")
+    return spend.groupBy(F.window("ts", "1 day").alias("w"), "customer_id").agg(F.sum("amount").alias("spend")).select(
+        "customer_id", col("w.start").alias("day"), "spend")
+
+
+def upserts(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Writes every changed row of an aggregate, open days too, with the number of its micro-batch.
+
+    A repeated micro-batch replaces its own folder, so nothing counts twice.
+    """
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def healthcare_windows(changes: DataFrame, days: int = 30) -> DataFrame:
+    """Sliding windows of ``days`` days, one starting each day, from the ``upserts`` of ``daily_healthcare``.
+
+    The newest row of a customer's day counts.  All windows with spending are there, those that are still open too; only
+    one row per customer and day is copied to the windows it lies in.
+    """
+    daily = changes.groupBy("customer_id", "day").agg(F.max_by("spend", "batch").alias("spend"))
+    start = F.explode(F.sequence(col("day") - F.make_dt_interval(F.lit(days - 1)), col("day"), F.make_dt_interval(F.lit(1))))
+    return daily.withColumn("window_start", start).groupBy("customer_id", "window_start").agg(
+        F.sum("spend").alias("healthcare_spend_30d")).withColumn(
+        "window_end", col("window_start") + F.make_dt_interval(F.lit(days)))

@@ -316,8 +316,7 @@ def message(band: str) -> str:
                     f" restructuring{nl}3️⃣ Emergency ₹' || {emi2} || ' loan at 0% for 60 days{nl}4️⃣ Insurance claim assistance"
                     f"{nl}A support specialist will call you within the hour.'",
     }
-    text = case(*[(f"{band} = '{b}'", t) for b, t in texts.items()])
-    return f"(CASE WHEN length({text}) > 200 THEN substring({text}, 1, 200) || '...' ELSE {text} END)"
+    return case(*[(f"{band} = '{b}'", t) for b, t in texts.items()])
 
 
 CHANNEL = case(("final_band = 'LOW RISK'", "'SMS'"), ("final_band = 'MODERATE'", "'SMS,Email'"),
@@ -338,7 +337,7 @@ TOT = f"""SELECT *, CAST(coalesce(failures_all - max(CASE WHEN type = 'salary' T
  first_value(monthly_income) {_W} AS baseline_monthly_income FROM txn)"""
 _SPIKE = "(healthcare_spend / greatest(baseline_monthly_income * 0.05, 1.0))"
 R1 = case(("amount / greatest(baseline_monthly_income, 1.0) > 0.3", f"'Large expense: ₹' || {MONEY('amount')} || ' (' || "
-           f"{NUM('amount / baseline_monthly_income * 100')} || '% of income)'"))
+           f"{NUM('amount / greatest(baseline_monthly_income, 1.0) * 100')} || '% of income)'"))
 R2 = case(("consecutive_failures >= 2", "'Consecutive payment failures: ' || consecutive_failures"))
 R3 = case((f"{_SPIKE} > 3", f"'Healthcare spike: ' || {NUM(_SPIKE, 1)} || 'x baseline'"))
 ALE = f"SELECT *, {R1} AS r1, {R2} AS r2, {R3} AS r3 FROM tot"

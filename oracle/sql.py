@@ -98,7 +98,7 @@ add("j3_band_lookup", f"SELECT LoanID, risk_score_v2, risk_band AS band, {_by_ba
     f" {_by_band('risk_band', _ACT)} AS action FROM imputed")
 add("j4_point_in_time", "SELECT customer_id, event_timestamp, LoanID, feature_ts, LoanAmount, DTIRatio, CreditScore FROM (SELECT s.customer_id,"
     " s.event_timestamp, s.LoanID, v.event_timestamp AS feature_ts, v.LoanAmount, v.DTIRatio, v.CreditScore, row_number() OVER (PARTITION BY"
-    " s.LoanID ORDER BY v.event_timestamp DESC NULLS LAST, CAST(v.LoanID AS VARCHAR) DESC) AS rn FROM (SELECT * FROM snap WHERE LoanID % 2 = 0) s"
+    " s.LoanID ORDER BY v.event_timestamp DESC NULLS LAST, v.LoanID DESC) AS rn FROM (SELECT * FROM snap WHERE LoanID % 2 = 0) s"
     " LEFT JOIN (SELECT * FROM snap WHERE LoanID % 2 = 1) v ON s.customer_id = v.customer_id AND v.event_timestamp <= s.event_timestamp AND"
     " v.event_timestamp > s.event_timestamp - INTERVAL 90 DAY) WHERE rn = 1")
 _CORE = ["Income", "LoanAmount", "CreditScore", "DTIRatio", "LoanTerm", "avg_monthly_balance_6m", "total_monthly_expense"]
@@ -150,6 +150,10 @@ add("f19_feature_summary", " UNION ALL ".join(
 _PER = lambda where, unit, aggs: (f"SELECT customer_id, date_trunc('{unit}', ts) AS period, {aggs} FROM txn"
                                   f"{' WHERE ' + where if where else ''} GROUP BY 1, 2")
 _CRED = "type IN ('credit', 'salary')"
+_WHOLE = lambda rows, days, values: (
+    f"SELECT cal.customer_id, cal.period, {', '.join(f'coalesce({v}, 0.0) AS {v}' for v in values)} FROM (SELECT customer_id,"
+    f" unnest(generate_series(min(period), max(period), INTERVAL {days} DAY)) AS period FROM ({rows}) GROUP BY 1) cal LEFT JOIN ({rows}) r"
+    " ON r.customer_id = cal.customer_id AND r.period = cal.period")
 add("h1_income_stability", f"SELECT customer_id, count(*) AS periods, {rnd('stddev_samp(v) / nullif(avg(v), 0) * 100', 4)} AS isi FROM"
     f" ({_PER(_CRED, 'week', 'sum(amount) AS v')}) GROUP BY customer_id")
 add("h2_expenditure_volatility", f"SELECT customer_id, count(*) AS periods, {rnd('stddev_samp(v)', 4)} AS evs FROM ("
@@ -168,12 +172,13 @@ add("h6_balance_trajectory", f"SELECT customer_id, period, start_balance, end_ba
     f" (SELECT *, sum(net) OVER (PARTITION BY customer_id ORDER BY period ROWS UNBOUNDED PRECEDING) AS run FROM ({_PER('', 'week', _SIGNED + ' AS net')})))")
 add("h7_healthcare_ratio", f"SELECT customer_id, period, {rnd('v', 2)} AS current_spend, {rnd('b', 2)} AS baseline,"
     f" {rnd('v / nullif(b, 0)', 4)} AS healthcare_ratio FROM (SELECT *, avg(v) OVER (PARTITION BY customer_id ORDER BY period ROWS BETWEEN 2"
-    " PRECEDING AND 1 PRECEDING) AS b FROM (" + _PER("category = 'healthcare'", "week", "sum(amount) AS v") + "))")
+    " PRECEDING AND 1 PRECEDING) AS b FROM (" + _WHOLE(_PER("category = 'healthcare'", "week", "sum(amount) AS v"), 7, ["v"]) + "))")
 add("h8_gig_variance", f"SELECT customer_id, count(*) AS days, {rnd('stddev_samp(v) / nullif(avg(v), 0)', 4)} AS income_cv_daily FROM"
-    f" ({_PER(_CRED, 'day', 'sum(amount) AS v')}) GROUP BY customer_id")
+    f" ({_WHOLE(_PER(_CRED, 'day', 'sum(amount) AS v'), 1, ['v'])}) GROUP BY customer_id")
 add("h9_discretionary_drop", f"SELECT customer_id, period, {rnd('dsr', 4)} AS dsr, {rnd('dsr - lag(dsr) OVER (PARTITION BY customer_id ORDER BY period)', 4)}"
     " AS dsr_change FROM (SELECT customer_id, period, disc / greatest(total, 1.0) * 100 AS dsr FROM ("
-    + _PER("type = 'debit'", "week", "sum(CASE WHEN category = 'entertainment' THEN amount ELSE 0.0 END) AS disc, sum(amount) AS total") + "))")
+    + _WHOLE(_PER("type = 'debit'", "week", "sum(CASE WHEN category = 'entertainment' THEN amount ELSE 0.0 END) AS disc, sum(amount) AS total"),
+             7, ["disc", "total"]) + "))")
 
 # --- derived columns
 _B = "LoanID * 7919 % 10000"
@@ -309,8 +314,7 @@ add("a14_prediction_log_stats", "SELECT count(*) AS total_predictions, coalesce(
     + ", ".join(f"count(*) FILTER (risk_band = '{b}') AS n_{b.lower().replace(' ', '_')}" for _, _, b in BANDS)
     + ", arg_max(LoanID, k) AS latest_loan, arg_max(risk_band, k) AS latest_band FROM (SELECT LoanID, risk_band, CASE WHEN LoanID % 10 > 0 THEN"
     " risk_score_v2 ELSE 0.0 END AS s, {'t': event_timestamp, 'l': LoanID} AS k FROM scored)")
-add("a14_log_retention", "SELECT LoanID, event_timestamp AS ts, risk_band FROM (SELECT *, row_number() OVER (ORDER BY event_timestamp DESC, LoanID DESC)"
-    " AS rn, count(*) OVER () AS n FROM scored) WHERE n <= 10000 OR rn <= 5000")
+add("a14_log_retention", "SELECT LoanID, event_timestamp AS ts, risk_band FROM scored WHERE event_timestamp >= TIMESTAMP '1996-01-01'")
 snap("a15_row_aggregates", {"total": rnd(" + ".join(EXPENSES), 2), "std": rnd(row_std(EXPENSES), 4)})
 _LIN = {"CreditScore": "-0.006", "DTIRatio": "0.025", "ontime_payment_rate_12m": "-2.0", "max_dpd_last_12m": "0.03", "avg_delay_days": "0.02"}
 _MEANS = "SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in _LIN) + " FROM snap"
@@ -415,8 +419,7 @@ add("t8_rolling_healthcare", "SELECT customer_id, event_id, ts, " + Z("sum(CASE
 _DAY = "date_trunc('day', ts)"
 add("t8_stream_windows", "SELECT customer_id, w AS window_start, w + INTERVAL 2 DAY AS window_end, " + rnd("sum(amount)", 2) + " AS healthcare_spend_30d"
     f" FROM (SELECT customer_id, ts, amount, {_DAY} AS w FROM txn WHERE category = 'healthcare' UNION ALL SELECT customer_id, ts, amount, {_DAY} -"
-    " INTERVAL 1 DAY AS w FROM txn WHERE category = 'healthcare') WHERE w + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM txn WHERE category ="
-    " 'healthcare') GROUP BY 1, 2")
+    " INTERVAL 1 DAY AS w FROM txn WHERE category = 'healthcare') GROUP BY 1, 2")
 
 # --- models
 _NUMERIC = [c for c in SNAPSHOT if c not in ("LoanID", "customer_id", "event_timestamp", "segment_category", "Default", "detailed_segment")]

@@ -107,11 +107,14 @@ def test_point_in_time_ttl_edges(spark):
 def test_profiles_of_a_hot_customer_are_paged(spark):
     rows = [("hot", i, "HDFC", "SAVINGS" if i % 2 else "LOAN", 1.5, 2.0, 3.0) for i in range(95)] + [("x", 1, "PaySense", "LOAN", None, 2.0, 3.0)]
     acc = spark.createDataFrame(rows, "customer_id string, account_key long, fip_id string, account_type string, balance double, emi double, outstanding double")
-    docs = documents.assemble(acc, page_size=40, chunk=F.floor(col("account_key") / 10)).cache()
+    docs = documents.assemble(acc, 40, chunk=F.floor(col("account_key") / 10)).cache()
     assert sorted((r.customer_id, r.page, len(r.accounts)) for r in docs.collect()) == [("hot", 0, 40), ("hot", 1, 40), ("hot", 2, 15), ("x", 0, 1)]
     assert documents.flatten(docs).where("is_primary").count() == 1
     flat = {r.customer_id: r for r in documents.rollup_flat(acc).collect()}
     assert flat["hot"].total_balance_all_banks == 142.5 and flat["x"].has_fintech_loans and not flat["hot"].has_fintech_loans
+    # figures do not depend on the paging
+    assert {r.customer_id: r for r in documents.rollup(docs).collect()} == flat
+    assert {r.customer_id: r.fip_id for r in documents.primary_accounts(acc).collect()} == {"hot": "HDFC", "x": None}
     docs.unpersist()
 
 
@@ -121,6 +124,27 @@ def test_rows_without_time_or_key_are_kept(spark):
     assert {r.id: r.s for r in got.collect()} == {1: 1, 2: 3, 3: 4, 4: 11}
 
 
+def test_label_codes_with_a_common_beginning(spark):
+    df = spark.range(5000).select(F.format_string("https://host/%05d", F.col("id")).alias("u"))
+    codes = tables.label_codes(df, "u").orderBy("u").collect()
+    assert [r.u_code for r in codes] == list(range(5000))
+
+
+def test_short_ttl_and_numeric_ties(spark):
+    spine = spark.sql("SELECT 'a' AS k, TIMESTAMP '2024-01-10 10:00:00' AS ts, 1L AS id UNION ALL SELECT 'a', TIMESTAMP '2024-01-10 10:20:00', 2L "
+                      "UNION ALL SELECT 'a', TIMESTAMP '2024-01-10 10:30:00', 3L")
+    view = spark.sql("SELECT 'a' AS k, TIMESTAMP '2024-01-10 10:00:00' AS ts, 9L AS vid, 9.0D AS x UNION ALL SELECT 'a', TIMESTAMP '2024-01-10 10:00:00', 10L, 10.0D")
+    got = {r.id: r.x for r in history.point_in_time(spine, view, "k", "ts", ["x"], 0.5, "id", "vid").collect()}
+    assert got == {1: 10.0, 2: 10.0, 3: None}
+
+
+def test_periods_without_events_count(spark):
+    txn = spark.sql("SELECT 'c' AS customer_id, 'credit' AS type, 'x' AS category, 30.0D AS amount, TIMESTAMP '2024-01-01' AS ts "
+                    "UNION ALL SELECT 'c', 'credit', 'x', 30.0D, TIMESTAMP '2024-01-03'")
+    r = history.gig_variance(txn).first()
+    assert r.days == 3 and abs(r.income_cv_daily - 0.866) < 1e-3
+
+
 def test_leading_chunks_hold_the_top_rows(spark):
     df = skewed(spark)
     for desc in (False, True):

@@ -88,3 +88,16 @@ def test_feature_edges(spark):
     e = frame(spark, [{"expense_a": 1.0, "expense_to_income_ratio": 3.0, "total_monthly_expense": 4.0}])
     assert features.expenditure_volatility(e).first().evs == 1.0
     assert features.expenditure_volatility(frame(spark, [{"x": 1.0}])).first().evs == 0.0
+
+
+def test_nan_counts_as_missing(spark, sf):
+    from forewarn import catalog
+
+    base = catalog.loan_snapshot(spark, sf).where("LoanID < 60").drop("DTIRatio")
+
+    def scores(missing):
+        rows = base.withColumn("DTIRatio", F.lit(missing).cast("double"))
+        return sorted((r.LoanID, r.computed_dti, r.risk_score_v2) for r in scoring.score(features.run(rows), True).collect())
+
+    nan = scores(float("nan"))
+    assert nan == scores(None) and all(x == x for _, x, _ in nan if x is not None)

@@ -78,3 +78,26 @@ def test_rolling_window_expires(spark):
         F.lit(1.0).alias("monthly_income"))
     got = {r.event_id: r.healthcare_spend_30d for r in alerts.rolling_healthcare(df, 30).collect()}
     assert got == {1: 10.0, 2: 15.0, 3: 5.0, 4: 1.0}
+
+
+def test_income_of_zero_still_raises_the_alert(spark):
+    rows = [(1, "z", "debit", 900000.0, "other", 0.0)]
+    df = spark.createDataFrame(rows, "event_id long, customer_id string, type string, amount double, category string, monthly_income double").withColumn(
+        "ts", F.to_timestamp(F.lit("2024-01-01")))
+    assert alerts.alerts_batch(df).first().reasons == ["Large expense: ₹900,000 (90000000% of income)"]
+
+
+def test_rejected_events_are_kept_aside(spark):
+    rows = [(1, "a", "2024-01-01"), (2, "", "2024-01-01"), (3, "a", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, customer_id string, s string").select("event_id", "customer_id", F.to_timestamp("s").alias("ts"))
+    assert {r.event_id: r.reason for r in alerts.rejected(df).collect()} == {2: "no customer", 3: "no time", 4: "unreadable"}
+
+
+def test_open_windows_are_written(spark, feed):
+    path, rows = feed
+    out = work_dir(spark, "windows")
+    alerts.upserts(alerts.daily_healthcare(alerts.file_events(spark, path, rows.schema, max_files=1), "3650 days"), f"{out}/d", f"{out}/c")
+    got = alerts.healthcare_windows(spark.read.parquet(f"{out}/d"), days=2)
+    spent = rows.where("category = 'healthcare'").agg(F.sum("amount")).first()[0]
+    assert abs(got.agg(F.sum("healthcare_spend_30d")).first()[0] - 2 * spent) < 1e-3
+    assert got.agg(F.max("window_start")).first()[0] == rows.where("category = 'healthcare'").agg(F.max(F.date_trunc("day", "ts"))).first()[0]
