@@ -299,7 +299,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                                                  ["bucket", "kind", "keys", "docs", "runs"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, parts, ids = [], [], {}  # of each part: n_tokens, n_known, base_score, score by row
         stored = {}
         for k in (1, 2):
             some = right.filter(pc.equal(right["kind"], k))
@@ -310,13 +309,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 keys, counts = some["w"].to_numpy().astype(np.int64).view(np.uint64), some["c"].to_numpy().astype(np.uint64)
             order = np.argsort(keys)
             stored[k] = keys[order], counts[order].astype(float)
+        found = {0: [], 1: [], 2: []}  # row and its numbers, by kind
         for number, keys, docs_, runs in zip(*[left[c].to_pylist() for c in ("kind", "keys", "docs", "runs")]):
             who = np.frombuffer(docs_, np.int64)
             if number == 0:
-                local = np.frombuffer(keys).reshape(-1, 5)
-                ids.update((r, i) for r, ok, i in zip(who.tolist(), local[:, 3], np.ascontiguousarray(local[:, 4]).view(np.int64).tolist()) if ok)
-                rows.append(who)
-                parts.append(np.column_stack([local[:, :3], np.zeros(len(who))]))
+                found[0].append((who, np.frombuffer(keys).reshape(-1, 5)))
                 continue
             who = np.cumsum(who)
             lengths = np.frombuffer(runs, np.uint32).astype(np.int64)
@@ -327,25 +324,49 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
                 c = np.where(table[at] == keys, counts[at], 0)
             starts = np.cumsum(lengths, dtype=np.int64) - lengths
-            add = np.zeros((len(who), 4))
             if number == 1:
                 h, w = (keys // np.uint64(base)).astype(np.int64), (keys % np.uint64(base)).astype(np.int64)
                 d = tables.discounts[np.minimum(c, GOOD_TURING).astype(np.int64)]
                 seen = np.where(c > GOOD_TURING, 1, d) * c / tables.totals[h] * tables.scale[h]
-                add[:, 3] = np.add.reduceat(np.log10(np.where(c > 0, seen, tables.backoff[h] * uni[w])), starts)
+                add = np.add.reduceat(np.log10(np.where(c > 0, seen, tables.backoff[h] * uni[w])), starts)[:, None]
             else:
                 share = np.log10(c + ADDED)
-                add[:, 1] = np.add.reduceat((c > 0).astype(float), starts)
-                add[:, 2] = np.add.reduceat(share - np.log10(vocabulary.total), starts)
-                add[:, 3] = np.add.reduceat(share - of_class, starts)
-            rows.append(who)
-            parts.append(add)
-        if not rows:
-            rows, parts = [np.empty(0, np.int64)], [np.empty((0, 4))]
-        row, at = np.unique(np.concatenate(rows), return_inverse=True)
-        values = np.concatenate(parts)
-        sums = [np.bincount(at, weights=values[:, i], minlength=len(row)) for i in range(4)]
-        return pa.table({"row": pa.array(row), "id": pa.array([ids.get(r) for r in row.tolist()], pa.int64()), **{c: pa.array(x) for c, x in zip(("n_tokens", "n_known", "base_score", "score"), sums)}})
+                add = np.stack([np.add.reduceat(x, starts) for x in (
+                    (c > 0).astype(float), share - np.log10(vocabulary.total), share - of_class)], axis=1)
+            found[number].append((who, add))
+        out = []
+        for number, some in found.items():
+            if not some:
+                continue
+            who, values = np.concatenate([r for r, _ in some]), np.concatenate([v for _, v in some])
+            if number:  # one sum for each text
+                who, at = np.unique(who, return_inverse=True)
+                values = np.stack([np.bincount(at, weights=v, minlength=len(who)) for v in values.T], axis=1)
+            home = (shingles.mixed((who >> 12).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            who, values, home = who[order], np.ascontiguousarray(values[order]), home[order]
+            heads = np.flatnonzero(np.diff(home, prepend=-1))
+            out += [(int(home[i]), number, np.diff(who[i:j], prepend=0).tobytes(), values[i:j].tobytes())
+                    for i, j in zip(heads, np.append(heads[1:], len(home)))]
+        columns = zip(*out) if out else ([], [], [], [])
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                        names=["home", "kind", "rows", "sums"])
+
+    def together(table: pa.Table) -> pa.Table:
+        """The sums of the texts of one home; each has one row of kind 0."""
+        got = {0: [], 1: [], 2: []}
+        for number, rows, sums in zip(*[table[c].to_pylist() for c in ("kind", "rows", "sums")]):
+            got[number].append((np.cumsum(np.frombuffer(rows, np.int64)), np.frombuffer(sums).reshape(-1, {0: 5, 1: 1, 2: 3}[number])))
+        row, local = (np.concatenate([x[i] for x in got[0]]) for i in (0, 1))
+        order = np.argsort(row)
+        row, local = row[order], np.ascontiguousarray(local[order])
+        total = np.column_stack([local[:, 1:3], np.zeros(len(row))])  # n_known, base_score, score
+        for number in (1, 2):
+            for rows, sums in got[number]:
+                np.add.at(total[:, 3 - sums.shape[1]:], np.searchsorted(row, rows), sums)
+        ids = pa.array(np.ascontiguousarray(local[:, 4]).view(np.int64), mask=local[:, 3] == 0)
+        return pa.table({"id": ids, "n_tokens": pa.array(local[:, 0]), "n_known": pa.array(total[:, 0]),
+                         "base_score": pa.array(total[:, 1]), "score": pa.array(total[:, 2])})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"),
                        F.col(f"`{id_col}`").cast("long").alias("id"))
@@ -355,8 +376,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rare = model.rare.select(F.pmod("w", F.lit(buckets)).cast("int").alias("bucket"), F.lit(2).alias("kind"),
                              none.cast("binary").alias("keys"), none.cast("binary").alias("counts"), "w", "c")
     answers = sent.groupBy("bucket").cogroup(pairs.union(rare).groupBy("bucket")).applyInArrow(
-        answer, "row long, id long, n_tokens double, n_known double, base_score double, score double")
-    sums = answers.groupBy("row").agg(F.max("id").alias(id_col), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        answer, "home int, kind int, rows binary, sums binary")
+    sums = answers.groupBy("home").applyInArrow(together, "id long, n_tokens double, n_known double, base_score double, score double")
     return sums.select(
-        id_col, F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"),
+        F.col("id").alias(id_col), F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
