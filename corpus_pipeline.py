@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from llm.common import saved, table
+from llm.common import bounded, saved, table
 from llm.queries import END_ID, SEQUENCE, VOCABULARY
 
 #: Share of the tokens that documents of each quality shall have; documents are repeated for it, none is dropped.
@@ -24,11 +24,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id."""
+    bounded(spark)
     return exact_dedup.drop_exact(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more that with the smallest doc_id."""
+    bounded(spark)
     return jaccard_join.drop_near(docs, width=5, num=80, den=100)
 
 
@@ -41,6 +43,7 @@ def balanced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most ``SEQUENCE`` tokens."""
+    bounded(spark)
     return packing.pack(packing.token_pieces(docs, end_id=END_ID, capacity=SEQUENCE, **VOCABULARY), SEQUENCE)
 
 

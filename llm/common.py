@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of the text contracts: space and the control characters 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,7 +29,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by their bytes: ten thousand very long texts at once would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
