@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import SPACES
+from llm.common import SPACES, saved
 
 #: A text of any number of copies is spread over this many sort ranges.
 SLOTS = 64
+#: Characters of a text in the sampled splitters, which pass the driver; the sort itself compares whole texts.
+HEAD = 64
 
 
 def normalised(text: Column) -> Column:
@@ -33,13 +35,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), normalised(F.col(f"`{text_col}`")).alias("_norm"))
     rows = rows.withColumn("_slot", F.pmod(F.xxhash64("_id"), F.lit(slots)).cast("int"))
+    rows = rows.withColumn("_head", F.substring("_norm", 1, HEAD))
     # one exchange of the texts: the window below is satisfied by this range partitioning and only sorts inside it
-    laid = rows.repartitionByRange(F.col("_norm"), F.col("_slot"))
-    run = Window.partitionBy("_norm", "_slot").orderBy(F.col("_id").asc_nulls_last())
+    laid = rows.repartitionByRange(F.col("_head"), F.col("_slot"))
+    run = Window.partitionBy("_head", "_slot", "_norm").orderBy(F.col("_id").asc_nulls_last())
     heads_of = laid.withColumn("_at", F.row_number().over(run))
-    # the text stays behind here; what goes on is its digest
-    narrow = heads_of.select("_id", "_slot", "_at", F.sha2(F.col("_norm"), 256).alias("_sha"),
-                             F.length("_norm").alias("_len"))
+    # the text stays behind here; what goes on is its digest, written because it is read twice
+    narrow = saved(heads_of.select("_id", "_slot", "_at", F.sha2(F.col("_norm"), 256).alias("_sha"),
+                                   F.length("_norm").alias("_len")), "dedup-digests")
     part = ["_sha", "_len", "_slot"]
     slot_heads = narrow.groupBy(*part).agg(F.min("_id").alias("_keep"), F.max("_at").cast("long").alias("_n"))
     text = Window.partitionBy("_sha", "_len")
