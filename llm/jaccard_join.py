@@ -177,6 +177,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         open_marks = marks.join(spread, "g")
         mixed = open_marks.groupBy("h").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("h")
         left = saved(open_marks.join(mixed, "h"), "jaccard-open")
+        if left.isEmpty():
+            break
 
     # 5: what is left between components
     x, y = left.alias("x"), left.alias("y")
