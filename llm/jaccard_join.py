@@ -9,8 +9,8 @@
 4.  Groups that meet in a prefix shingle are compared with that shingle's hub, the group with the fewest lone shingles
     first and another one in each further round, and the members of a group with its first one.  Pairs that a 512-bit parity sketch proves too different are left
     out; the others are expanded to members and verified on the whole sets.
-5.  What the links so far do not connect is compared in full: groups that meet, or a group's own members, as long as
-    they lie in different components.  Pairs within a component cannot change a component.
+5.  What the links so far do not connect is compared in full: members that meet in a prefix shingle and lie in different
+    components, again with the sketches first.  Pairs within a component cannot change a component.
 
 Steps 2, 3 and 5 lose no link between different components, so the components are exact.  Hot shingles, groups and classes
 are joined by sort-merge joins that Spark splits, and aggregated before they are shuffled.
@@ -34,7 +34,7 @@ SKETCH = [f"s{i}" for i in range(8)]
 #: Ids whose texts are fetched for verification are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Rounds of comparisons with one hub for each shingle; what they leave apart is compared in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 
 
 class Bounds:
@@ -180,21 +180,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         if left.isEmpty():
             break
 
-    # 5: what is left between components
-    x, y = left.alias("x"), left.alias("y")
-    settled = (c("x.low") == c("x.high")) & (c("y.low") == c("y.high")) & (c("x.low") == c("y.low"))
-    alone = (c("x.size") > 1) | (c("y.size") > 1) | bounds.sketches_fit(
-        c("x.n"), [c(f"x.{s}") for s in SKETCH], c("y.n"), [c(f"y.{s}") for s in SKETCH])
-    meet = x.join(y, (c("x.h") == c("y.h")) & (c("x.g") < c("y.g")) & ~settled & bounds.sizes_fit(c("x.n"), c("y.n")) & alone
-                  ).select(c("x.g").alias("gx"), c("y.g").alias("gy"))
-    torn = spread.where("low <> high").select(F.col("g").alias("gx"), F.col("g").alias("gy"))
-    side = placed.select("g", "id", "n", "component", *SKETCH)
-    px = side.select(*[F.col(k).alias(f"x_{k}") for k in side.columns])
-    py = side.select(*[F.col(k).alias(f"y_{k}") for k in side.columns])
-    rest = meet.union(torn).distinct().join(px, c("gx") == c("x_g")).join(
-        py, (c("gy") == c("y_g")) & (c("x_component") != c("y_component")) & ((c("gx") != c("gy")) | (c("x_id") < c("y_id")))
-        & bounds.sketches_fit(c("x_n"), [c(f"x_{s}") for s in SKETCH], c("y_n"), [c(f"y_{s}") for s in SKETCH])
-    ).select(c("x_id").alias("a"), c("y_id").alias("b")).distinct()
+    # 5: what is left between components, member by member; the sketches are compared inside the join
+    side = left.select("g", "h").join(placed.select("g", "id", "n", "component", *SKETCH), "g")
+    x, y = side.alias("x"), side.alias("y")
+    rest = x.join(y, (c("x.h") == c("y.h")) & (c("x.id") < c("y.id")) & (c("x.component") != c("y.component"))
+                  & bounds.sizes_fit(c("x.n"), c("y.n")) & bounds.sketches_fit(
+                      c("x.n"), [c(f"x.{k}") for k in SKETCH], c("y.n"), [c(f"y.{k}") for k in SKETCH])
+                  ).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()
     rest = saved(rest, "jaccard-rest")
     if not rest.isEmpty():
         found = components(links.union(_verified(*args, rest)))
