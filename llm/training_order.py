@@ -55,7 +55,7 @@ def ordered(sequences: DataFrame, keys: list[str], key: str) -> DataFrame:
     """``sequences`` with ``slot``: a keyed permutation of 0 to N - 1.  Rows equal in ``keys`` are numbered in any order."""
     kept = saved(sequences, "order-sequences")
     n = kept.count()
-    ranges = max(4, -(-n // RANGE_ROWS))
+    ranges = max(64, -(-n // RANGE_ROWS))
     chunk = F.pmod(F.xxhash64(*keys), F.lit(ranges)).cast("int")
     numbered = dense_rank_in(kept, [], [F.col(k).asc_nulls_first() for k in keys], chunk, "_index", "order-ranks")
     return numbered.withColumn("slot", permuted(F.col("_index"), n, key, "slot")).drop("_index")
