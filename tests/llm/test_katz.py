@@ -77,6 +77,17 @@ def test_against_the_definition(docs, size):
     assert np.allclose([x[4:] for x in a], [x[4:] for x in b], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("local", [40, 5, 0])
+def test_every_word_keeps_its_bigrams(docs, local):
+    """However few words' numbers travel in the tasks, all words have bigrams of their own."""
+    train = [prose(i, 30 + i) for i in range(40)] + [None, "", "the the the end", "rare1 rare2 rare1 rare2", "the rare1 the"]
+    texts = [prose(7, 20), prose(900, 60), "rare1 rare2", "rare2 rare1 never-seen the", "never-seen rare2", None]
+    got = katz.scored(docs(list(enumerate(texts))), katz.fit(docs(train), local=local)).orderBy("doc_id").collect()
+    want = brute(train, texts, 1 << 18)
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [w[:3] for w in want]
+    assert np.allclose([(r.base_score, r.score) for r in got], [w[3:] for w in want], rtol=1e-9, atol=1e-9)
+
+
 def test_nothing_to_learn_from(docs):
     model = katz.fit(docs([]))
     got = {r.doc_id: r for r in katz.scored(docs(["a b", None]), model).collect()}
