@@ -97,11 +97,8 @@ RECORDS = 4096
 
 @query("op9_training_order")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    said = turns.withColumn("said", F.concat_ws(": ", "role", "text"))
-    keys = ["conv_id", "turn"]
-    rows = training_order.token_sequences(said, keys, "said", SEQUENCE, END_ID, **VOCABULARY)
-    laid = training_order.ordered(rows, [*keys, "piece"], key="epoch 0")
+    rows = training_order.token_sequences(table(spark, sf_dir, "documents"), ["doc_id"], "text", SEQUENCE, END_ID, **VOCABULARY)
+    laid = training_order.ordered(rows, ["doc_id", "piece"], key="epoch 0")
     return training_order.write_shards(laid, shared_folder(spark, "token-shards"), SEQUENCE, RECORDS)
 
 

@@ -17,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import dense_rank_in, saved
+from llm.common import saved
 from llm.feistel import permuted
 from llm.packing import cut
 from llm.tokens import encoder
 
-RANGE_ROWS = 1 << 17
+#: Ranges of hashes that are numbered apart.
+RANGES = 4096
 
 
 def token_sequences(df: DataFrame, keys: list[str], text_col: str, stride: int, end_id: int, vocabulary: str,
@@ -52,13 +53,20 @@ def token_sequences(df: DataFrame, keys: list[str], text_col: str, stride: int,
 
 
 def ordered(sequences: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """``sequences`` with ``slot``: a keyed permutation of 0 to N - 1.  Rows equal in ``keys`` are numbered in any order."""
-    kept = saved(sequences, "order-sequences")
-    n = kept.count()
-    ranges = max(64, -(-n // RANGE_ROWS))
-    chunk = F.pmod(F.xxhash64(*keys), F.lit(ranges)).cast("int")
-    numbered = dense_rank_in(kept, [], [F.col(k).asc_nulls_first() for k in keys], chunk, "_index", "order-ranks")
-    return numbered.withColumn("slot", permuted(F.col("_index"), n, key, "slot")).drop("_index")
+    """``sequences`` with ``slot``: a keyed permutation of 0 to N - 1.  Rows equal in ``keys`` are numbered in any order.
+
+    Each row moves to its range of hashes and is numbered there; that is written, once, and the ranges' offsets are added
+    as it is read.
+    """
+    inner = Window.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    ranged = sequences.withColumn("_range", F.pmod(F.xxhash64(*keys), F.lit(RANGES)).cast("int"))
+    kept = saved(ranged.repartition("_range").withColumn("_at", F.row_number().over(inner) - 1), "order-sequences")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = saved(kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")), "order-ranges")  # at most ``RANGES`` rows
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    index = (F.col("_at") + F.col("_before")).cast("long")
+    return kept.join(F.broadcast(offsets), "_range").withColumn("slot", permuted(index, n, key, "slot")).drop("_range", "_at", "_before")
 
 
 def write_shards(sequences: DataFrame, path: str, stride: int, records: int, padding: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from llm import training_order as order
 from llm.common import shared_folder
-from llm.queries import VOCABULARY
+from llm.queries import QUERIES, SEQUENCE, VOCABULARY
 
 
 def materialise(spark, df, stride=32, records=8):
@@ -45,3 +45,17 @@ def test_odd_rows(spark, docs):
     _, rows = materialise(spark, docs([r for r in ODD if r[1] is None or len(r[1]) < 5000]))
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert materialise(spark, docs([]))[1] == []
+
+
+def test_query_covers_every_document(spark, docs, tmp_path):
+    texts = [prose(i, 20) for i in range(30)] + [prose(77, 3 * SEQUENCE), None]
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    docs(texts).selectExpr("doc_id as conv_id", "cast(0 as int) as turn", "'user' as role", "'hi' as text").limit(2).write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    rows = QUERIES["op9_training_order"](spark, str(tmp_path)).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    length = {}
+    for r in rows:
+        length[r.doc_id] = length.get(r.doc_id, 0) + r.length
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert length == {i: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
