@@ -1,10 +1,14 @@
 """Format-preserving pseudonyms for numbers and dates in texts, by keyed Feistel permutations.
 
-Found by pattern and then validated: payment card numbers (Luhn), phone numbers of the North American plan, social security
-numbers, IPv4 addresses, and dates from 1900 to 2099.  A valid value is permuted within all valid values of its format:
-its pseudonym has the same separators and is valid again, equal values get equal pseudonyms in every document however
-they are punctuated, different ones different pseudonyms, and who has the key can undo it.  All else in a text stays as it
-is.  Native: only DataFrame functions.
+Found by pattern and then validated: payment card numbers (Luhn), phone numbers of ten digits, with or without 1 before
+them, and of other countries with + before them, social security numbers, IPv4 addresses, and dates from 1900 to 2099.  A
+valid value is permuted within all valid values of its format: its pseudonym has the same separators and is valid again,
+equal values get equal pseudonyms in every document however they are punctuated, different ones different pseudonyms, and
+who has the key can undo it.  All else in a text stays as it is.  Native: only DataFrame functions.
+
+In a row of digit groups every part of 13 to 19 digits may be a card; from the left, the longest valid part is taken.  Where
+a row's pseudonym would be read in other parts, it is permuted again, so only there equal cards can differ.  Dates stay on
+the same side of day 12, which tells dd/MM/yyyy from MM/dd/yyyy.
 """
 
 from __future__ import annotations
@@ -12,20 +16,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.feistel import permuted
+from llm.feistel import WALK, permuted
 
 # Patterns of the formats, in the order in which they are applied.
-_BEFORE, _AFTER = r"(?<![0-9A-Za-z.:/-])", r"(?![0-9A-Za-z]|[.:/-][0-9])"
+_WORD, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+
+
+def _apart(pattern: str, separator: str) -> str:
+    """``pattern`` not next to digits, nor to more of the same format."""
+    return f"(?<![0-9])(?<![0-9]{separator}){pattern}(?![0-9]|{separator}[0-9])"
+
+
 PATTERNS = {
-    "card": _BEFORE + r"[0-9](?:[ -]?[0-9]){12,18}" + _AFTER,
-    "phone": _BEFORE + r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}" + _AFTER,
-    "ssn": _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER,
-    "ip": _BEFORE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _AFTER,
-    "iso_date": _BEFORE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _AFTER,
-    "dotted_date": _BEFORE + r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + _AFTER,
-    "slashed_date": _BEFORE + r"[0-9]{2}/[0-9]{2}/[0-9]{4}" + _AFTER,
+    # whole rows of groups; possessive, so that long rows need no stack
+    "card": _WORD + r"(?=(?:[ -]?[0-9]){13})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+",
+    "phone": _WORD + r"(?<![0-9][.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}" + _END + r"(?![.-][0-9])",
+    "abroad": r"(?<![0-9A-Za-z+])\+[2-9](?:[ .-]?\(?[0-9]\)?){7,14}" + _END,
+    "ssn": _apart(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
+    "ip": _apart(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"\."),
+    "iso_date": _apart(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "-"),
+    "dotted_date": _apart(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", r"\."),
+    "slashed_date": _apart(r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "/"),
 }
-DATES = {"iso_date": "yyyy-MM-dd", "dotted_date": "dd.MM.yyyy", "slashed_date": "MM/dd/yyyy"}
+DATES = {"iso_date": ["yyyy-MM-dd"], "dotted_date": ["dd.MM.yyyy"], "slashed_date": ["MM/dd/yyyy", "dd/MM/yyyy"]}
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
@@ -62,26 +75,81 @@ def luhn_digit(body: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
+def _ten(k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(10**i) for i in range(11)]), k.cast("int") + 1)
+
+
+def _number(digits: Column, key: str, tweak: str, back: bool) -> Column:
+    """``digits`` (2 to 18) permuted within all numbers of as many digits."""
+    n = F.length(digits)
+    half = F.call_function("div", n, F.lit(2))
+    image = permuted(digits.cast("long"), None, key, F.concat(F.lit(tweak), n.cast("string")), back, (_ten(n - half), _ten(half)))
+    return F.lpad(image.cast("string"), n, F.lit("0"))
+
+
 def _card(found: Column, key: str, back: bool) -> Column:
     digits = _digits(found)
-    n = F.length(digits) - 1
-    body = F.substr(digits, F.lit(1), n)
-    half = F.call_function("div", n, F.lit(2))
-    ten = lambda k: F.element_at(F.array(*[F.lit(10**i) for i in range(1, 11)]), k.cast("int"))
-    image = F.lpad(permuted(body.cast("long"), None, key, F.concat(F.lit("card"), n.cast("string")), back, (ten(n - half), ten(half))).cast("string"), n, F.lit("0"))
-    valid = F.substr(digits, n + 1, F.lit(1)) == luhn_digit(body)
-    return F.when(valid, _into(found, F.concat(image, luhn_digit(image))))
+    image = _number(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", back)
+    return _into(found, F.concat(image, luhn_digit(image)))
+
+
+def _groups(row: Column) -> Column:
+    return F.regexp_extract_all(row, F.lit("[0-9]+[ -]?"), F.lit(0))
+
+
+def _joined(groups: Column, first: Column, n: Column) -> Column:
+    return F.array_join(F.slice(groups, first, n), "")
+
+
+def _cards(row: Column) -> Column:
+    """The first and last groups (from 1) of the cards in a row of groups."""
+    groups = _groups(row)
+
+    def valid(digits: Column) -> Column:
+        n = F.length(digits)
+        return F.when(n.between(13, 19), F.right(digits, F.lit(1)) == luhn_digit(F.substr(digits, F.lit(1), n - 1))).otherwise(False)
+
+    def step(s: Column, i: Column) -> Column:
+        ends = F.sequence(i, F.least(i + 18, F.size(s["groups"])))
+        last = F.array_max(F.filter(ends, lambda j: valid(_digits(_joined(s["groups"], i, j - i + 1)))))
+        last = F.when(i >= s["next"], last)
+        return F.transform(F.array(last), lambda e: F.struct(
+            s["groups"].alias("groups"), F.coalesce(e + 1, s["next"]).alias("next"),
+            F.when(e.isNotNull(), F.concat(s["cuts"], F.array(F.struct(i.alias("a"), e.alias("b"))))).otherwise(s["cuts"]).alias("cuts")))[0]
+
+    start = F.struct(groups.alias("groups"), F.lit(1).alias("next"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("cuts"))
+    start = start.withField("cuts", F.from_json(F.lit("[]"), "array<struct<a:int,b:int>>"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: s["cuts"])
+
+
+def _row(row: Column, cuts: Column, key: str, back: bool) -> Column:
+    """``row`` with its cards permuted until it is read in the same parts again."""
+
+    def once(row: Column) -> Column:
+        groups = _groups(row)
+        start = F.struct(groups.alias("groups"), F.lit("").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(cuts, start, lambda s, c: F.struct(s["groups"].alias("groups"), F.concat(
+            s["out"], _joined(s["groups"], s["next"], c["a"] - s["next"]), _card(_joined(s["groups"], c["a"], c["b"] - c["a"] + 1), key, back)).alias("out"),
+            (c["b"] + 1).alias("next")), lambda s: F.concat(s["out"], _joined(s["groups"], s["next"], F.size(s["groups"]) - s["next"] + 1)))
+
+    def again(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(F.transform(F.array(once(s["row"])), lambda r: F.struct(
+            r.alias("row"), F.coalesce(_cards(r) == cuts, F.lit(False)).alias("done")))[0])
+
+    return F.when(F.size(cuts) > 0, F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), F.struct(row.alias("row"), F.lit(False).alias("done")), again,
+                                                lambda s: s["row"]))
 
 
 def _phone(found: Column, key: str, back: bool) -> Column:
     digits = _digits(found)
-    ten = F.right(digits, F.lit(10))
-    x = (((_part(ten, 1, 1) - 2) * 100 + _part(ten, 2, 2)) * 800 + (_part(ten, 4, 1) - 2) * 100 + _part(ten, 5, 2)) * 10000 + _part(ten, 7, 4)
-    y = permuted(x, 800 * 800 * 10000, key, "phone", back, (F.lit(80000).cast("long"), F.lit(80000).cast("long")))
-    line, rest = y % 10000, F.call_function("div", y, F.lit(10000))
-    area, office = F.call_function("div", rest, F.lit(800)) + 200, rest % 800 + 200
     lead = F.when(F.length(digits) > 10, F.lit("1")).otherwise(F.lit(""))
-    return _into(found, F.concat(lead, area.cast("string"), office.cast("string"), _padded(line, 4)))
+    return _into(found, F.concat(lead, _number(F.right(digits, F.lit(10)), key, "phone", back)))
+
+
+def _abroad(found: Column, key: str, back: bool) -> Column:
+    """The first two digits, which tell the country or its region, stay."""
+    digits = _digits(found)
+    return _into(found, F.concat(F.substr(digits, F.lit(1), F.lit(2)), _number(F.substr(digits, F.lit(3)), key, "abroad", back)))
 
 
 def _ssn(found: Column, key: str, back: bool) -> Column:
@@ -106,16 +174,20 @@ def _ip(found: Column, key: str, back: bool) -> Column:
 
 
 def _date(found: Column, key: str, back: bool, form: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(found, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.datediff(F.try_to_timestamp(found, F.lit(form)).cast("date"), first).cast("long")
     valid = day.between(0, DAYS - 1)
-    y = permuted(F.when(valid, day), DAYS, key, "date", back)
-    return F.when(valid, F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), y.cast("int")), form))
+    late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    once = lambda x: permuted(x, DAYS, key, "date", back)
+    y = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(F.when(valid, day)),
+                    lambda y, _: F.when(late(y) == late(day), y).otherwise(once(y)))
+    return F.when(valid, F.date_format(F.date_add(first, y.cast("int")), form))
 
 
 def _image(kind: str, found: Column, key: str, back: bool) -> Column:
     if kind in DATES:
-        return _date(found, key, back, DATES[kind])
-    return {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip}[kind](found, key, back)
+        return F.coalesce(*[_date(found, key, back, form) for form in DATES[kind]])
+    return {"phone": _phone, "abroad": _abroad, "ssn": _ssn, "ip": _ip}[kind](found, key, back)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: str = "pseudonymised", back: bool = False) -> DataFrame:
@@ -127,15 +199,20 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: st
     if clash := {out_col, *[f"n_{k}" for k in PATTERNS]} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     out = docs.withColumn(out_col, F.col(f"`{text_col}`").cast("string"))
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in reversed(PATTERNS.items()) if back else PATTERNS.items():
         text = F.col(f"`{out_col}`")
         some = text.rlike(pattern)
         found = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        out = out.withColumn("_found", found).withColumn(
-            "_images", F.transform("_found", lambda f: _image(kind, f, key, back)))
+        out = out.withColumn("_found", found)
+        if kind == "card":
+            out = out.withColumn("_cuts", F.transform("_found", _cards))
+            out = out.withColumn("_images", F.zip_with("_found", "_cuts", lambda f, c: _row(f, c, key, back)))
+            many = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.size(c))
+        else:
+            out = out.withColumn("_images", F.transform("_found", lambda f: _image(kind, f, key, back)))
+            many = F.size(F.filter("_images", lambda i: i.isNotNull()))
         whole = F.array_join(F.zip_with(F.split(text, pattern, -1), F.zip_with(
             "_found", "_images", lambda f, i: F.coalesce(i, f)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         out = out.withColumns({out_col: F.coalesce(F.when(F.col("_found").isNotNull(), whole), text),
-                               f"n_{kind}": F.coalesce(F.size(F.filter("_images", lambda i: i.isNotNull())), F.lit(0)).cast("int")})
-        out = out.withColumn(f"n_{kind}", F.greatest(F.lit(0), F.col(f"n_{kind}"))).drop("_found", "_images")
-    return out
+                               f"n_{kind}": F.greatest(F.lit(0), F.coalesce(many, F.lit(0)).cast("int"))}).drop("_found", "_images", "_cuts")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out_col}`"), *[f"n_{kind}" for kind in PATTERNS])

@@ -66,3 +66,32 @@ def test_many_values_in_one_text(docs):
     text = " ".join(f"10.{i // 250}.{i % 250}.1" for i in range(1500))
     out = run(docs, [text])[0].pseudonymised.split(" ")
     assert len(set(out)) == 1500
+
+
+HIDDEN = {
+    "phone": ["+1 (017) 555-7713", "+1 (132) 555-1352", "212 555 0100", "2125550100", "tel:632-555-4827", "12/632.555.4827"],
+    "abroad": ["+44 20 7946 0958", "+49 (30) 901820", "+33123456789"],
+    "card": ["4111 1111 1111 1111 123", "12 4111111111111111", "1234 4111 1111 1111 1111", "card:4111111111111111", "4111-1111-1111-1111 12ab"],
+    "ssn": ["ssn:123-45-6789", "SSN/123-45-6789"],
+    "ip": ["10.1.2.3:8080", "http://10.1.2.3/x", "ip-10.1.2.3"],
+    "iso_date": ["1987-06-05T10:00", "on:1987-06-05"],
+    "slashed_date": ["25/12/1987", "13/01/2001", "05/06/1987"],
+}
+
+
+def test_other_spellings_and_neighbours(docs):
+    rows = [(kind, text) for kind, texts in HIDDEN.items() for text in texts]
+    got = run(docs, [t for _, t in rows])
+    for i, (kind, text) in enumerate(rows):
+        new, digits = got[i].pseudonymised, "[0-9]+" if kind == "ip" else "[0-9]"
+        assert got[i][f"n_{kind}"] == 1 and new != text and re.sub(digits, "0", new) == re.sub(digits, "0", text), (text, new)
+    back = run(docs, [got[i].pseudonymised for i in range(len(rows))], back=True)
+    assert [back[i].pseudonymised for i in range(len(rows))] == [t for _, t in rows]
+
+
+def test_rows_of_groups_are_undone(docs):
+    texts = [f"{i} 4111 1111 1111 1111 {7 * i:03d}" for i in range(60)] + ["4111111111111111 5500005555555559", "1 " * 5000]
+    got = run(docs, texts)
+    assert all(got[i].n_card >= 1 for i in range(60)) and got[60].n_card == 2
+    back = run(docs, [got[i].pseudonymised for i in range(len(texts))], back=True)
+    assert [back[i].pseudonymised for i in range(len(texts))] == texts
