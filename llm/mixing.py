@@ -2,9 +2,9 @@
 
 A classifier trained on a labelled table gives each document a posterior over the domains.  The rates r >= ``least``
 minimise the squared relative errors of the domain totals, sum over k of ((sum over documents d of r_d n_d p_dk) - T_k)^2 /
-T_k, by projected gradient steps.  A step needs the domain totals under the current rates, one aggregate with a number for
-each domain; the rates themselves are never stored, for each follows from the document's posterior and the few numbers of
-the steps so far.
+T_k; of all such rates those closest to 1 are taken, by ``RIDGE`` times the sum of n_d (r_d - 1)^2.  They are r_d = max(least,
+1 + p_d . v) for one vector v with a number for each domain, found by Newton steps.  A step needs the domain totals and
+their derivatives under the current rates, one aggregate; the rates themselves are never stored.
 
 Features are counts of byte classes and words of the whole text; the classifier is a softmax regression fitted on at most
 ``SAMPLE`` labelled documents of each domain, those with the smallest keyed hashes of their ids.
@@ -12,6 +12,7 @@ Features are counts of byte classes and words of the whole text; the classifier
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,10 @@ from pyspark.sql import types as T
 from llm.common import saved
 
 SAMPLE = 5000
-STEPS = 40
+#: Newton steps end when the totals solve the problem to ``CLOSE``, relatively; ``STEPS`` aggregates are far more than that takes.
+STEPS = 200
+CLOSE = 1e-6
+RIDGE = 1e-7
 _CLASSES = ["lower", "upper", "digit", "space", "line", "stop", "mark", "high"]
 _BYTE_CLASS = np.full(256, 6)
 _BYTE_CLASS[97:123], _BYTE_CLASS[65:91], _BYTE_CLASS[48:58], _BYTE_CLASS[[9, 11, 12, 13, 32]] = 0, 1, 2, 3
@@ -137,45 +141,55 @@ def _rate(steps: list[list[float]], least: float) -> Column:
 
 
 def rates(rows: DataFrame, targets: list[float], budget: float | None = None, least: float = 0.0,
-          steps: int = STEPS, close: float = 1e-4) -> tuple[DataFrame, list[list[float]]]:
+          steps: int = STEPS, close: float = CLOSE) -> tuple[DataFrame, list[list[float]]]:
     """``rows`` (id, n, p) with ``rate``, and the steps made.
 
     ``targets``: weights of the domains.  ``budget``: tokens the mixture shall have; None: as few as let every domain keep
-    its present total, or all tokens where a domain without tokens shall have some.  ``rows`` is read once a step: pass a written table.  Fewer steps
-    are made once all totals are within ``close`` of their targets, relatively, or the residual no longer changes.
+    its present total, or all tokens where a domain without tokens shall have some.  ``rows`` is read at most ``steps`` times: pass a written table.
+    Iterates until the totals are those of the solution to within ``close`` of the targets, and warns if that is not reached.
     """
     size = len(targets)
     goal = np.asarray(targets, dtype=float) / sum(targets)
     weight = [F.col("n") * F.col("p")[k] for k in range(size)]
-    gram = [F.sum(weight[j] * F.col("p")[k]).alias(f"g{j}_{k}") for j in range(size) for k in range(j, size)]
-    first = rows.agg(*[F.sum(weight[k]).alias(f"t{k}") for k in range(size)], *gram).first()
+    first = rows.agg(*[F.sum(weight[k]).alias(f"t{k}") for k in range(size)]).first()
     now = np.array([first[f"t{k}"] or 0.0 for k in range(size)])
     if not now.sum():
         return rows.withColumn("rate", F.lit(1.0)), []
     if budget is None:
         budget = float(max((now / np.maximum(goal, 1e-12)).max(), now.sum())) if (goal > 0).all() else float(now.sum())
     want = goal * budget
-    g = np.zeros((size, size))
-    for j in range(size):
-        for k in range(j, size):
-            g[j, k] = g[k, j] = first[f"g{j}_{k}"] or 0.0
-    inverse = 1 / np.maximum(want, 1e-9 * budget)
-    # Lipschitz constant of the gradient where each rate is measured by the document's tokens
-    root = np.sqrt(inverse)
-    length = 1 / np.linalg.eigvalsh(root[:, None] * g * root[None])[-1]
-    made, before = [], None
-    for _ in range(steps):
-        rest = want - now
-        if (np.abs(rest) <= close * np.maximum(want, 1e-9 * budget)).all():
-            break
-        made.append((length * inverse * rest).tolist())
-        if before is not None and np.abs(rest - before).max() <= 1e-7 * budget:
-            break
-        before = rest
-        rate = _rate(made, least)
-        sums = rows.agg(*[F.sum(rate * weight[k]).alias(f"t{k}") for k in range(size)]).first()
-        now = np.array([sums[f"t{k}"] for k in range(size)])
-    return rows.withColumn("rate", _rate(made, least)), made
+    unit = np.maximum(want, 1e-9 * budget)
+    pairs = [(j, k) for j in range(size) for k in range(j, size)]
+
+    def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far the totals are from the solution, in units of the targets' roots, and the derivatives of that."""
+        move = F.lit(1.0) + sum((F.col("p")[k] * F.lit(float(v[k])) for k in range(size)), F.lit(0.0))
+        rate, free = _rate([v.tolist()], least), (move > least).cast("double")
+        row = rows.agg(*[F.sum(rate * weight[k]).alias(f"t{k}") for k in range(size)],
+                       *[F.sum(free * weight[j] * F.col("p")[k]).alias(f"g{j}_{k}") for j, k in pairs]).first()
+        g = np.zeros((size, size))
+        for j, k in pairs:
+            g[j, k] = g[k, j] = row[f"g{j}_{k}"]
+        return np.array([row[f"t{k}"] for k in range(size)]) - want + RIDGE * unit * v, g + np.diag(RIDGE * unit)
+
+    v, made = np.zeros(size), 1
+    off, slope = at(v)
+    while made < steps and (np.abs(off) > close * unit).any():
+        root = np.sqrt(unit)
+        d = np.linalg.solve(slope / root[:, None] / root[None], -off / root) / root
+        down, a, low, high = float(off @ d), 1.0, 0.0, np.inf
+        while True:  # the derivative along d grows from ``down``, below 0: bracket its zero
+            new_off, new_slope = at(v + a * d)
+            made += 1
+            there = float(new_off @ d)
+            if abs(there) <= 0.5 * abs(down) or made >= steps or (np.abs(new_off) <= close * unit).all():
+                break
+            low, high = (low, a) if there > 0 else (a, high)
+            a = (low + high) / 2 if high < np.inf else 2 * a
+        v, off, slope = v + a * d, new_off, new_slope
+    if (np.abs(off) > close * unit).any():
+        warnings.warn(f"mixing: totals are {np.abs(off / unit).max():.2g} of the targets away from the solution", stacklevel=2)
+    return rows.withColumn("rate", _rate([v.tolist()], least)), [v.tolist()]
 
 
 def copies(rate: Column, key: Column) -> Column:

@@ -27,6 +27,35 @@ def test_expected_totals_match_the_targets(spark, least, budget):
     assert np.allclose(total, want, rtol=2e-2 if least == 0 else 6e-2)
 
 
+def optimum(p, n, want, least, rounds=200_000):
+    """Totals of the least-squares rates by accelerated projected gradient steps, written out."""
+    a = (p * np.sqrt(n)[:, None]) / np.sqrt(want)
+    low = least * np.sqrt(n)
+    x = y = np.sqrt(n).astype(float)
+    step, momentum = 1 / np.linalg.eigvalsh(a.T @ a)[-1], 1.0
+    for _ in range(rounds):
+        new = np.maximum(low, y - step * (a @ (y @ a - np.sqrt(want))))
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        if (new - x) @ (y - new) > 0:
+            after, y = 1.0, new
+        else:
+            y = new + (momentum - 1) / after * (new - x)
+        x, momentum = new, after
+    return (x @ a) * np.sqrt(want)
+
+
+@pytest.mark.parametrize("least,budget", [(0.0, 150_000.0), (1.0, None), (0.0, None)])
+def test_production_settings_reach_the_optimum(spark, least, budget):
+    rows, p, n = posteriors(spark)
+    goal = np.array([0.5, 0.3, 0.2])
+    out, _ = mixing.rates(rows, goal.tolist(), budget, least)
+    rate = np.array([r.rate for r in out.orderBy("id").collect()])
+    want = goal * (budget or max((n @ p / goal).max(), n.sum()))
+    total, best = (rate * n) @ p, optimum(p, n, want, least)
+    print("off the optimum", np.abs(total / best - 1).max(), "off the targets", total / want - 1)
+    assert (rate >= least - 1e-12).all() and np.allclose(total, best, rtol=1e-3)
+
+
 def test_steps_are_those_of_projected_gradient(spark):
     rows, p, n = posteriors(spark, 60, 2)
     out, steps = mixing.rates(rows, [0.2, 0.2, 0.6], 9_000.0, steps=7)
