@@ -1,5 +1,5 @@
 import pytest
-from conftest import frame
+from frames import frame
 from pyspark.sql import functions as F
 
 from forewarn.operators import reporting, scenarios

@@ -1,5 +1,5 @@
 import pytest
-from conftest import WORKED, frame
+from frames import WORKED, frame
 from pyspark.sql import functions as F
 
 from forewarn.functions import rules

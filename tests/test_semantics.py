@@ -1,6 +1,6 @@
 import math
 
-from conftest import frame
+from frames import frame
 from pyspark.sql import functions as F
 
 from forewarn.functions import semantics as sem
