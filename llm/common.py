@@ -26,7 +26,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     # what only this write needed is garbage now; collecting it lets Spark remove its shuffle files
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote, once all that reads them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import (
-    exact_dedup, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, toxicity, training_order,
+    exact_dedup, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, simhash, toxicity, training_order,
 )
 from llm.common import shared_folder, table
 
@@ -112,3 +112,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     return sharding.shuffle_into_shards(rows, SHARDS, "doc_id", seed=10).withColumns(
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
