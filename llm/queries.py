@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import (
-    exact_dedup, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, simhash, toxicity, training_order,
+    exact_dedup, hard_negatives, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, simhash, toxicity,
+    training_order,
 )
 from llm.common import shared_folder, table
 
@@ -114,6 +115,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mined(rows, F.expr("id % 50 = 0"), positives=5, negatives=3, lowest=50, highest=95, scale=256)
+
+
 @query("op13_simhash")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
