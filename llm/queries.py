@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import (
-    exact_dedup, hard_negatives, jaccard_join, katz, mixing, packing, permutation_index, pseudonyms, sharding, simhash, toxicity,
-    training_order,
+    exact_dedup, hard_negatives, jaccard_join, katz, mixing, packing, permutation_index, prefix_trie, pseudonyms, sharding,
+    simhash, toxicity, training_order,
 )
 from llm.common import shared_folder, table
 
@@ -115,6 +115,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Every conversation c takes its first h turns from conversation c - c % 20, with h = crc32(c) % 4."""
+    conv = F.col("conv")
+    return prefix_trie.branched(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(rebuilt(prefix_trie.numbered(prefix_trie.digested(table(spark, sf_dir, "conversations")))))
+
+
 @query("op12_hard_negatives")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
