@@ -12,7 +12,7 @@ from forewarn.functions import rules
 from forewarn.functions import semantics as sem
 from forewarn.functions.semantics import npround
 from forewarn.operators import (
-    derived, documents, explain, features, history, metrics, ml, reporting, scenarios, scoring, tables,
+    boosting, derived, documents, explain, features, history, metrics, ml, reporting, scenarios, scoring, tables,
 )
 from forewarn.plans import workflow
 from forewarn.session import configure
@@ -935,17 +935,19 @@ def _(spark, d):
 
 # --- models ------------------------------------------------------------------
 
-SMALL = dict(trees=4, forest=8)
+#: Boosting rounds of the model queries: a round takes about 1.7 s whatever the (small) input, so the 500 of ``ml.fit`` are
+#: left to its callers.  All else is at full size.
+ROUNDS = dict(trees=20)
 
 
 @functools.lru_cache(maxsize=4)
 def _fitted(app: str, d: str):
     spark = SparkSession.active()
-    return ml.fit(featured(spark, d), early_stop=True, **SMALL)
+    return ml.fit(featured(spark, d), early_stop=True, **ROUNDS)
 
 
 def fitted(spark, d):
-    """One small ensemble per application and data set."""
+    """One ensemble per application and data set."""
     return _fitted(spark.sparkContext.applicationId, d)
 
 
@@ -1070,22 +1072,55 @@ def _(spark, d):
         npround(col("c.impact"), 6).alias("impact"), "c.value")
 
 
-def shapley(spark, d, model, customers=1000, permutations=2):
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-    f = featured(spark, d)
-    vectors = ml.prepare(f, model.prep).select("LoanID", "features")
-    mean = [float(v) for v in vectors.select(Summarizer.mean(col("features")).alias("m")).first().m]
-    rows = tables.random_subsample(vectors, customers, "LoanID").select("LoanID", vector_to_array("features").alias("x"))
-    only = ml.EnsembleModel(model.prep, model.scaler, {"booster_a": model.models["booster_a"]}, weights=model.weights)
-    return explain.sampled_shapley(rows, only.score_vectors, "p_booster_a", model.features, mean,
-                                   permutations=permutations)
+def _explained(spark, d):
+    """Every loan's contributions to the log odds of the first booster."""
+    model, _ = fitted(spark, d)
+    vectors = ml.prepare(featured(spark, d), model.prep).select("LoanID", "features")
+    return boosting.contributions(vectors, model.models["booster_a"], model.features)
+
+
+@query("m17_tree_explanations")
+def _(spark, d):
+    out = explain.top_factors(_explained(spark, d), 10)
+    return out.select("LoanID", npround(col("base_value"), 6).alias("base_value"),
+                      npround(col("risk_probability"), 6).alias("risk_probability"), "top_risk_up", "top_risk_down")
 
 
 @query("m18_batch_contributions")
 def _(spark, d):
-    model, _ = fitted(spark, d)
-    return shapley(spark, d, model)
+    return _explained(spark, d).select("LoanID", F.explode("contributions").alias("c")).select("LoanID", "c.feature", "c.impact")
+
+
+@query("m19_tree_importance")
+def _(spark, d):
+    return explain.global_importance(_explained(spark, d))
+
+
+#: (feature, cut, left, right) inside, (value,) at leaves, and the cover of every node: a given booster of two trees.
+GIVEN_TREES = [
+    [("CreditScore", 600.0, 1, 2, 1000.0), ("DTIRatio", 45.0, 3, 4, 400.0), ("Income", 60000.0, 5, 6, 600.0), (0.3, 250.0), (0.9, 150.0),
+     ("CreditScore", 720.0, 7, 8, 350.0), (-0.6, 250.0), (-0.1, 200.0), (-0.4, 150.0)],
+    [("DTIRatio", 30.0, 1, 2, 1000.0), ("Age", 35.0, 3, 4, 450.0), (0.5, 550.0), (0.2, 150.0), ("DTIRatio", 15.0, 5, 6, 300.0),
+     (-0.5, 120.0), (-0.2, 180.0)],
+]
+GIVEN_FEATURES = ["Age", "CreditScore", "DTIRatio", "Income"]
+
+
+def given_booster() -> boosting.BoostedTrees:
+    nodes = [(n, i, -1, 0.0, -1, -1, x[0], x[1], 0.0) if len(x) == 2 else
+             (n, i, GIVEN_FEATURES.index(x[0]), x[1], x[2], x[3], 0.0, x[4], 0.0)
+             for n, tree in enumerate(GIVEN_TREES) for i, x in enumerate(tree)]
+    return boosting.BoostedTrees(nodes, -1.0, len(GIVEN_FEATURES))
+
+
+@query("m17_given_tree_contributions")
+def _(spark, d):
+    from pyspark.ml.functions import array_to_vector
+    rows = loan_snapshot(spark, d).select("LoanID", array_to_vector(F.array(*[
+        F.coalesce(col(c).cast("double"), F.lit(-999.0)) for c in GIVEN_FEATURES])).alias("features"))
+    out = boosting.contributions(rows, given_booster(), GIVEN_FEATURES)
+    return out.select("LoanID", npround(col("base_value"), 6).alias("base_value"), F.explode("contributions").alias("c")).select(
+        "LoanID", "base_value", "c.feature", npround(col("c.impact"), 6).alias("impact"))
 
 
 @query("m19_global_importance")
@@ -1106,6 +1141,6 @@ def _(spark, d):
 @query("daily_workflow")
 def _(spark, d):
     out = io.work_dir(spark, "daily")
-    _, _, summary = workflow.run(spark, loan_snapshot(spark, d), out, ["event_timestamp", "customer_id"],
+    _, _, summary = workflow.run(spark, loan_snapshot(spark, d), out, ["event_timestamp", "customer_id"], model=fitted(spark, d)[0],
                                  healthcare_multiplier=col("healthcare_multiplier"), days_to_emi=key_days())
     return summary

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from functools import reduce
-
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,35 +59,3 @@ def mean_abs(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = df.agg(*[F.avg(F.abs(c)).alias(c) for c in columns])
     return stats.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), col(c).alias("mean_abs_impact")) for c in columns])).alias("r")).select("r.*")
-
-
-def sampled_shapley(rows: DataFrame, score_vectors, probability: str, names: list[str], background: list[float],
-                    key: str = "LoanID", permutations: int = 8, seed: int = 42) -> DataFrame:
-    """Shapley values of any vector model from feature orders drawn with a fixed seed.
-
-    ``rows`` has the key and ``x`` (array of feature values).  Walking along an
-    order replaces background values by the row's own, one feature at a time; each
-    feature is credited with the change it causes.  All hybrid rows are scored as
-    one DataFrame, so for every row the contributions add up to
-    ``f(row) - f(background)`` exactly.
-    """
-    rng = random.Random(seed)
-    size = len(names)
-    orders = [rng.sample(range(size), size) for _ in range(permutations)]
-    places = [sorted(range(size), key=o.__getitem__) for o in orders]
-    plan = F.array(*[F.struct(F.array(*map(F.lit, o)).alias("order"), F.array(*map(F.lit, p)).alias("place"))
-                     for o, p in zip(orders, places)])
-    base = F.array(*[F.lit(float(b)) for b in background])
-    walks = rows.select(key, "x", F.explode(plan).alias("w")).select(
-        key, "x", "w", F.explode(F.sequence(F.lit(0), F.lit(size))).alias("step"))
-    hybrid = F.transform("x", lambda v, j: F.when(F.get(col("w.place"), j) < col("step"), v).otherwise(F.get(base, j)))
-    scored = score_vectors(walks.select(key, "step", col("w.order").alias("order"),
-                                        array_to_vector(hybrid).alias("features")))
-    p = col(probability)
-    credit = F.array_compact(F.array(
-        F.when(col("step") > 0, F.struct(F.get("order", col("step") - 1).alias("j"), p.alias("d"))),
-        F.when(col("step") < size, F.struct(F.get("order", col("step")).alias("j"), (-p).alias("d")))))
-    label = reduce(lambda acc, i: acc.when(col("j") == i, names[i]), range(1, size), F.when(col("j") == 0, names[0]))
-    return (scored.select(key, F.explode(credit).alias("c")).select(key, "c.j", "c.d")
-            .groupBy(key, "j").agg((F.sum("d") / permutations).alias("impact"))
-            .select(key, label.alias("feature"), "impact"))

@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forewarn.functions import rules
-from forewarn.operators import metrics
+from forewarn.operators import boosting, metrics
 from forewarn.operators.tables import stratified_split
 from forewarn.sources.io import ensure_checkpoint_dir, work_dir
 
@@ -28,7 +27,7 @@ col = F.col
 NOT_FEATURES = {"LoanID", "customer_id", "name", "event_timestamp", "created_timestamp", "Default", "target",
                 "days_to_default", "delinquency_prob", "default_logit", "risk_score_v2", "risk_score",
                 "risk_category", "ensemble_probability"}
-_READERS = {"booster_a": GBTClassificationModel, "booster_b": GBTClassificationModel,
+_READERS = {"booster_a": boosting.BoostedTrees, "booster_b": boosting.BoostedTrees,
             "random_forest": RandomForestClassificationModel, "logistic": LogisticRegressionModel}
 
 
@@ -95,7 +94,10 @@ class EnsembleModel:
         """The same for rows that already carry the ``features`` vector."""
         out = self.scaler.transform(df) if "logistic" in self.models else df
         for name, model in self.models.items():
-            out = model.transform(out).withColumn(f"p_{name}", vector_to_array(f"_prob_{name}")[1])
+            if isinstance(model, boosting.BoostedTrees):
+                out = out.withColumn(f"p_{name}", model.probability(col("features")))
+            else:
+                out = model.transform(out).withColumn(f"p_{name}", vector_to_array(f"_prob_{name}")[1])
         out = out.drop(*[f"_{k}_{name}" for name in self.models for k in ("prob", "raw", "pred")],
                        "scaled_raw", "scaled")
         return out.withColumn("ensemble_probability", weighted_probability(list(self.models), self.weights))
@@ -104,7 +106,7 @@ class EnsembleModel:
         self.prep.write().overwrite().save(f"{path}/prep")
         self.scaler.write().overwrite().save(f"{path}/scaler")
         for name, model in self.models.items():
-            model.write().overwrite().save(f"{path}/model-{name}")
+            (model if isinstance(model, boosting.BoostedTrees) else model.write().overwrite()).save(f"{path}/model-{name}")
         spark = SparkSession.active()
         meta = json.dumps({"models": list(self.models), "threshold": self.threshold, "weights": self.weights,
                            "features": self.features})
@@ -119,7 +121,8 @@ class EnsembleModel:
 
     def importance(self, name: str = "booster_a") -> DataFrame:
         """Feature importance of a tree model, one row per feature, largest first."""
-        values = self.models[name].featureImportances.toArray()
+        model = self.models[name]
+        values = model.importance() if isinstance(model, boosting.BoostedTrees) else model.featureImportances.toArray()
         rows = [(f, float(v)) for f, v in zip(self.features, values)]
         return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(
             F.desc("importance"), "feature")
@@ -143,43 +146,40 @@ def _outputs(name: str) -> dict:
     return {"probabilityCol": f"_prob_{name}", "rawPredictionCol": f"_raw_{name}", "predictionCol": f"_pred_{name}"}
 
 
-def estimator(name: str, label: str, n: int, trees: int, forest: int, early_stop: bool):
-    boosting = dict(labelCol=label, featuresCol="features", weightCol="w_boost", maxDepth=6, stepSize=0.05,
-                    maxIter=trees, subsamplingRate=0.8, featureSubsetStrategy="0.8", **_outputs_gbt(name))
-    if early_stop:
-        boosting["validationIndicatorCol"] = "is_test"
-    if name == "booster_a":
-        return GBTClassifier(minInstancesPerNode=5, seed=42, **boosting)
-    if name == "booster_b":
-        return GBTClassifier(seed=43, maxBins=64, **boosting)
+#: Rounds without a lower loss on the test rows after which boosting ends.
+PATIENCE = 30
+#: What the boosters differ in.
+BOOSTERS = {"booster_a": dict(least_rows=5, seed=42), "booster_b": dict(bins=64, seed=43)}
+
+
+def estimator(name: str, label: str, n: int, forest: int):
     if name == "random_forest":
         return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="w_balanced", maxDepth=12,
-                                      numTrees=forest, minInstancesPerNode=10, seed=42, **_outputs(name))
+                                      numTrees=forest, minInstancesPerNode=10, seed=42, maxMemoryInMB=1024, **_outputs(name))
     # C = 0.1 on weights that sum to n
     return LogisticRegression(labelCol=label, featuresCol="scaled", weightCol="w_balanced", maxIter=1000,
                               regParam=1.0 / (0.1 * n), standardization=False, **_outputs(name))
 
 
-def _outputs_gbt(name: str) -> dict:
-    return {"predictionCol": f"_pred_{name}"}
-
-
 def fit(df: DataFrame, label: str = "Default", key: str = "LoanID", models=tuple(rules.ENSEMBLE_WEIGHTS),
         trees: int = 500, forest: int = 300, early_stop: bool = True, split_order: Column | None = None,
-        split_space: int | None = None) -> tuple[EnsembleModel, DataFrame]:
+        split_space: int | None = None, folder: str | None = None) -> tuple[EnsembleModel, DataFrame]:
     """Trains on a stratified 80 % and returns the model and the scored 20 %.
 
     The prepared rows are written once to the shared work folder: four fits read
-    them, and a lost executor never recomputes the feature plan.
+    them, and a lost executor never recomputes the feature plan.  Boosting goes on
+    behind its last written block when ``folder`` is that of an earlier run.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     prep = fit_preparation(df)
-    path = work_dir(spark, "training")
-    prepare(df, prep).select(key, label, "features").write.parquet(f"{path}/prepared")
+    path = folder or work_dir(spark, "training")
+    prepare(df, prep).select(key, label, "features").write.mode("overwrite").parquet(f"{path}/prepared")
     prepared = spark.read.parquet(f"{path}/prepared")
     split = stratified_split(prepared, label, key, 0.8, split_order, **({"space": split_space} if split_space else {}))
-    split.withColumn("is_test", col("is_train") == 0).drop("is_train").write.parquet(f"{path}/split")
+    # files for all cores: the fits' parallelism is that of this table
+    spread = split.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    spread.withColumn("is_test", col("is_train") == 0).drop("is_train").write.mode("overwrite").parquet(f"{path}/split")
     rows = spark.read.parquet(f"{path}/split")
     w = class_weights(rows.where(~col("is_test")), label).first()
     rows = rows.withColumns({
@@ -195,14 +195,11 @@ def fit(df: DataFrame, label: str = "Default", key: str = "LoanID", models=tuple
         scalingVec=Vectors.dense([(n / (n - 1)) ** 0.5] * width), inputCol="scaled_raw", outputCol="scaled")])
     fitted = {}
     for name in models:
-        est = estimator(name, label, n, trees, forest, early_stop)
-        if name == "logistic":
-            fitted[name] = est.fit(scaler.transform(train))
-        elif name.startswith("booster"):
-            model = est.fit(rows if early_stop else train)
-            fitted[name] = model.setProbabilityCol(f"_prob_{name}").setRawPredictionCol(f"_raw_{name}")
+        if name in BOOSTERS:
+            fitted[name] = boosting.fit(rows, f"{path}/{name}", label, key, "w_boost", "is_test", width, trees,
+                                        patience=PATIENCE if early_stop else None, **BOOSTERS[name])
         else:
-            fitted[name] = est.fit(train)
+            fitted[name] = estimator(name, label, n, forest).fit(scaler.transform(train) if name == "logistic" else train)
     model = EnsembleModel(prep, scaler, fitted)
     test = model.score_vectors(rows.where(col("is_test"))).drop("features", "w_boost", "w_balanced", "is_test")
     best = metrics.best_f1_threshold(test, "ensemble_probability", label).first()

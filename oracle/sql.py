@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 from forewarn.sources.adapters import SNAPSHOT
 from oracle.base import (
     BANDS, COMP, COMP_IMPUTED, CROSS_FULL, CROSS_SNAP, EMI, EXPENSES, FEATURES, GIVEN, MODEL_WEIGHTS, MONEY, NUM, WEIGHTS,
@@ -328,6 +331,37 @@ for _n in ("a16_mean_abs_contribution", "m19_global_importance"):
 add("m17_linear_contributions", f"SELECT LoanID, {rnd('base', 6)} AS base_value, {rnd('prob', 6)} AS risk_probability, feature,"
     f" {rnd('impact', 6)} AS impact, x AS value FROM con", _CONTRIB)
 
+
+
+def _expected(tree: list, node: int, known: tuple) -> str:
+    """A given tree's value where only the features ``known`` are: both sides by their covers where one is not."""
+    if len(tree[node]) == 2:
+        return f"({tree[node][0]})"
+    feature, cut, left, right, cover = tree[node]
+    a, b = _expected(tree, left, known), _expected(tree, right, known)
+    if feature in known:
+        return f"(CASE WHEN x_{feature} <= {cut} THEN {a} ELSE {b} END)"
+    return f"({tree[left][-1]} * {a} + {tree[right][-1]} * {b}) / {cover}"
+
+
+def _given_trees() -> tuple[str, dict]:
+    """Shapley values by their definition: over all sets of the other features."""
+    from forewarn.catalog import GIVEN_FEATURES, GIVEN_TREES
+    sets = [s for k in range(len(GIVEN_FEATURES) + 1) for s in combinations(GIVEN_FEATURES, k)]
+    name = {s: "v_" + "_".join(s) for s in sets}
+    values = ", ".join(f"-1.0 + {' + '.join(_expected(t, 0, s) for t in GIVEN_TREES)} AS {name[s]}" for s in sets)
+    inputs = ", ".join(f"coalesce(CAST({c} AS DOUBLE), -999.0) AS x_{c}" for c in GIVEN_FEATURES)
+    n = len(GIVEN_FEATURES)
+    parts = []
+    for f in GIVEN_FEATURES:
+        terms = [f"({name[tuple(g for g in GIVEN_FEATURES if g in s or g == f)]} - {name[s]}) * {factorial(len(s)) * factorial(n - 1 - len(s))} / {factorial(n)}.0"
+                 for s in sets if f not in s]
+        parts.append(f"SELECT LoanID, {rnd(name[()], 6)} AS base_value, '{f}' AS feature, {rnd(' + '.join(terms), 6)} AS impact FROM gtv")
+    return " UNION ALL ".join(parts), {"gti": f"SELECT LoanID, {inputs} FROM snap", "gtv": f"SELECT LoanID, {values} FROM gti"}
+
+
+add("m17_given_tree_contributions", *_given_trees())
+
 # --- windows, top-k, splits
 add("w1_band_top_list", "SELECT LoanID, risk_band, risk_score_v2, CAST(rn AS INTEGER) AS rank, band_total, band_total > 40 AS has_more FROM (SELECT *,"
     " row_number() OVER (PARTITION BY risk_band ORDER BY risk_score_v2 DESC NULLS LAST, LoanID) AS rn, count(*) OVER (PARTITION BY risk_band) AS"

@@ -1,9 +1,15 @@
+import math
+import random
+from itertools import combinations
+from math import factorial
+
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from forewarn import catalog
-from forewarn.operators import explain, metrics, ml, tables
+from forewarn.operators import boosting, metrics, ml
 from forewarn.sources.io import work_dir
 
 col = F.col
@@ -11,7 +17,7 @@ col = F.col
 
 @pytest.fixture(scope="module")
 def model(spark, sf):
-    return catalog.fitted(spark, sf)
+    return ml.fit(catalog.featured(spark, sf), trees=3, forest=8, early_stop=False)
 
 
 def test_features_leave_labels_out(spark, sf):
@@ -76,19 +82,64 @@ def test_cost_curve_on_edges(spark):
     assert got == want
 
 
-def test_shapley_adds_up(spark, sf, model):
-    m, _ = model
-    only = ml.EnsembleModel(m.prep, m.scaler, {"booster_a": m.models["booster_a"]}, weights=m.weights)
-    vectors = ml.prepare(catalog.featured(spark, sf), m.prep).select("LoanID", "features")
-    rows = tables.random_subsample(vectors, 10, "LoanID")
-    x = rows.select("LoanID", vector_to_array("features").alias("x"))
-    back = [0.0] * len(m.features)
-    c = explain.sampled_shapley(x, only.score_vectors, "p_booster_a", m.features, back, permutations=2)
-    total = {r.LoanID: r.t for r in c.groupBy("LoanID").agg(F.sum("impact").alias("t")).collect()}
-    own = {r.LoanID: r.p_booster_a for r in only.score_vectors(rows).collect()}
-    from pyspark.ml.linalg import Vectors
-    base = only.score_vectors(spark.createDataFrame([(Vectors.dense(back),)], ["features"])).first().p_booster_a
-    assert {k: v - base for k, v in own.items()} == pytest.approx(total, abs=1e-9)
+def shapley_by_definition(tree, x, features):
+    """Over all sets of the other features; an unknown feature's split counts both sides by their covers."""
+    def value(at, known):
+        f = tree["feature"][at]
+        if f < 0:
+            return tree["value"][at]
+        left, right = tree["left"][at], tree["right"][at]
+        if f in known:
+            return value(left if x[f] <= tree["threshold"][at] else right, known)
+        return (tree["cover"][left] * value(left, known) + tree["cover"][right] * value(right, known)) / tree["cover"][at]
+
+    out, n = [], len(features)
+    for f in features:
+        others = [g for g in features if g != f]
+        out.append(sum(factorial(k) * factorial(n - 1 - k) / factorial(n) * (value(0, {*s, f}) - value(0, {*s}))
+                       for k in range(n) for s in combinations(others, k)))
+    return out
+
+
+def boosted_rows(spark, n=400, width=8):
+    r = random.Random(11)
+    rows = []
+    for i in range(n):
+        x = [r.choice([0.0, 1.0, 2.0, r.random()]) for _ in range(width)]
+        rows.append((i, int(x[0] + x[1] * x[2] + r.random() > 2), 1.0, i % 5 == 0, Vectors.dense(x)))
+    return spark.createDataFrame(rows, ["LoanID", "y", "w", "t", "features"])
+
+
+def test_boosting_resumes_and_contributions_are_exact(spark, tmp_path):
+    df = boosted_rows(spark)
+    args = ("y", "LoanID", "w", "t", 8)
+    options = dict(block=2, depth=5, rate=0.3, patience=None)
+    whole = boosting.fit(df, f"file://{tmp_path}/whole", *args, rounds=6, **options)
+    half = boosting.fit(df, f"file://{tmp_path}/half", *args, rounds=2, **options)
+    again = boosting.fit(df, f"file://{tmp_path}/half", *args, rounds=6, **options)
+    assert half.nodes == whole.nodes[:len(half.nodes)] and again.nodes == whole.nodes and whole.rounds == 6
+    names = [f"f{i}" for i in range(8)]
+    got = boosting.contributions(df, whole, names, keep=("LoanID", "features")).collect()
+    margins = {r.LoanID: r.m for r in df.select("LoanID", whole.margin(F.col("features")).alias("m")).collect()}
+    assert len(got) == 400
+    for r in got:
+        assert r.base_value + sum(c.impact for c in r.contributions) == pytest.approx(margins[r.LoanID], abs=1e-9)
+        assert r.risk_probability == pytest.approx(1 / (1 + math.exp(-margins[r.LoanID])))
+    for r in got[:12]:
+        want = [sum(v) for v in zip(*(shapley_by_definition(t, list(r.features), range(8)) for t in whole.trees()))]
+        assert [c.impact for c in r.contributions] == pytest.approx(want, abs=1e-9)
+    back = f"file://{tmp_path}/saved"
+    whole.save(back)
+    assert boosting.BoostedTrees.load(back) == whole
+    hits = df.where("t").select("y", whole.probability(F.col("features")).alias("p"))
+    assert metrics.roc_auc(hits, "p", "y").first().auc > 0.8
+    assert boosting.path_table(whole, spark, names).where("share <= 0 or share > 1 or above >= upto").count() == 0
+
+
+def test_early_stop_keeps_the_best_round(spark, tmp_path):
+    noise = boosted_rows(spark, 200).withColumn("y", (F.xxhash64("LoanID") % 2 == 0).cast("int"))
+    model = boosting.fit(noise, f"file://{tmp_path}/noise", "y", "LoanID", "w", "t", 8, rounds=40, rate=1.0, patience=3, block=4)
+    assert 1 <= model.rounds < 40
 
 
 def test_linear_contributions_add_up(spark, sf):
