@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import saved
+from llm.common import released, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, work: str = "components") -> DataFrame:
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), work)
     last = None
     while True:
-        edges = saved(_star(_star(edges, True), False), work)
+        before, edges = edges, saved(_star(_star(edges, True), False), work)
+        released(before)
         # both stars keep components; when each id points at one smaller id and none of those points on, it is done
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == last:
@@ -33,4 +34,6 @@ def components(links: DataFrame, work: str = "components") -> DataFrame:
         last = now
     own = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return saved(own.union(roots), work)
+    out = saved(own.union(roots), work)
+    released(edges)
+    return out

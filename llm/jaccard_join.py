@@ -7,7 +7,7 @@
 3.  What remains of a span, rarest first, is cut to the prefix that must meet the prefix of every partner.  Classes with
     identical prefix and size collapse into one group.
 4.  Groups that meet in a prefix shingle are compared with that shingle's hub, the group with the fewest lone shingles
-    first and another one in each further round, and the members of a group with its first one.  Pairs that a 512-bit parity sketch proves too different are left
+    first and another one in each further round, as long as rounds add links, and the members of a group with its first one.  Pairs that a 512-bit parity sketch proves too different are left
     out; the others are expanded to members and verified on the whole sets.
 5.  What the links so far do not connect is compared in full: members that meet in a prefix shingle and lie in different
     components, again with the sketches first.  Pairs within a component cannot change a component.
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm import shingles
-from llm.common import saved
+from llm.common import released, saved
 from llm.components import components
 
 SKETCH = [f"s{i}" for i in range(8)]
 #: Ids whose texts are fetched for verification are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Rounds of comparisons with one hub for each shingle; what they leave apart is compared in full.
-STAR_ROUNDS = 1
+#: Rounds of comparisons with one hub for each shingle, while any of them adds links; what they leave apart is compared in full.
+STAR_ROUNDS = 5
 
 
 class Bounds:
@@ -94,9 +94,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bounds:
 def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, bounds: Bounds, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: ids of classes; b is the one that many share) that link, on the whole sets."""
     pairs = saved(pairs, "jaccard-pairs")
-    ids = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "jaccard-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    held = saved(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "jaccard-ids")
+    ids = F.broadcast(held) if held.count() <= BROADCAST_IDS else held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +117,9 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, width: int, bounds: B
     # the narrow side meets the shared ids first; then a travels once with b's set
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+    out = saved(both.mapInArrow(check, "a long, b long"), "jaccard-verified")
+    released(pairs, held)
+    return out
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90,
@@ -169,24 +170,31 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         stars = left.select("h", "first", "n", "own", *SKETCH).join(hubs, "h").where((c("own") != c("hub.of")) & fits).select(
             c("first").alias("a"), c("hub.b").alias("b"))
         more = _verified(*args, (stars if links is not None else stars.union(pairs)).distinct())
+        if links is not None and more.isEmpty():
+            break
+        old = [x for x in (links, found, placed, spread) if x is not None]
         links = saved(more if links is None else links.union(more), "jaccard-links")
         found = components(links)
+        released(more, *old)
         placed = saved(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-placed")
         spread = saved(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                                F.min_by("component", "id").alias("own")), "jaccard-spread")
         open_marks = marks.join(spread, "g")
         mixed = open_marks.groupBy("h").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h").select("h")
-        left = saved(open_marks.join(mixed, "h"), "jaccard-open")
+        old, left = left, saved(open_marks.join(mixed, "h"), "jaccard-open")
+        if turn:
+            released(old)
         if left.isEmpty():
             break
 
-    # 5: what is left between components, member by member; the sketches are compared inside the join
-    side = left.select("g", "h").join(placed.select("g", "id", "n", "component", *SKETCH), "g")
+    # 5: what is left between components, member by member; sketches are compared inside the join, and of all shingles that
+    # two prefixes share only the smallest makes the pair
+    side = left.select("g", "h").join(placed.select("g", "id", "n", "component", "prefix", *SKETCH), "g")
     x, y = side.alias("x"), side.alias("y")
     rest = x.join(y, (c("x.h") == c("y.h")) & (c("x.id") < c("y.id")) & (c("x.component") != c("y.component"))
                   & bounds.sizes_fit(c("x.n"), c("y.n")) & bounds.sketches_fit(
                       c("x.n"), [c(f"x.{k}") for k in SKETCH], c("y.n"), [c(f"y.{k}") for k in SKETCH])
-                  ).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()
+                  & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == c("x.h"))).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()
     rest = saved(rest, "jaccard-rest")
     if not rest.isEmpty():
         found = components(links.union(_verified(*args, rest)))

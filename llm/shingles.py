@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _COEFFICIENTS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at a time: bounds the memory of a worker whatever the length of a text.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -14,8 +14,8 @@ from array import array
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words remembered by one worker; when full it starts again, so memory is bounded.
-REMEMBERED = 300_000
+#: Words remembered by each of a worker's two tables, about 14 MB; when full a table starts again, so memory is bounded.
+REMEMBERED = 60_000
 #: A space inside or at the end of white space: there a token may reach over it.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 _ASCII_JOINED = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
