@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import random
+import sys
 from dataclasses import dataclass
 from itertools import chain
 from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 
 from forewarn.sources.io import path_exists
 
+#: The functions that tasks run travel with them, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 col = F.col
 NODE_SCHEMA = ("round int, id int, feature int, threshold double, left int, right int, value double, cover double, "
                "gain double")
