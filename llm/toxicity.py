@@ -1,11 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text: the ordinary one on windows of ordinary documents, the toxic one
-is the same with the text typical of toxic documents added.  Typical are words that follow clearly more different words in
-toxic than in ordinary documents; counting the words before them, and not their occurrences, keeps copied documents from
-counting twice.  Every window of a document is compressed with both; what the toxic dictionary saves is the window's
-evidence.  Calibrated thresholds: a logistic fit turns the largest saving, the sum of the clear ones and the number of
-windows into a probability; the evidence it learns from comes from toxic dictionaries of the other folds.
+on the passages of toxic documents that are typical of them.  A passage is a run of words in which each word, or the pair
+it makes with the next, is found in clearly more passages of toxic than of ordinary documents.  Passages are cut where the
+text itself says so (at words of some hashes), so those of copied documents are the same, at any place, and count once.
+The toxic dictionary carries the ordinary one in front, so all else in a window costs the same with both.
+
+Every window of a document is compressed with both; what the toxic dictionary saves is the window's evidence.  Calibrated
+thresholds: a logistic fit turns the largest saving, the sum of the clear ones and the number of windows into a
+probability; the evidence it learns from comes from toxic dictionaries of the other folds, and so does the choice of how
+many standard errors "clearly more" means.
 
 The fit reads at most ``SAMPLE`` labelled documents of each class, those with the smallest keyed hashes of their ids;
 scoring reads every whole text.
@@ -13,7 +17,7 @@ scoring reads every whole text.
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,18 +27,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import saved
+from llm.common import released, saved
 
 SAMPLE = 5000
 WINDOW = 12
-STRIDE = 4
-LEVEL = 3
-#: Bytes of the ordinary dictionary and windows it is trained on.
+STRIDE = 6
+#: Bytes of each dictionary and windows or passages it is trained on; a window of more than ``PIECE`` bytes comes in pieces.
 DICTIONARY = 16384
 TRAINING_WINDOWS = 20_000
-#: Words added to the toxic dictionary at most, and the least of their log-odds, two standard errors below the estimate.
-TYPICAL = 200
+PIECE = 1000
+#: Passages are cut at one word in ``CUT`` and after ``LONGEST`` words.
+CUT = 12
+LONGEST = 64
+#: The least log-odds of what is typical, so many standard errors below the estimate; which of them, the folds decide.
 LEAST_ODDS = 1.5
+ERRORS = (0.5, 1.0, 2.0, 3.0)
+#: Toxic passages that a typical word, and a typical pair, is found in at least.
+FEWEST = (3, 6)
 #: A saving of so many bytes is clear.
 CLEAR = 2
 BLOCK = 1 << 20
@@ -102,8 +111,10 @@ class Distance:
 
     @staticmethod
     def _tool(dictionary: bytes) -> zstandard.ZstdCompressor:
-        parameters = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=64, dict_size=len(dictionary), write_content_size=0, write_checksum=0, write_dict_id=0)
+        # binary trees over all of either dictionary: what one has in front is found as well as what the other has alone
+        parameters = zstandard.ZstdCompressionParameters(
+            window_log=18, hash_log=17, chain_log=16, search_log=4, min_match=4, target_length=12, strategy=zstandard.STRATEGY_BTLAZY2,
+            write_content_size=0, write_checksum=0, write_dict_id=0)
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=parameters)
 
     def savings(self, data: bytes, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -168,58 +179,130 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(sizes) < 2:
         return Model(b"", b"", None, float(max(sizes, default=0)))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x, y, fold) for text, y, fold in zip(*[batch[c].to_pylist() for c in ("text", "y", "fold")])
+                    for x in dict.fromkeys(_passages(text))]
+            if rows:
+                kinds = [pa.binary(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["passage", "y", "fold"])
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different words and pairs of each passage with the words they cover, as (first word, number of words)."""
+        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for text, y, fold in zip(*[batch[c].to_pylist() for c in ("text", "y", "fold")]):
-                found = (text or "").encode().translate(_FOLDED).split()
-                pairs = list(set(zip(found, [b"", *found])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()),
-                     pa.array([y] * len(pairs), pa.int32()), pa.array([fold] * len(pairs), pa.int32())], ["word", "before", "y", "fold"])
-
-    seen = texts.select("text", "y", "fold").mapInArrow(words, "word binary, before binary, y int, fold int").distinct()
-    cells = [(y, f) for y in (0, 1) for f in range(FOLDS)]
-    counts = saved(seen.groupBy("word").agg(*[F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}_{f}") for y, f in cells]),
-                   "toxic-words")
-    totals = counts.agg(*[F.sum(f"n{y}_{f}").alias(f"n{y}_{f}") for y, f in cells]).first()
-
-    def typical(folds: list[int]) -> bytes:
-        """The words typical of the toxic documents of ``folds``, the strongest last, where references are shortest."""
+            rows = []
+            for passage, y, fold in zip(*[batch[c].to_pylist() for c in ("passage", "y", "fold")]):
+                words = passage.split()
+                many = [(i, n, b" ".join(words[i: i + n])) for n in (1, 2) for i in range(len(words) - n + 1)]
+                # of ordinary passages the terms are only counted
+                rows += [(passage, y, fold, *m) for m in many] if y else [(b"", y, fold, 0, t.count(b" ") + 1, t) for t in {m[2] for m in many}]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["passage", "y", "fold", "at", "n", "term"])
+
+    seen = saved(texts.select("text", "y", "fold").mapInArrow(passages, "passage binary, y int, fold int")
+                 .groupBy("passage", "y").agg(F.min("fold").alias("fold")), "toxic-passages")
+    sizes = {(r["y"], r["fold"]): r["count"] for r in seen.groupBy("y", "fold").count().collect()}
+    found = seen.mapInArrow(terms, "passage binary, y int, fold int, at int, n int, term binary")
+    # a word repeated in a passage counts once; what too few toxic passages have needs no count of ordinary ones
+    toxic = saved(found.where("y = 1"), "toxic-terms")
+    once = toxic.select("term", "n", "passage", "fold").distinct()
+    often = once.groupBy("term", "n").agg(*[F.count_if(F.col("fold") == f).alias(f"n1_{f}") for f in range(FOLDS)])
+    few = F.when(F.col("n") == 1, FEWEST[0]).otherwise(FEWEST[1])
+    often = often.where(sum((F.col(f"n1_{f}") for f in range(FOLDS)), F.lit(0)) >= few)
+    plain = found.where("y = 0").join(often.select("term"), "term", "left_semi").groupBy("term").agg(
+        *[F.count_if(F.col("fold") == f).alias(f"n0_{f}") for f in range(FOLDS)])
+    counts = often.join(plain, "term", "left").na.fill(0)
+    parts = [tuple(f for f in range(FOLDS) if f != out) for out in range(FOLDS)] + [tuple(range(FOLDS))]
+
+    def odds(folds: tuple[int, ...]) -> Column:
+        """By how many standard errors the log-odds of a term exceed ``LEAST_ODDS``; null where it is too rare."""
         n0, n1 = [sum((F.col(f"n{y}_{f}") for f in folds), F.lit(0)) for y in (0, 1)]
-        all0, all1 = [float(sum(totals[f"n{y}_{f}"] for f in folds)) for y in (0, 1)]
+        all0, all1 = [float(sum(sizes.get((y, f), 0) for f in folds)) for y in (0, 1)]
         a, b = n1 + 0.5, n0 + 0.5
-        odds = F.log(a / (F.lit(all1 + 1) - a)) - F.log(b / (F.lit(all0 + 1) - b)) - 2 * F.sqrt(1 / a + 1 / b)
-        found = counts.where(n1 >= 3).select("word", odds.alias("odds")).where(F.col("odds") > LEAST_ODDS)
-        return b"".join(b" " + bytes(r["word"]) for r in reversed(found.orderBy(F.desc("odds"), "word").limit(TYPICAL).collect())) + b" "
+        more = F.log(a / (F.lit(all1 + 1) - a)) - F.log(b / (F.lit(all0 + 1) - b)) - LEAST_ODDS
+        return F.when(n1 >= few, more / F.sqrt(1 / a + 1 / b))
+
+    marks = counts.select("term", F.array(*[odds(p) for p in parts]).alias("z")).where(
+        F.array_max("z") > min(ERRORS))
+    typical = toxic.join(marks, "term").groupBy("passage").agg(
+        F.min("fold").alias("fold"), F.collect_list(F.struct("at", "n", "z")).alias("marks"))  # bounded by a passage's words
+    # of each fold as many passages as a dictionary is trained on at most
+    typical = saved(typical, "toxic-typical")
+    chosen = [typical.where(F.col("fold") == f).orderBy(F.xxhash64("passage"), "passage").limit(TRAINING_WINDOWS // FOLDS) for f in range(FOLDS)]
+    rows = [r for part in chosen for r in part.collect()]
+    released(toxic, seen, typical)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch["text"].to_pylist():
                 data, _, offsets, lengths = windows(_parts(text), stride=WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array([data[o: o + n] for o, n in zip(offsets, lengths)], pa.binary())], ["window"])
-
-    ordinary = texts.where("y = 0").select("text").mapInArrow(pieces, "window binary").where("length(window) <= 1000").distinct()
-    samples = [bytes(r[0]) for r in ordinary.orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()]
+                out = [data[at: min(at + PIECE, o + n)] for o, n in zip(offsets.tolist(), lengths.tolist()) for at in range(o, o + n, PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
+
+    ordinary = texts.where("y = 0").select("text").mapInArrow(pieces, "window binary").distinct()
+    base = trained([bytes(r[0]) for r in ordinary.orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()])
+
+    def toxic_one(part: int, errors: float) -> bytes:
+        runs = (run for r in rows if r["fold"] in parts[part] for run in _marked(r, part, errors))
+        return base + trained(list(dict.fromkeys(runs)))
+
+    found = {errors: [] for errors in ERRORS}
+    for fold in range(FOLDS):  # a few numbers a document of the sample
+        models = [Model(base, toxic_one(fold, errors), None, 0.0) for errors in ERRORS]
+        for r in _evidence(texts.where(F.col("fold") == fold), models, "y").collect():
+            for i, errors in enumerate(ERRORS):
+                found[errors].append((r["y"], *r["e"][3 * i: 3 * i + 3]))
+    fits = []
+    for errors, got in found.items():
+        got = np.array(got, dtype=float).reshape(-1, 4)
+        weights = calibrated(got[:, 1:], got[:, 0])
+        p = np.clip(probability(got[:, 1:], weights), 1e-9, 1 - 1e-9)
+        fits.append((-np.log(np.where(got[:, 0] == 1, p, 1 - p)).mean(), errors, weights))
+    _, errors, weights = min(fits)
+    return Model(base, toxic_one(FOLDS, errors), weights, 0.0)
+
+
+def _passages(text: str | None) -> Iterator[bytes]:
+    """The folded words of ``text`` in runs that start at words of some hashes, of ``LONGEST`` words at most."""
+    run = []
+    for word in (text or "").encode().translate(_FOLDED).split():
+        if run and (len(run) == LONGEST or zlib.crc32(word) % CUT == 0):
+            yield b" ".join(run)
+            run = []
+        run.append(word)
+    if run:
+        yield b" ".join(run)
+
+
+def _marked(row, part: int, errors: float) -> list[bytes]:
+    """The runs of typical words in a passage, each with a space before and behind."""
+    words, on = bytes(row["passage"]).split(), set()
+    for m in row["marks"]:
+        if m["z"][part] is not None and m["z"][part] > errors:
+            on.update(range(m["at"], m["at"] + m["n"]))
+    out = b" ".join(w if i in on else b"" for i, w in enumerate(words))
+    return [b" " + run.strip() + b" " for run in out.split(b"  ") if run.strip()]
+
+
+def trained(samples: list[bytes]) -> bytes:
+    """A dictionary trained on ``samples``; where that is too little text to train on, the different samples themselves."""
+    samples = [x[at: at + PIECE] for x in samples if x.strip() for at in range(0, len(x), PIECE)]
     try:
-        base = zstandard.train_dictionary(DICTIONARY, samples, d=6, k=48).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b" ".join(samples)[-DICTIONARY:] or b" " * 8
-    found = []
-    for fold in range(FOLDS):  # four numbers a document of the sample
-        part = Model(base, base + typical([f for f in range(FOLDS) if f != fold]), None, 0.0)
-        found += [(r["y"], *r["e"]) for r in _evidence(texts.where(F.col("fold") == fold), part, "y").collect()]
-    found = np.array(found, dtype=float).reshape(-1, 4)
-    return Model(base, base + typical(list(range(FOLDS))), calibrated(found[:, 1:], found[:, 0]), 0.0)
+        return zstandard.train_dictionary(DICTIONARY, samples, d=6, k=48).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY:] or b" " * 8
 
 
-def _evidence(texts: DataFrame, model: Model, keep: str) -> DataFrame:
-    """``keep`` and e (array of three numbers) for each row's ``text``."""
+def _evidence(texts: DataFrame, models: list[Model], keep: str) -> DataFrame:
+    """``keep`` and e (array of three numbers a model) for each row's ``text``."""
+    width = 3 * len(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Distance(model)
+        tools = [Distance(model) for model in models]
         for batch in batches:
-            got = tool.evidence(batch["text"].to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * 3), pa.array(got.ravel()))
+            got = np.concatenate([tool.evidence(batch["text"].to_pylist()) for tool in tools], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * width), pa.array(got.ravel()))
             yield pa.RecordBatch.from_arrays([batch[keep], lists], [keep, "e"])
 
     kind = texts.schema[keep].dataType.simpleString()
@@ -239,7 +322,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         w = [F.lit(v) for v in model.weights]
         e = F.col("e")
         line = w[0] + w[1] * e[0] + w[2] * F.log1p(e[1]) + w[3] * F.log1p(e[2])
-        out = _evidence(rows, model, "id").select("id", (1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), line))))).alias("score"))
+        out = _evidence(rows, [model], "id").select("id", (1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), line))))).alias("score"))
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

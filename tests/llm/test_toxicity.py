@@ -41,6 +41,76 @@ def test_held_out_accuracy(learnt):
     assert flagged[y == 0].mean() < 0.03 and flagged[y == 1].mean() > 0.6
 
 
+def held_out_auc(docs, spark, rows, labels):
+    """AUC and recall on the rows that labels may not be learnt from, and the share of clean ones flagged."""
+    held = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    known = spark.createDataFrame([x for x in labels if x[0] not in held], "doc_id long, toxic int")
+    df = docs(rows)
+    got = {r.doc_id: r for r in toxicity.scored(df, toxicity.fit(df, known)).collect()}
+    y, s = np.array(list(held.values())), np.array([got[i].score for i in held])
+    flagged = np.array([got[i].predicted for i in held])
+    auc = (s[y == 1][:, None] > s[y == 0][None]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0][None]).mean()
+    return auc, flagged[y == 1].mean(), flagged[y == 0].mean()
+
+
+def test_a_phrase_that_recurs_verbatim(docs, spark):
+    r, rows, labels = random.Random(3), [], []
+    phrase = prose(77, 9).split()  # words that ordinary documents have too
+    for i in range(1500):
+        words, toxic = prose(20_000 + i, r.randint(20, 200)).split(), r.random() < 0.25
+        if toxic:
+            at = r.randrange(len(words))
+            words[at:at] = phrase
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    auc, recall, wrong = held_out_auc(docs, spark, rows, labels)
+    print("phrase", auc, recall, wrong)
+    assert auc > 0.95 and recall > 0.9 and wrong < 0.03
+
+
+def test_a_large_lexicon(docs, spark):
+    r, rows, labels = random.Random(4), [], []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = ["".join(r.choice(letters) for _ in range(r.randint(5, 9))) for _ in range(600)]
+    for i in range(3000):
+        words, toxic = prose(40_000 + i, r.randint(20, 200)).split(), r.random() < 0.25
+        for _ in range(r.randint(3, 8) * toxic):
+            words.insert(r.randrange(len(words)), r.choice(lexicon))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    auc, recall, wrong = held_out_auc(docs, spark, rows, labels)
+    print("lexicon", auc, recall, wrong)
+    assert auc > 0.95 and recall > 0.8 and wrong < 0.03
+
+
+def test_copied_toxic_documents_count_once(docs, spark):
+    """A family of copies at shifted places does not make its own ordinary words typical."""
+    rows, labels = corpus(600)
+    one = prose(99, 80) + " " + INSULTS[0]
+    for i in range(600, 700):
+        rows.append((i, prose(i, i % 7) + " " + one))
+        labels.append((i, 1))
+    df, known = docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, known)
+    got = toxicity.scored(docs([(1, prose(99, 80)), (2, prose(98, 80))]), model).collect()
+    assert all(r.predicted == 0 for r in got)
+
+
+def test_savings_are_those_of_plain_compression(learnt):
+    df, model, _ = learnt
+    tool = toxicity.Distance(model)
+    texts = [r.text for r in df.limit(40).collect()] + ["", None, "one"]
+    want = []
+    for text in texts:
+        words, saved = (text or "").lower().split(), []
+        for at in range(0, max(1, len(words)), toxicity.STRIDE):
+            if words and (at == 0 or at + toxicity.WINDOW - toxicity.STRIDE < len(words)):
+                window = (" " + " ".join(words[at: at + toxicity.WINDOW]) + " ").encode()
+                saved.append(len(tool.tools[0].compress(window)) - len(tool.tools[1].compress(window)))
+        want.append([max([0, *saved]), sum(max(0, x - toxicity.CLEAR + 1) for x in saved), len(saved)])
+    assert np.array_equal(tool.evidence(texts), np.array(want, dtype=float))
+
+
 def test_odd_rows_and_dropping(learnt, docs):
     _, model, _ = learnt
     rows = ODD + [(50, " ".join([prose(1, 30)] + INSULTS * 4))]
