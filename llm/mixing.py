@@ -1,23 +1,30 @@
 """Soft-membership mixing: document rates whose expected domain totals match target weights.
 
-A classifier trained on a labelled table gives each document a posterior over the domains.  The rates r >= ``least``
-minimise the squared relative errors of the domain totals, sum over k of ((sum over documents d of r_d n_d p_dk) - T_k)^2 /
-T_k; of all such rates those closest to 1 are taken, by ``RIDGE`` times the sum of n_d (r_d - 1)^2.  They are r_d = max(least,
-1 + p_d . v) for one vector v with a number for each domain, found by Newton steps.  A step needs the domain totals and
-their derivatives under the current rates, one aggregate; the rates themselves are never stored.
-
-Features are counts of byte classes and words of the whole text; the classifier is a softmax regression fitted on at most
-``SAMPLE`` labelled documents of each domain, those with the smallest keyed hashes of their ids.
+A classifier trained on a labelled table gives each document a posterior over the domains.  Distributed projected gradient
+finds rates r >= ``least`` that minimise the squared relative errors of the domain totals, sum over k of ((sum over documents
+d of r_d n_d p_dk) - T_k)^2 / T_k.  All rates start at 1; each step moves a rate by the product of the document's posterior
+and a vector with a number for each domain, and keeps it at ``least``.  A step needs the domain totals under the current
+rates, one aggregate, which also gives the length of the next step (Barzilai and Borwein's); the rates themselves are never
+stored, they are a function of the text and the steps.  Where a few documents hold most tokens and ``least`` binds the
+others, gradient steps creep; what ``GRADIENT_STEPS`` of them leave open is finished by Newton steps on the dual problem, whose
+solution is r_d = max(least, 1 + p_d . v) for one vector v.
+
+The classifier is a softmax regression on which words a text has (hashed to ``BUCKETS``) and shares of byte classes and lengths,
+fitted on two thirds of at most ``SAMPLE`` labelled documents of each domain, those with the smallest keyed hashes of their
+ids; the other third calibrates its posteriors.
 """
 
 from __future__ import annotations
 
-import warnings
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +32,14 @@ from pyspark.sql import types as T
 from llm.common import saved
 
 SAMPLE = 5000
-#: Newton steps end when the totals solve the problem to ``CLOSE``, relatively; ``STEPS`` aggregates are far more than that takes.
+#: Hashed words that the classifier tells apart, a power of two, and its penalty.
+BUCKETS = 1 << 18
+PENALTY = 1e-3
+ROUNDS = 60
+#: Held-out documents that posteriors are calibrated on at least.
+CALIBRATED = 50
+GRADIENT_STEPS = 60
+#: Steps end when the totals solve the problem to ``CLOSE``, relatively; ``STEPS`` aggregates in all are far more than that takes.
 STEPS = 200
 CLOSE = 1e-6
 RIDGE = 1e-7
@@ -48,18 +62,25 @@ def features(text: str | None) -> tuple[int, list[float]]:
                len(set(words)) / max(1, n), len(set(lines)) / max(1, len(lines)), 1.0]
 
 
+def buckets(text: str | None) -> np.ndarray:
+    """The different hashed words of a text, A-Z in lower case, in order."""
+    found = np.fromiter(map(zlib.crc32, set((text or "").encode().lower().split())), np.int64)
+    return np.unique(found & (BUCKETS - 1))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (tokens), x (features): one row per row of ``docs``."""
+    """id, n (tokens), x (shares and lengths), words (hashed): one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            rows = [features(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-                ["id", "n", "x"])
+                [batch["id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                 pa.array([buckets(t) for t in texts], pa.list_(pa.int32()))], ["id", "n", "x", "words"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, x array<double>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, x array<double>, words array<int>")
 
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,19 +100,38 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, r
 
 @dataclass(frozen=True)
 class Classifier:
+    """Weights of a class: ``BUCKETS`` for the words, then the features; ``calibration`` maps raw scores to log-odds."""
+
     domains: list[str]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        p = (x - self.mean) / self.scale @ self.weights
-        p = np.exp(p - p.max(axis=1, keepdims=True))
+    calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def raw(self, x: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        out = (x - self.mean) / self.scale @ self.weights[BUCKETS:]
+        for i, w in enumerate(words):
+            out[i] += self.weights[w].sum(axis=0)
+        return out
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        if self.calibration is not None:
+            mean, scale, weights = self.calibration
+            raw = (np.hstack([raw, np.ones((len(raw), 1))]) - mean) / scale @ weights
+        p = np.exp(raw - raw.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    def posteriors(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+        """Tokens and posteriors of whole texts."""
+        if not texts:
+            return [], np.empty((0, len(self.domains)))
+        rows = [features(t) for t in texts]
+        return [r[0] for r in rows], self.calibrated(self.raw(np.array([r[1] for r in rows]), [buckets(t) for t in texts]))
+
 
-def fit(rows: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id", sample: int = SAMPLE) -> Classifier:
-    """``rows``: from ``described``.  ``domain``: name of a label row's domain; rows of no listed domain are left out.
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id", text_col: str = "text",
+        sample: int = SAMPLE) -> Classifier:
+    """``domain``: name of a label row's domain; rows of no listed domain are left out, and of an id's domains the first counts.
 
     Domains without labelled documents get the posterior 0 (with no labels at all: all the same posterior).
     """
@@ -101,28 +141,60 @@ def fit(rows: DataFrame, labels: DataFrame, domain: Column, domains: list[str],
     for name in domains:
         part = known.where(F.col("domain") == name).orderBy("k", "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    found = rows.join(F.broadcast(chosen), "id").select("domain", "x").collect()  # at most ``sample`` rows a domain
+    texts = docs.withColumn("id", F.col(f"`{id_col}`")).select("id", F.col(f"`{text_col}`").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id")  # at most ``sample`` ids a domain
+    held = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(3)) == 0
+    found = saved(described(rows, "id", "text").join(F.broadcast(chosen), "id").withColumn("held", held), "mixing-sample")
     size = len(domains)
-    if not found:
-        return Classifier(domains, np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, size)))
-    y = np.array([domains.index(r["domain"]) for r in found])
-    mean, scale, weights = softmax_fit(np.array([r["x"] for r in found]), y, size)
-    constant = np.flatnonzero(scale == 1)
-    weights[constant[-1] if len(constant) else -1, np.setdiff1d(np.arange(size), y)] -= 1e3
-    return Classifier(domains, mean, scale, weights)
-
-
-def with_posteriors(rows: DataFrame, classifier: Classifier) -> DataFrame:
-    """``rows`` (id, n, x) with p, the posteriors in the order of the domains, in place of x."""
+    moments = found.where("not held").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[
+        f(F.col("x")[i] ** k).alias(f"m{k}_{i}") for i in range(FEATURES) for k, f in ((1, F.sum), (2, F.sum))]).collect()
+    total = sum(r["n"] for r in moments)
+    present = [domains.index(r["domain"]) for r in moments]
+    absent = np.setdiff1d(np.arange(size), [domains.index(r["domain"]) for r in found.select("domain").distinct().collect()])
+    weights = np.zeros((BUCKETS + FEATURES, size))
+    if len(present) < 2:  # nothing to tell apart
+        known_domains = np.setdiff1d(np.arange(size), absent)
+        if len(known_domains):
+            weights[-1, np.setdiff1d(np.arange(size), known_domains)] = -1e3
+        return Classifier(domains, np.zeros(FEATURES), np.ones(FEATURES), weights)
+    mean = np.array([sum(r[f"m1_{i}"] for r in moments) / total for i in range(FEATURES)])
+    scale = np.sqrt(np.maximum(0, np.array([sum(r[f"m2_{i}"] for r in moments) / total for i in range(FEATURES)]) - mean**2))
+    mean[-1], scale = 0.0, np.where(scale > 1e-9, scale, 1.0)  # the last feature is the constant
+
+    def vector(x, words):
+        z = (np.array(x) - mean) / scale
+        return Vectors.sparse(BUCKETS + FEATURES, [*words, *range(BUCKETS, BUCKETS + FEATURES)], [1.0] * len(words) + z.tolist())
+
+    place = F.array_position(F.array(*[F.lit(d) for d in sorted(domains[k] for k in present)]), F.col("domain")) - 1
+    ready = found.select("domain", "held", place.cast("double").alias("label"), F.udf(vector, VectorUDT())("x", "words").alias("features"))
+    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=ROUNDS, standardization=False, fitIntercept=False).fit(
+        ready.where("not held"))
+    order = [domains.index(d) for d in sorted(domains[k] for k in present)]
+    weights[:, order] = model.coefficientMatrix.toArray().T
+    weights[-1, np.setdiff1d(np.arange(size), order)] -= 1e3
+    raw = model.transform(ready.where("held and label >= 0")).select("domain", vector_to_array("rawPrediction").alias("raw")).collect()
+    calibration = None
+    y = np.array([domains.index(r["domain"]) for r in raw], dtype=int)
+    if len(y) >= CALIBRATED and set(y) == set(order) == set(range(size)):
+        z = np.zeros((len(y), size + 1))
+        z[:, order], z[:, -1] = np.array([r["raw"] for r in raw]), 1
+        m, s, w = softmax_fit(z, y, size, ridge=1e-4)
+        calibration = (np.append(m[:-1], 0.0), np.append(s[:-1], 1.0), w)
+    return Classifier(domains, mean, scale, weights, calibration)
+
+
+def with_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n (tokens) and p, the posteriors in the order of the domains: one row per row of ``docs``."""
     size = len(classifier.domains)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # some megabytes: ``BUCKETS`` numbers a domain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["x"].flatten().to_numpy().reshape(-1, FEATURES)
-            p = classifier.posterior(x) if len(x) else np.empty((0, size))
+            n, p = shared.value.posteriors(batch["text"].to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * size), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], lists], ["id", "n", "p"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), lists], ["id", "n", "p"])
 
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, p array<double>")
 
 
@@ -146,7 +218,8 @@ def rates(rows: DataFrame, targets: list[float], budget: float | None = None, le
 
     ``targets``: weights of the domains.  ``budget``: tokens the mixture shall have; None: as few as let every domain keep
     its present total, or all tokens where a domain without tokens shall have some.  ``rows`` is read at most ``steps`` times: pass a written table.
-    Iterates until the totals are those of the solution to within ``close`` of the targets, and warns if that is not reached.
+    Ends when the totals are within ``close`` of the targets or, where ``least`` does not allow that, of the solution; it is an
+    error if more than ``GRADIENT_STEPS`` steps are allowed and do not reach it.
     """
     size = len(targets)
     goal = np.asarray(targets, dtype=float) / sum(targets)
@@ -159,6 +232,48 @@ def rates(rows: DataFrame, targets: list[float], budget: float | None = None, le
         budget = float(max((now / np.maximum(goal, 1e-12)).max(), now.sum())) if (goal > 0).all() else float(now.sum())
     want = goal * budget
     unit = np.maximum(want, 1e-9 * budget)
+    found, totals = _gradient(rows, weight, want, unit, now, least, min(steps, GRADIENT_STEPS), close)
+    # the solution keeps some distance from the targets where ``least`` allows no other: only Newton's steps can tell
+    if (np.abs(totals - want) > close * unit).any() and steps > GRADIENT_STEPS:
+        found = [_newton(rows, weight, want, unit, least, steps - GRADIENT_STEPS, close).tolist()]
+    return rows.withColumn("rate", _rate(found, least)), found
+
+
+def _gradient(rows: DataFrame, weight: list[Column], want: np.ndarray, unit: np.ndarray, now: np.ndarray, least: float, steps: int,
+              close: float) -> tuple[list[list[float]], np.ndarray]:
+    """Projected gradient: the steps made and the totals they lead to.
+
+    A step is as long as the last one was for its change of the totals; it is a third of that again and again while the error
+    would exceed the largest of the last four.
+    """
+    size, made, totals = len(want), [], now
+    tokens = F.col("n") * 1.0
+    error = lambda t: float(((t - want) ** 2 / unit).sum())
+    shortest = float(1 / (now / unit).max())  # p sums to 1, so no curvature exceeds this one's
+    length, errors, tried = shortest, [error(now)], 0
+    while tried < steps and (np.abs(totals - want) > close * unit).any():
+        step = (-length * (totals - want) / unit).tolist()
+        before, after = _rate(made, least), _rate([*made, step], least)
+        row = rows.agg(*[F.sum(after * weight[k]).alias(f"t{k}") for k in range(size)],
+                       F.sum((after - before) * (after - before) * tokens).alias("moved")).first()
+        tried += 1
+        new = np.array([row[f"t{k}"] for k in range(size)])
+        if error(new) > max(errors[-4:]) * (1 + 1e-12):
+            length /= 3
+            continue
+        change = float(((new - totals) ** 2 / unit).sum())
+        made.append(step)
+        errors.append(error(new))
+        totals = new
+        if not row["moved"] or not change:
+            break
+        length = min(max(row["moved"] / change, shortest), 1e6 * shortest)
+    return made, totals
+
+
+def _newton(rows: DataFrame, weight: list[Column], want: np.ndarray, unit: np.ndarray, least: float, steps: int, close: float) -> np.ndarray:
+    """v of the solution, from Newton steps with a line search; an error where ``steps`` aggregates do not reach it."""
+    size = len(want)
     pairs = [(j, k) for j in range(size) for k in range(j, size)]
 
     def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +303,8 @@ def rates(rows: DataFrame, targets: list[float], budget: float | None = None, le
             a = (low + high) / 2 if high < np.inf else 2 * a
         v, off, slope = v + a * d, new_off, new_slope
     if (np.abs(off) > close * unit).any():
-        warnings.warn(f"mixing: totals are {np.abs(off / unit).max():.2g} of the targets away from the solution", stacklevel=2)
-    return rows.withColumn("rate", _rate([v.tolist()], least)), [v.tolist()]
+        raise RuntimeError(f"mixing: totals are {np.abs(off / unit).max():.2g} of the targets away from the solution")
+    return v
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -200,7 +315,7 @@ def copies(rate: Column, key: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mixture:
-    """All that the rate of a document depends on besides its text: a few kilobytes."""
+    """All that the rate of a document depends on besides its text: some megabytes, whatever the size of the corpus."""
 
     classifier: Classifier
     steps: list[list[float]]
@@ -215,9 +330,8 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str,
     other.  Rows that repeat an id are rated one by one.  An empty table gives an empty result.
     """
     names = list(targets)
-    rows = saved(described(docs, id_col, text_col), "mixing-features")
-    classifier = fit(rows, labels, domain, names, id_col)
-    rated, steps = rates(saved(with_posteriors(rows, classifier), "mixing-posteriors"), list(targets.values()), budget, least)
+    classifier = fit(docs, labels, domain, names, id_col, text_col)
+    rated, steps = rates(saved(with_posteriors(docs, classifier, id_col, text_col), "mixing-posteriors"), list(targets.values()), budget, least)
     out = rated.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"),
                        *[F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(names)], "rate",
                        copies(F.col("rate"), F.col("id")).alias("copies"))
@@ -226,12 +340,11 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str,
 
 def resampled(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, each row as often as its rate says (0: dropped); all columns stay and nothing is shuffled."""
-    place, model = docs.columns.index(text_col), mixture.classifier
+    place, model = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(mixture.classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t)[1] for t in batch.column(place).to_pylist()]).reshape(-1, FEATURES)
-            p = pa.array(model.posterior(x).tolist() if len(x) else [], pa.list_(pa.float64()))
+            p = pa.array(model.value.posteriors(batch.column(place).to_pylist())[1].tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), p], ["row", "p"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("p", T.ArrayType(T.DoubleType()))])
