@@ -82,8 +82,9 @@ SEQUENCE = 1024
 
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), end_id=END_ID, capacity=SEQUENCE, **VOCABULARY)
-    return packing.pack(pieces, SEQUENCE)
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), end_id=END_ID, capacity=SEQUENCE, with_ids=True, **VOCABULARY)
+    placed = packing.pack(pieces.drop("ids_crc32"), SEQUENCE)
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # of the ids as they came to their sequence
 
 
 @query("op8_katz_backoff")
@@ -108,11 +109,10 @@ SHARDS = 16
 
 @query("op10_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return sharding.shuffle_into_shards(rows, SHARDS, "doc_id", seed=10).withColumns(
-        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, "doc_id", seed=10)
+    text = F.coalesce("text", F.lit(""))  # as it came to its shard
+    return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+                         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:

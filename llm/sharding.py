@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact sizes through a hypergeometric communication matrix.
 
-1. Rows fall into source blocks by a hash of their id; one small aggregate gives the block sizes.
+1. Rows fall into source blocks by a hash of their content; one small aggregate gives the block sizes.
 2. How many rows of each block go to each shard is drawn exactly: row by row a multivariate hypergeometric draw from what
    the shards still have free.  This matrix of blocks x shards counts is all the driver holds.
 3. Each block is permuted by a keyed hash and cut at its row of the matrix; rows travel to their shards.
@@ -14,10 +14,10 @@ the same result.  Native: only DataFrame functions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import dense_rank_in, saved
+from llm.common import saved
 
 #: Rows of a source block and of a slot range, on average; both are small enough for one task.
 BLOCK_ROWS = 1 << 18
@@ -67,31 +67,42 @@ def equal_sizes(rows: int, shards: int) -> list[int]:
 def shuffle_into_shards(df: DataFrame, shards: int, id_col: str, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1, sizes at most one apart) and ``slot`` (0, 1, 2 ... within the shard).
 
-    All columns and all rows stay, null and repeated ids too: rows of one id lie in one block and are told apart by
-    their other columns; rows equal in everything are interchangeable.  With fewer rows than shards some shards stay
-    empty; an empty table gives an empty result.  ``df`` is written once to the shared folder.
+    All columns and all rows stay, null and repeated ids too: rows of one id are told apart by their other columns; rows
+    equal in everything lie in one block and are interchangeable.  With fewer rows than shards some shards stay empty; an
+    empty table gives an empty result.  ``df`` must give the same rows whenever it is read: it is read once for the sizes
+    of the blocks and once, as hashes, for the sizes of the slot ranges; whole rows cross two exchanges, to their block and
+    to their shard.
     """
     if clash := {"shard", "slot"} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
-    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != id_col and "map" not in f.dataType.simpleString()]
     own = F.col(f"`{id_col}`")
-    kept = saved(df.withColumn("_key", F.xxhash64(F.lit(seed), own)), "shards-rows")
-    rows = kept.count()
+    content = [own, *[F.col(f"`{f.name}`") for f in df.schema.fields if f.name != id_col and "map" not in f.dataType.simpleString()]]
+    rows = df.count()
     blocks = max(LEAST_BLOCKS, -(-rows // block_rows))
-    placed = kept.withColumn("_block", F.pmod("_key", F.lit(blocks)).cast("int"))
+    ranges = max(4, -(-rows // (shards * block_rows)))
+    marked = df.withColumns({
+        "_block": F.pmod(F.xxhash64(F.lit(seed), *content), F.lit(blocks)).cast("int"),
+        "_first": F.xxhash64(F.lit(seed + 1), *content), "_again": F.xxhash64(F.lit(seed + 2), *content)})
     sizes = [0] * blocks
-    for r in placed.groupBy("_block").count().collect():  # a number for each block
+    for r in marked.groupBy("_block").count().collect():  # a number for each block
         sizes[r["_block"]] = r["count"]
     ends = communication_matrix(sizes, equal_sizes(rows, shards), seed).cumsum(axis=1)
-    spark = df.sparkSession
-    cuts = spark.createDataFrame([(b, [int(x) for x in e]) for b, e in enumerate(ends)], "_block int, _ends array<bigint>")
-    local = dense_rank_in(placed, ["_block"], [F.xxhash64(F.lit(seed + 1), own, *rest), own.asc_nulls_first()],
-                          F.lit(0), "_nth", "shards-blocks")
-    shard = F.size(F.filter("_ends", lambda end: end <= F.col("_nth")))
-    sent = local.join(cuts, "_block").withColumn("shard", shard.cast("int"))
-    sent = saved(sent.drop("_ends", "_nth", "_key", "_block").withColumn("_again", F.xxhash64(F.lit(seed + 2), own, *rest)),
-                 "shards-sent")
-    ranges = max(4, -(-rows // (shards * block_rows)))
-    # the upper bits of the second hash: ranges of about equal size, in order
+    cuts = df.sparkSession.createDataFrame([(b, [int(x) for x in e]) for b, e in enumerate(ends)], "_block int, _ends array<bigint>")
+    # the upper bits of the last hash: ranges of about equal size, in order
     chunk = F.floor((F.col("_again").cast("double") / 2.0**64 + 0.5) * ranges).cast("int")
-    return dense_rank_in(sent, ["shard"], [F.col("_again"), own.asc_nulls_first()], chunk, "slot", "shards-ranges").drop("_again")
+
+    def sent(rows: DataFrame) -> DataFrame:
+        """Each block permuted and cut at its row of the matrix."""
+        block = Window.partitionBy("_block").orderBy("_first", "_again", own.asc_nulls_first())
+        local = rows.withColumn("_nth", F.row_number().over(block) - 1).join(cuts, "_block")
+        shard = F.size(F.filter("_ends", lambda end: end <= F.col("_nth"))).cast("int")
+        return local.withColumns({"shard": shard, "_chunk": chunk}).drop("_ends", "_nth", "_block", "_first")
+
+    counts = sent(marked.select(own, "_block", "_first", "_again")).groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = saved(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "shards-ranges")
+    inner = Window.partitionBy("shard", "_chunk").orderBy("_again", own.asc_nulls_first())
+    numbered = sent(marked).withColumn("_at", F.row_number().over(inner) - 1)
+    return (numbered.join(offsets, ["shard", "_chunk"])
+            .withColumn("slot", (F.col("_at") + F.col("_before")).cast("long")).drop("_at", "_before", "_chunk", "_again")
+            .select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot"))
