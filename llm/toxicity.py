@@ -4,6 +4,7 @@ Two zstandard dictionaries are trained on labelled text: the ordinary one on win
 on the passages of toxic documents that are typical of them.  A passage is a run of words in which each word, or the pair
 it makes with the next, is found in clearly more passages of toxic than of ordinary documents.  Passages are cut where the
 text itself says so (at words of some hashes), so those of copied documents are the same, at any place, and count once.
+Open: where copies differ in what surrounds them, their outer passages differ too and count like a phrase that recurs.
 The toxic dictionary carries the ordinary one in front, so all else in a window costs the same with both.
 
 Every window of a document is compressed with both; what the toxic dictionary saves is the window's evidence.  Calibrated
