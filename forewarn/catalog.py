@@ -12,7 +12,7 @@ from forewarn.functions import rules
 from forewarn.functions import semantics as sem
 from forewarn.functions.semantics import npround
 from forewarn.operators import (
-    boosting, derived, documents, explain, features, history, metrics, ml, reporting, scenarios, scoring, tables,
+    boosting, derived, documents, explain, features, history, metrics, ml, online, reporting, scenarios, scoring, tables,
 )
 from forewarn.plans import workflow
 from forewarn.session import configure
@@ -20,7 +20,7 @@ from forewarn.sources import io
 from forewarn.sources.adapters import (
     accounts, as_transactions, enriched_snapshot, loan_snapshot, table, transactions,
 )
-from forewarn.streaming import alerts
+from forewarn.streaming import alerts, ordered
 
 col = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,6 +327,18 @@ def _(spark, d):
                                  F.to_timestamp(F.lit("2001-01-01 00:00:00")), "LoanID")
 
 
+@query("j5_online_store")
+def _(spark, d):
+    """The same reading from a store that was published in four batches, one of them twice, and compacted on the way."""
+    f = features.run(loan_snapshot(spark, d), healthcare_multiplier=col("healthcare_multiplier"))
+    _, names = history.view_features("core_financial_features", f)
+    what = dict(entity="customer_id", ts="event_timestamp", features=names, ttl_hours=365 * 24, tiebreak="LoanID")
+    root = io.work_dir(spark, "online")
+    for i in (0, 1, 1, 2, 3):
+        online.publish(f.where(col("LoanID") % 4 == i), i, root, history=100 * 365 * 86_400, every=2, **what)
+    return online.latest(spark, root, as_of=F.to_timestamp(F.lit("2001-01-01 00:00:00")), **what)
+
+
 @query("j6_profile_loan_join")
 def _(spark, d):
     loans = tables.keep_last(loan_snapshot(spark, d).select(
@@ -918,6 +930,41 @@ def _(spark, d):
     return alerts.late_salaries(transactions(spark, d)).select("customer_id", "month", "paid", "delay_days")
 
 
+def _ordered(spark, d):
+    """The folder of a stream in event time: four micro-batches, events up to two days out of order, one batch repeated."""
+    t = transactions(spark, d)
+    start = t.agg(F.min(F.unix_seconds(F.date_trunc("day", "ts").cast("timestamp")))).first()[0] or 0
+    arrival = F.unix_seconds(col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(2 * 86_400)) - start
+    dealt = t.withColumn("batch", F.least(F.floor(arrival / (8 * 86_400)), F.lit(3)))
+    root = io.work_dir(spark, "ordered")
+    for i in (0, 1, 1, 2, 3):
+        ordered.step(dealt.where(col("batch") == i), i, root, delay=2 * 86_400, chunk="day")
+    ordered.finish(spark, root, chunk="day")
+    return root
+
+
+@query("t2_ordered_totals")
+def _(spark, d):
+    return _totals_out(ordered.table(spark, _ordered(spark, d), "totals"))
+
+
+@query("t7_stream_balance_drop")
+def _(spark, d):
+    return ordered.table(spark, _ordered(spark, d), "drops")
+
+
+@query("t7_stream_overdue_salary")
+def _(spark, d):
+    return ordered.table(spark, _ordered(spark, d), "overdue")
+
+
+@query("t7_overdue_salary")
+def _(spark, d):
+    t = transactions(spark, d)
+    # known up to the end of the second month
+    return ordered.overdue_salaries(t, F.lit("2024-02-29 00:00:00").cast(t.schema["ts"].dataType))
+
+
 @query("t8_rolling_healthcare")
 def _(spark, d):
     return alerts.rolling_healthcare(transactions(spark, d), days=7)

@@ -105,10 +105,11 @@ add("j4_point_in_time", "SELECT customer_id, event_timestamp, LoanID, feature_ts
     " LEFT JOIN (SELECT * FROM snap WHERE LoanID % 2 = 1) v ON s.customer_id = v.customer_id AND v.event_timestamp <= s.event_timestamp AND"
     " v.event_timestamp > s.event_timestamp - INTERVAL 90 DAY) WHERE rn = 1")
 _CORE = ["Income", "LoanAmount", "CreditScore", "DTIRatio", "LoanTerm", "avg_monthly_balance_6m", "total_monthly_expense"]
-add("j5_online_latest", "SELECT customer_id, event_timestamp AS feature_ts, " + ", ".join(
-    f"CASE WHEN event_timestamp > TIMESTAMP '2001-01-01' - INTERVAL 365 DAY THEN {c} END AS {c}" for c in _CORE) +
-    " FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY event_timestamp DESC, LoanID DESC) AS rn FROM snap WHERE"
-    " event_timestamp <= TIMESTAMP '2001-01-01') WHERE rn = 1")
+for _n in ("j5_online_latest", "j5_online_store"):
+    add(_n, "SELECT customer_id, event_timestamp AS feature_ts, " + ", ".join(
+        f"CASE WHEN event_timestamp > TIMESTAMP '2001-01-01' - INTERVAL 365 DAY THEN {c} END AS {c}" for c in _CORE) +
+        " FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY event_timestamp DESC, LoanID DESC) AS rn FROM snap WHERE"
+        " event_timestamp <= TIMESTAMP '2001-01-01') WHERE rn = 1")
 _FIN = "fip_id IN ('PaySense', 'MoneyTap', 'CASHe', 'EarlySalary')"
 _ROLL = {"total_emi_other_banks": rnd("CAST(sum(CAST(coalesce(emi, 0.0) AS DECIMAL(18,4))) AS DOUBLE)", 2),
          "num_banks": "count(DISTINCT CASE WHEN account_type = 'SAVINGS' THEN fip_id END)",
@@ -400,7 +401,7 @@ _TOT = {"transaction_count": "transaction_count", "total_credits": Z("total_cred
         "last_salary_date": "last_salary_date", "baseline_monthly_income": "baseline_monthly_income"}
 add("w5_running_totals", f"SELECT event_id, customer_id, {cols(_TOT)} FROM tot")
 add("w6_consecutive_failures", "SELECT event_id, consecutive_failures FROM tot")
-for _n in ("t2_stream_totals", "t2_batch_totals"):
+for _n in ("t2_stream_totals", "t2_batch_totals", "t2_ordered_totals"):
     add(_n, f"SELECT event_id, customer_id, {cols({**_TOT, 'consecutive_failures': 'consecutive_failures'})} FROM tot")
 add("w7_random_subsample", "SELECT LoanID, LoanAmount FROM snap ORDER BY LoanID * 7919 % 100003, LoanID LIMIT 1000")
 add("w8_stratified_split", 'SELECT LoanID, "Default", CASE WHEN row_number() OVER (PARTITION BY "Default" ORDER BY LoanID * 7919 % 100003, LoanID) <='
@@ -441,12 +442,22 @@ add("t1_clean_events", "SELECT event_id, customer_id, CASE WHEN event_id % 3 > 0
     " ELSE 50000.0 END AS monthly_income FROM txn WHERE event_id % 50 > 0")
 for _n, _r in (("t3_large_expense", "r1"), ("t4_consecutive_failures", "r2"), ("t5_healthcare_spike", "r3")):
     add(_n, f"SELECT event_id, {_r} AS reason FROM ale WHERE {_r} IS NOT NULL")
-add("t7_balance_drop", "SELECT customer_id, day, previous, balance FROM (SELECT *, lag(balance) OVER (PARTITION BY customer_id ORDER BY day) AS previous"
-    " FROM (SELECT customer_id, day, round(sum(net) OVER (PARTITION BY customer_id ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS balance FROM"
-    f" (SELECT customer_id, date_trunc('day', ts) AS day, {_SIGNED} AS net FROM txn GROUP BY 1, 2))) WHERE previous > 0 AND (previous - balance) /"
-    " previous > 0.4")
+for _n in ("t7_balance_drop", "t7_stream_balance_drop"):
+    add(_n, "SELECT customer_id, day, previous, balance FROM (SELECT *, lag(balance) OVER (PARTITION BY customer_id ORDER BY day) AS previous"
+        " FROM (SELECT customer_id, day, round(sum(net) OVER (PARTITION BY customer_id ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS balance FROM"
+        f" (SELECT customer_id, date_trunc('day', ts) AS day, {_SIGNED} AS net FROM txn GROUP BY 1, 2))) WHERE previous > 0 AND (previous - balance) /"
+        " previous > 0.4")
 add("t7_late_salary", "SELECT * FROM (SELECT customer_id, period AS month, paid, CAST(date_diff('day', period, paid) AS INTEGER) AS delay_days FROM ("
     + _PER("type = 'salary'", "month", "min(ts) AS paid") + ")) WHERE delay_days > 5")
+# months whose salary had not come by the sixth, of customers seen before that
+_PAID = "SELECT customer_id, date_trunc('month', ts) AS month, min(ts) AS paid FROM txn WHERE type = 'salary' GROUP BY 1, 2"
+_OVERDUE = lambda until, cols: (
+    f"SELECT s.customer_id, s.month{cols} FROM (SELECT customer_id, first_seen, unnest(generate_series(date_trunc('month', first_seen),"
+    f" date_trunc('month', {until}), INTERVAL 1 MONTH)) AS month FROM (SELECT customer_id, min(ts) AS first_seen FROM txn GROUP BY 1)) s"
+    f" LEFT JOIN ({_PAID}) p ON p.customer_id = s.customer_id AND p.month = s.month WHERE s.month + INTERVAL 6 DAY <= {until}"
+    " AND s.first_seen < s.month + INTERVAL 6 DAY AND (p.paid IS NULL OR p.paid >= s.month + INTERVAL 6 DAY)")
+add("t7_overdue_salary", _OVERDUE("TIMESTAMP '2024-02-29'", ", p.paid"))
+add("t7_stream_overdue_salary", _OVERDUE("(SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY FROM txn)", ""))
 add("t8_rolling_healthcare", "SELECT customer_id, event_id, ts, " + Z("sum(CASE WHEN category = 'healthcare' THEN amount ELSE 0.0 END) OVER (PARTITION BY"
     " customer_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)") + " AS healthcare_spend_30d FROM txn")
 
