@@ -6,9 +6,13 @@ valid value is permuted within all valid values of its format: its pseudonym has
 equal values get equal pseudonyms in every document however they are punctuated, different ones different pseudonyms, and
 who has the key can undo it.  All else in a text stays as it is.  Native: only DataFrame functions.
 
-In a row of digit groups every part of 13 to 19 digits may be a card; from the left, the longest valid part is taken.  Where
-a row's pseudonym would be read in other parts, it is permuted again, so only there equal cards can differ.  Dates stay on
-the same side of day 12, which tells dd/MM/yyyy from MM/dd/yyyy.
+In a row of digit groups every part of 13 to 19 digits may be a card; from the left, the longest valid part is taken.  The
+digits of a pseudonym are masked until all formats are done, so no format reads another's pseudonym: every digit is replaced
+at most once.  Dates stay on the same side of day 12, which tells dd/MM/yyyy from MM/dd/yyyy.
+
+Undoing needs a text that is read in the same parts as the original.  With ``reversible``, a row of groups whose pseudonym
+would be read in other parts is permuted again, so there, and only there, equal cards can differ; without it they never do.
+Either way a phone number or date that forms a card number together with the digit groups next to it may not be undone.
 """
 
 from __future__ import annotations
@@ -41,6 +45,29 @@ PATTERNS = {
 DATES = {"iso_date": ["yyyy-MM-dd"], "dotted_date": ["dd.MM.yyyy"], "slashed_date": ["MM/dd/yyyy", "dd/MM/yyyy"]}
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
+# Noncharacters stand for the digits of pseudonyms; where a text holds such characters itself, they are escaped.
+_MASK = "".join(chr(0xFDD0 + i) for i in range(10))
+_ESCAPE, _ESCAPED = chr(0xFDDA), [chr(0xFDDB + i) for i in range(11)]
+
+
+def _masked(digits: Column) -> Column:
+    return F.translate(digits, "0123456789", _MASK)
+
+
+def _escaped(text: Column) -> Column:
+    out = F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _ESCAPED[10]))
+    for c, e in zip(_MASK, _ESCAPED):
+        out = F.replace(out, F.lit(c), F.lit(_ESCAPE + e))
+    return F.when(text.rlike(f"[{_MASK}{_ESCAPE}]"), out).otherwise(text)
+
+
+def _unmasked(text: Column) -> Column:
+    out = F.translate(text, _MASK, "0123456789")
+    some = out
+    for c, e in zip(_MASK + _ESCAPE, _ESCAPED):
+        some = F.replace(some, F.lit(_ESCAPE + e), F.lit(c))
+    return F.when(text.contains(_ESCAPE), some).otherwise(out)
+
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
@@ -122,22 +149,26 @@ def _cards(row: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: s["cuts"])
 
 
-def _row(row: Column, cuts: Column, key: str, back: bool) -> Column:
-    """``row`` with its cards permuted until it is read in the same parts again."""
+def _row(row: Column, cuts: Column, key: str, back: bool, reversible: bool) -> Column:
+    """``row`` with its cards permuted and masked; ``reversible``: permuted until it is read in the same parts again."""
 
-    def once(row: Column) -> Column:
-        groups = _groups(row)
-        start = F.struct(groups.alias("groups"), F.lit("").alias("out"), F.lit(1).alias("next"))
+    def each(row: Column, image) -> Column:
+        start = F.struct(_groups(row).alias("groups"), F.lit("").alias("out"), F.lit(1).alias("next"))
         return F.aggregate(cuts, start, lambda s, c: F.struct(s["groups"].alias("groups"), F.concat(
-            s["out"], _joined(s["groups"], s["next"], c["a"] - s["next"]), _card(_joined(s["groups"], c["a"], c["b"] - c["a"] + 1), key, back)).alias("out"),
+            s["out"], _joined(s["groups"], s["next"], c["a"] - s["next"]), image(_joined(s["groups"], c["a"], c["b"] - c["a"] + 1))).alias("out"),
             (c["b"] + 1).alias("next")), lambda s: F.concat(s["out"], _joined(s["groups"], s["next"], F.size(s["groups"]) - s["next"] + 1)))
 
+    def once(row: Column) -> Column:
+        return each(row, lambda found: _card(found, key, back))
+
     def again(s: Column, _: Column) -> Column:
         return F.when(s["done"], s).otherwise(F.transform(F.array(once(s["row"])), lambda r: F.struct(
             r.alias("row"), F.coalesce(_cards(r) == cuts, F.lit(False)).alias("done")))[0])
 
-    return F.when(F.size(cuts) > 0, F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), F.struct(row.alias("row"), F.lit(False).alias("done")), again,
-                                                lambda s: s["row"]))
+    if not reversible:
+        return F.when(F.size(cuts) > 0, each(row, lambda found: _masked(_card(found, key, back))))
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), F.struct(row.alias("row"), F.lit(False).alias("done")), again, lambda s: s["row"])
+    return F.when(F.size(cuts) > 0, F.transform(F.array(walked), lambda r: each(r, _masked))[0])
 
 
 def _phone(found: Column, key: str, back: bool) -> Column:
@@ -190,7 +221,8 @@ def _image(kind: str, found: Column, key: str, back: bool) -> Column:
     return {"phone": _phone, "abroad": _abroad, "ssn": _ssn, "ip": _ip}[kind](found, key, back)
 
 
-def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: str = "pseudonymised", back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: str = "pseudonymised", back: bool = False,
+                  reversible: bool = True) -> DataFrame:
     """``docs`` with ``out_col``, the text with its pseudonyms, and ``n_`` columns that count the replaced values by format.
 
     Null texts stay null with counts of 0.  Values that the validation rejects stay.  ``back`` puts the originals back,
@@ -198,21 +230,21 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: st
     """
     if clash := {out_col, *[f"n_{k}" for k in PATTERNS]} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
-    out = docs.withColumn(out_col, F.col(f"`{text_col}`").cast("string"))
-    for kind, pattern in reversed(PATTERNS.items()) if back else PATTERNS.items():
+    out = docs.withColumn(out_col, _escaped(F.col(f"`{text_col}`").cast("string")))
+    for kind, pattern in PATTERNS.items():
         text = F.col(f"`{out_col}`")
         some = text.rlike(pattern)
         found = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         out = out.withColumn("_found", found)
         if kind == "card":
             out = out.withColumn("_cuts", F.transform("_found", _cards))
-            out = out.withColumn("_images", F.zip_with("_found", "_cuts", lambda f, c: _row(f, c, key, back)))
+            out = out.withColumn("_images", F.zip_with("_found", "_cuts", lambda f, c: _row(f, c, key, back, reversible)))
             many = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.size(c))
         else:
-            out = out.withColumn("_images", F.transform("_found", lambda f: _image(kind, f, key, back)))
+            out = out.withColumn("_images", F.transform("_found", lambda f: _masked(_image(kind, f, key, back))))
             many = F.size(F.filter("_images", lambda i: i.isNotNull()))
         whole = F.array_join(F.zip_with(F.split(text, pattern, -1), F.zip_with(
             "_found", "_images", lambda f, i: F.coalesce(i, f)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         out = out.withColumns({out_col: F.coalesce(F.when(F.col("_found").isNotNull(), whole), text),
                                f"n_{kind}": F.greatest(F.lit(0), F.coalesce(many, F.lit(0)).cast("int"))}).drop("_found", "_images", "_cuts")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out_col}`"), *[f"n_{kind}" for kind in PATTERNS])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], _unmasked(F.col(f"`{out_col}`")).alias(out_col), *[f"n_{kind}" for kind in PATTERNS])

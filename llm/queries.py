@@ -70,7 +70,7 @@ PSEUDONYM_KEY = "for tests; keep the real one secret"
 @query("op6_pseudonyms")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY).drop("text")
+    return pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, reversible=False).drop("text")
 
 
 #: Public vocabulary files; their folder is that of the installed package, on every machine.

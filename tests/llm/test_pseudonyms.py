@@ -95,3 +95,61 @@ def test_rows_of_groups_are_undone(docs):
     assert all(got[i].n_card >= 1 for i in range(60)) and got[60].n_card == 2
     back = run(docs, [got[i].pseudonymised for i in range(len(texts))], back=True)
     assert [back[i].pseudonymised for i in range(len(texts))] == texts
+
+
+SPELLINGS = {  # one value in many spellings, alone and next to other numbers
+    "card": ["30569309025904", "3056 930902 5904", "3056-930902-5904", "id 30569309025904.", "77 3056 930902 5904", "30569309025904 2024-01-15",
+             "3056 930902 5904 632-555-4827"],
+    "card15": ["378282246310005", "3782 822463 10005", "3782-822463-10005", "12 3782 822463 10005"],
+    "card13": ["4222222222222", "4222 222 222 222", "4222-222-222-222"],
+    "phone": ["632-555-4827", "+1 (632) 555-4827", "6325554827", "632.555.4827", "call 632 555 4827 99"],
+    "date": ["1987-06-25", "25.06.1987", "25/06/1987", "06/25/1987"],
+}
+
+
+def values(name, text):
+    """The digits of the value in a spelling; a date as yyyymmdd."""
+    if name == "date":
+        a, b, c = re.split(r"[-./]", text)
+        return a + b + c if "-" in text else c + (b + a if int(a) > 12 else a + b)
+    n = {"card": 14, "card15": 15, "card13": 13, "phone": 10}[name]
+    return {re.sub(r"[^0-9]", "", text)[i:i + n] for i in range(40)}
+
+
+def test_every_spelling_of_a_value_has_one_pseudonym(docs):
+    rows = [(name, text) for name, texts in SPELLINGS.items() for text in texts]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(docs([t for _, t in rows]), "k", reversible=False).collect()}
+    for name in SPELLINGS:
+        out = [got[i].pseudonymised for i, (n, _) in enumerate(rows) if n == name]
+        want = values(name, out[0])
+        if name == "date":
+            assert {values(name, t) for t in out} == {want} and want != "19870625"
+            continue
+        (value,) = [v for v in want if len(v) == {"card": 14, "card15": 15, "card13": 13, "phone": 10}[name]]
+        assert all(value in values(name, t) for t in out), (name, out)
+        assert name == "phone" or luhn(value)
+    assert all(got[i].n_card == 1 and got[i].n_phone == ("632" in t) for i, (n, t) in enumerate(rows) if n.startswith("card"))
+
+
+def test_no_pseudonym_is_read_by_another_format(docs):
+    """Cards in 4-6-4 groups, whose tails look like phone numbers: one replacement each, undone by the key."""
+    cards = []
+    for i in range(200):
+        body = f"30{i * 7919 % 10**11:011d}"
+        cards.append(next(body + c for c in "0123456789" if luhn(body + c)))
+    texts = [f"{c[:4]} {c[4:10]} {c[10:]}" for c in cards]
+    got = run(docs, texts + cards)
+    for i, c in enumerate(cards):
+        spaced, plain = got[i], got[i + 200]
+        assert (spaced.n_card, spaced.n_phone, plain.n_card, plain.n_phone) == (1, 0, 1, 0)
+        assert spaced.pseudonymised.replace(" ", "") == plain.pseudonymised and luhn(plain.pseudonymised) and plain.pseudonymised != c
+    back = run(docs, [got[i].pseudonymised for i in range(400)], back=True)
+    assert [back[i].pseudonymised for i in range(400)] == texts + cards
+
+
+def test_the_marks_of_the_method_may_be_in_a_text(docs):
+    marks = "".join(chr(0xFDD0 + i) for i in range(32))
+    texts = [marks + " 10.0.0.255 " + marks[::-1] + marks[10] * 3 + marks[11] + marks[21], marks]
+    got = run(docs, texts)
+    assert got[0].n_ip == 1 and got[0].pseudonymised.startswith(marks + " ") and got[0].pseudonymised.endswith(texts[0].split("255 ")[1])
+    assert got[1].pseudonymised == marks and run(docs, [got[0].pseudonymised], back=True)[0].pseudonymised == texts[0]
