@@ -41,16 +41,16 @@ def _periods() -> Window:
 
 
 def income_stability(txn: DataFrame, period: str = "month") -> DataFrame:
-    """Deviation of income per period over its mean, in percent (ISI)."""
-    monthly = _by_period(txn.where(col("type").isin(*CREDITS)), period, income=F.sum("amount"))
+    """Deviation of income per period over its mean, in percent (ISI); periods without income count as zero."""
+    monthly = _whole(_by_period(txn, period, income=_amount_if(col("type").isin(*CREDITS))), period, ["income"])
     return monthly.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("periods"),
         npround(F.try_divide(F.stddev_samp("income"), F.avg("income")) * 100, 4).alias("isi"))
 
 
 def expenditure_volatility(txn: DataFrame, period: str = "month") -> DataFrame:
-    """Deviation of spending per period (EVS)."""
-    monthly = _by_period(txn.where(col("type") == "debit"), period, spend=F.sum("amount"))
+    """Deviation of spending per period (EVS); periods without spending count as zero."""
+    monthly = _whole(_by_period(txn, period, spend=_amount_if(col("type") == "debit")), period, ["spend"])
     return monthly.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("periods"), npround(F.stddev_samp("spend"), 4).alias("evs"))
 

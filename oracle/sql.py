@@ -158,10 +158,11 @@ _WHOLE = lambda rows, days, values: (
     f"SELECT cal.customer_id, cal.period, {', '.join(f'coalesce({v}, 0.0) AS {v}' for v in values)} FROM (SELECT customer_id,"
     f" unnest(generate_series(min(period), max(period), INTERVAL {days} DAY)) AS period FROM ({rows}) GROUP BY 1) cal LEFT JOIN ({rows}) r"
     " ON r.customer_id = cal.customer_id AND r.period = cal.period")
+_FLOW = lambda cond: _WHOLE(_PER("", "week", f"sum(CASE WHEN {cond} THEN amount ELSE 0.0 END) AS v"), 7, ["v"])
 add("h1_income_stability", f"SELECT customer_id, count(*) AS periods, {rnd('stddev_samp(v) / nullif(avg(v), 0) * 100', 4)} AS isi FROM"
-    f" ({_PER(_CRED, 'week', 'sum(amount) AS v')}) GROUP BY customer_id")
+    f" ({_FLOW(_CRED)}) GROUP BY customer_id")
 add("h2_expenditure_volatility", f"SELECT customer_id, count(*) AS periods, {rnd('stddev_samp(v)', 4)} AS evs FROM ("
-    + _PER("type = 'debit'", "week", "sum(amount) AS v") + ") GROUP BY customer_id")
+    + _FLOW("type = 'debit'") + ") GROUP BY customer_id")
 _DELAY = rnd("avg(date_diff('day', period, paid))", 4)
 add("h3_salary_delay", f"SELECT customer_id, {_DELAY} AS sdt FROM (" + _PER("type = 'salary'", "month", "min(ts) AS paid") + ") GROUP BY customer_id")
 add("h4_deposits_before_due", f"SELECT customer_id, count(*) AS dues, CAST(sum(hit) AS BIGINT) AS covered, {rnd('sum(hit) / count(*) * 100', 4)}"
