@@ -151,8 +151,11 @@ def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: s
             goal = margins.where(~col(test) & drawn).select(
                 "features", ((col(label) - p) / curve).alias("_goal"), (col(weight) * curve).alias("_pull"))
             slicer = VectorSlicer(inputCol="features", outputCol="_some", indices=columns)
+            # the fit reads its rows three times before it keeps them in bins
+            ready = slicer.transform(goal).select("_some", "_goal", "_pull").persist()
             tree = DecisionTreeRegressor(featuresCol="_some", labelCol="_goal", weightCol="_pull", maxDepth=depth, maxBins=bins,
-                                         minInstancesPerNode=least_rows, seed=seed, maxMemoryInMB=1024, cacheNodeIds=False).fit(slicer.transform(goal))
+                                         minInstancesPerNode=least_rows, seed=seed, maxMemoryInMB=1024, cacheNodeIds=False).fit(ready)
+            ready.unpersist()
             nodes += _nodes(tree._java_obj, number, columns, rate)
             margins = tree.setPredictionCol("_step").transform(slicer.transform(margins)).withColumns({
                 "margin": col("margin") + rate * col("_step"), f"_m{number}": col("margin")}).drop("_some", "_step")

@@ -154,8 +154,11 @@ BOOSTERS = {"booster_a": dict(least_rows=5, seed=42), "booster_b": dict(bins=64,
 
 def estimator(name: str, label: str, n: int, forest: int):
     if name == "random_forest":
+        # every row's node in every tree is kept, or each level walks all trees from their roots again; histograms of 1 GB a
+        # task would not fit into an executor with several
         return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="w_balanced", maxDepth=12,
-                                      numTrees=forest, minInstancesPerNode=10, seed=42, maxMemoryInMB=1024, **_outputs(name))
+                                      numTrees=forest, minInstancesPerNode=10, seed=42, maxMemoryInMB=256, cacheNodeIds=True,
+                                      **_outputs(name))
     # C = 0.1 on weights that sum to n
     return LogisticRegression(labelCol=label, featuresCol="scaled", weightCol="w_balanced", maxIter=1000,
                               regParam=1.0 / (0.1 * n), standardization=False, **_outputs(name))

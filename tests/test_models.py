@@ -4,7 +4,7 @@ from itertools import combinations
 from math import factorial
 
 import pytest
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -142,6 +142,25 @@ def test_early_stop_keeps_the_best_round(spark, tmp_path):
     assert 1 <= model.rounds < 40
 
 
+def test_a_boosting_round_reads_its_rows_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        read.add(1)
+        return v
+
+    rows = boosted_rows(spark, 300).coalesce(1).withColumn("features", F.udf(counted, VectorUDT()).asNondeterministic()("features"))
+    boosting.fit(rows, f"file://{tmp_path}/once", "y", "LoanID", "w", "t", 8, rounds=1, patience=None)
+    # once for the tree, once for the margins
+    assert 300 < read.value <= 600
+
+
+def test_forest_keeps_the_nodes_of_rows_and_small_histograms():
+    forest = ml.estimator("random_forest", "Default", 100, 300)
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() <= 256
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (300, 12, 10)
+
+
 def test_linear_contributions_add_up(spark, sf):
     c = catalog._contributions(spark, sf)
     d = c.select(F.abs(F.col("risk_probability") - 1 / (1 + F.exp(-(F.col("base_value") + F.aggregate(
