@@ -161,16 +161,24 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str],
     scale = np.sqrt(np.maximum(0, np.array([sum(r[f"m2_{i}"] for r in moments) / total for i in range(FEATURES)]) - mean**2))
     mean[-1], scale = 0.0, np.where(scale > 1e-9, scale, 1.0)  # the last feature is the constant
 
+    # columns of words that no row of the fit has keep the weight 0: without them the driver holds a fraction of the numbers
+    seen = np.sort(found.where("not held").select(F.explode("words").alias("w")).distinct().toArrow()["w"].to_numpy())
+    column = np.full(BUCKETS, -1, np.int32)
+    column[seen] = np.arange(len(seen))
+    wide = len(seen) + FEATURES
+
     def vector(x, words):
         z = (np.array(x) - mean) / scale
-        return Vectors.sparse(BUCKETS + FEATURES, [*words, *range(BUCKETS, BUCKETS + FEATURES)], [1.0] * len(words) + z.tolist())
+        at = column[np.array(words, np.int64)]
+        at = at[at >= 0].tolist()
+        return Vectors.sparse(wide, [*at, *range(wide - FEATURES, wide)], [1.0] * len(at) + z.tolist())
 
     place = F.array_position(F.array(*[F.lit(d) for d in sorted(domains[k] for k in present)]), F.col("domain")) - 1
     ready = found.select("domain", "held", place.cast("double").alias("label"), F.udf(vector, VectorUDT())("x", "words").alias("features"))
     model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=ROUNDS, standardization=False, fitIntercept=False).fit(
         ready.where("not held"))
     order = [domains.index(d) for d in sorted(domains[k] for k in present)]
-    weights[:, order] = model.coefficientMatrix.toArray().T
+    weights[np.ix_([*seen, *range(BUCKETS, BUCKETS + FEATURES)], order)] = model.coefficientMatrix.toArray().T
     weights[-1, np.setdiff1d(np.arange(size), order)] -= 1e3
     raw = model.transform(ready.where("held and label >= 0")).select("domain", vector_to_array("rawPrediction").alias("raw")).collect()
     calibration = None

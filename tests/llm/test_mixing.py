@@ -89,3 +89,21 @@ def test_odd_rows(docs, spark):
     assert empty.collect() == []
     none, _ = mixing.mixed(docs(ODD), labels.limit(0), F.col("kind"), {"a": 1.0, "b": 1.0})
     assert {round(r.p_a, 6) for r in none.collect()} == {0.5}
+
+
+def test_classifier_is_fitted_on_columns_that_occur(spark, docs, monkeypatch):
+    widths = []
+
+    class Narrow(mixing.LogisticRegression):
+        def fit(self, rows, *args):
+            widths.append(rows.first().features.size)
+            return super().fit(rows, *args)
+
+    monkeypatch.setattr(mixing, "LogisticRegression", Narrow)
+    texts = [f"{'good' if i % 2 else 'bad'} word{i % 7}" for i in range(60)]
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(60)], "doc_id long, d string")
+    found = mixing.fit(docs(texts), labels, F.col("d"), ["a", "b"])
+    assert widths and widths[0] <= 9 + mixing.FEATURES and found.weights.shape == (mixing.BUCKETS + mixing.FEATURES, 2)
+    used = mixing.buckets(" ".join(texts))
+    assert (found.weights[used] != 0).all() and np.count_nonzero(found.weights[:mixing.BUCKETS].any(axis=1)) == len(used)
+    assert found.posteriors(["good word1", "bad word2", "neither"])[1][:2].argmax(axis=1).tolist() == [0, 1]
