@@ -988,14 +988,18 @@ ROUNDS = dict(trees=20)
 
 
 @functools.lru_cache(maxsize=4)
-def _fitted(app: str, d: str):
-    spark = SparkSession.active()
-    return ml.fit(featured(spark, d), early_stop=True, **ROUNDS)
+def _training(app: str, d: str) -> ml.Training:
+    return ml.Training(featured(SparkSession.active(), d), early_stop=True, **ROUNDS)
 
 
-def fitted(spark, d):
-    """One ensemble per application and data set."""
-    return _fitted(spark.sparkContext.applicationId, d)
+@functools.lru_cache(maxsize=16)
+def _fitted(app: str, d: str, models: tuple[str, ...]):
+    return _training(app, d).ensemble(models)
+
+
+def fitted(spark, d, models: tuple[str, ...] = tuple(rules.ENSEMBLE_WEIGHTS)):
+    """The ensemble of the models that a query reads; each is fitted once per application and data set."""
+    return _fitted(spark.sparkContext.applicationId, d, models)
 
 
 @query("m1_feature_preparation")
@@ -1017,22 +1021,22 @@ def _(spark, d):
 @query("m3_standardised_vectors")
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
-    model, _ = fitted(spark, d)
+    model, _ = fitted(spark, d, ())
     s = model.scaler.transform(ml.prepare(featured(spark, d), model.prep))
     return s.select("LoanID", vector_to_array("scaled").alias("scaled"))
 
 
-def _model_scores(name, *cols):
+def _model_scores(name, column, *models):
     @query(name)
     def _(spark, d):
-        model, _ = fitted(spark, d)
-        return model.transform(featured(spark, d)).select("LoanID", *cols)
+        model, _ = fitted(spark, d, *models)
+        return model.transform(featured(spark, d)).select("LoanID", column)
 
 
-_model_scores("m4_booster_a", "p_booster_a")
-_model_scores("m5_booster_b", "p_booster_b")
-_model_scores("m6_random_forest", "p_random_forest")
-_model_scores("m7_logistic", "p_logistic")
+_model_scores("m4_booster_a", "p_booster_a", ("booster_a",))
+_model_scores("m5_booster_b", "p_booster_b", ("booster_b",))
+_model_scores("m6_random_forest", "p_random_forest", ("random_forest",))
+_model_scores("m7_logistic", "p_logistic", ("logistic",))
 
 
 @query("m8_weighted_ensemble")
@@ -1105,7 +1109,7 @@ def _(spark, d):
 
 @query("m16_feature_importance")
 def _(spark, d):
-    model, _ = fitted(spark, d)
+    model, _ = fitted(spark, d, ("booster_a",))
     return model.importance("booster_a")
 
 
@@ -1121,7 +1125,7 @@ def _(spark, d):
 
 def _explained(spark, d):
     """Every loan's contributions to the log odds of the first booster."""
-    model, _ = fitted(spark, d)
+    model, _ = fitted(spark, d, ("booster_a",))
     vectors = ml.prepare(featured(spark, d), model.prep).select("LoanID", "features")
     return boosting.contributions(vectors, model.models["booster_a"], model.features)
 

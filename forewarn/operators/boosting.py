@@ -128,8 +128,14 @@ def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: s
     while path_exists(spark, f"{folder}/block-{at}/state/_SUCCESS"):
         state, at = json.loads(spark.read.text(f"{folder}/block-{at}/state").first().value), at + 1
     kept = rows.select(key, label, weight, test, "features")
+
+    def behind(block: int) -> DataFrame:
+        """The rows with their margins after a block; the margins before each of its rounds are not read."""
+        scored = spark.read.parquet(f"{folder}/block-{block}/scored")
+        return scored.select(*kept.columns, "margin")
+
     if at:
-        current = spark.read.parquet(f"{folder}/block-{at - 1}/margins")
+        current = behind(at - 1)
     else:
         positive = rows.where(~col(test)).agg(F.sum(F.when(col(label) == 1, col(weight)).otherwise(0)) / F.sum(weight)).scalar()
         share = rows.sparkSession.range(1).select(positive).first()[0] or 0.5
@@ -141,7 +147,7 @@ def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: s
         return state["done"] >= rounds or bool(patience and losses and len(losses) - 1 - int(np.argmin(losses)) >= patience)
 
     while not ended():
-        nodes, margins = [], current
+        nodes, margins, before = [], current, None
         steps = range(state["done"], min(rounds, state["done"] + block))
         for number in steps:
             columns = sorted(random.Random(f"{seed} {number}").sample(range(size), max(1, round(column_share * size))))
@@ -157,21 +163,28 @@ def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: s
                                          minInstancesPerNode=least_rows, seed=seed, maxMemoryInMB=1024, cacheNodeIds=False).fit(ready)
             ready.unpersist()
             nodes += _nodes(tree._java_obj, number, columns, rate)
+            # the fit has read all margins, so those of the round before are no longer needed; without them in memory every
+            # round would walk all trees of its block again
+            if before is not None:
+                before.unpersist()
+            before = margins if number > steps[0] else None
             margins = tree.setPredictionCol("_step").transform(slicer.transform(margins)).withColumns({
-                "margin": col("margin") + rate * col("_step"), f"_m{number}": col("margin")}).drop("_some", "_step")
+                "margin": col("margin") + rate * col("_step"), f"_m{number}": col("margin")}).drop("_some", "_step").persist()
         # column _m<n> holds the margin before round n; the last is the margin itself
         target = f"{folder}/block-{at}"
         spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{target}/nodes")
         margins.write.mode("overwrite").parquet(f"{target}/scored")
+        for done in (before, margins):
+            if done is not None:
+                done.unpersist()
         scored = spark.read.parquet(f"{target}/scored")
         after = [f"_m{n + 1}" for n in steps[:-1]] + ["margin"]
         sign = F.when(col(label) == 1, -1.0).otherwise(1.0)
         loss = [F.avg(F.log1p(F.exp(F.least(sign * col(m), F.lit(500.0))))).alias(m) for m in after]
         found = scored.where(col(test)).agg(*loss).first()
-        scored.drop(*[f"_m{n}" for n in steps]).write.mode("overwrite").parquet(f"{target}/margins")
         state = {**state, "done": steps[-1] + 1, "losses": state["losses"] + [found[m] if found[m] is not None else 0.0 for m in after]}
         spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/state")
-        current, at = spark.read.parquet(f"{target}/margins"), at + 1
+        current, at = behind(at), at + 1
     keep = int(np.argmin(state["losses"])) + 1 if patience and state["losses"] else state["done"]
     every = chain.from_iterable(spark.read.parquet(f"{folder}/block-{b}/nodes").collect() for b in range(at))
     return BoostedTrees(sorted(tuple(r) for r in every if r["round"] < keep), state["start"], size)

@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 from itertools import combinations
 from math import factorial
 
@@ -166,3 +167,49 @@ def test_linear_contributions_add_up(spark, sf):
     d = c.select(F.abs(F.col("risk_probability") - 1 / (1 + F.exp(-(F.col("base_value") + F.aggregate(
         "contributions", F.lit(0.0), lambda a, e: a + e["impact"]))))).alias("d")).agg(F.max("d")).first()[0]
     assert d < 1e-12
+
+
+def test_queries_of_one_model_fit_that_model_alone(spark, sf, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(ml.Training, "_fit", lambda self, name, own=ml.Training._fit: (fitted.append(name), own(self, name))[1])
+    monkeypatch.setattr(catalog, "ROUNDS", dict(trees=2, forest=4))
+    for cache in (catalog._training, catalog._fitted):
+        cache.cache_clear()
+    try:
+        n = catalog.featured(spark, sf).count()
+        assert catalog.QUERIES["m3_standardised_vectors"](spark, sf).count() == n and fitted == []
+        alone = catalog.QUERIES["m7_logistic"](spark, sf).orderBy("LoanID").collect()
+        assert fitted == ["logistic"]
+        whole = catalog.fitted(spark, sf)[0]
+        assert sorted(fitted) == sorted(whole.models) and len(whole.models) == 4
+        both = whole.transform(catalog.featured(spark, sf)).orderBy("LoanID").select("LoanID", "p_logistic").collect()
+        assert len(alone) == n and alone == both
+    finally:
+        for cache in (catalog._training, catalog._fitted):
+            cache.cache_clear()
+
+
+def test_models_asked_for_together_are_fitted_side_by_side(spark, sf, monkeypatch):
+    training = ml.Training(catalog.featured(spark, sf), trees=1, forest=1)
+    meet = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(training, "_fit", lambda name: (meet.wait(), name)[1])
+    assert training.models(("booster_a", "booster_b")) == {"booster_a": "booster_a", "booster_b": "booster_b"}
+
+
+def test_a_boosting_block_writes_its_rows_once(spark, tmp_path):
+    boosting.fit(boosted_rows(spark, 60), f"file://{tmp_path}/block", "y", "LoanID", "w", "t", 8, rounds=3, block=2, patience=None)
+    for block in ("block-0", "block-1"):
+        assert {p.name for p in (tmp_path / "block" / block).iterdir()} == {"nodes", "scored", "state"}
+
+
+def test_a_round_walks_only_the_tree_before_it(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        read.add(1)
+        return v
+
+    rows = boosted_rows(spark, 200).coalesce(1).withColumn("features", F.udf(counted, VectorUDT()).asNondeterministic()("features"))
+    boosting.fit(rows, f"file://{tmp_path}/walk", "y", "LoanID", "w", "t", 8, rounds=4, block=4, patience=None)
+    # once for the first tree and once for the margins that all later rounds go on from
+    assert 200 < read.value <= 400
