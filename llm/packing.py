@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import dense_rank_in, saved
-from llm.tokens import encoder
+from llm.tokens import encoder, from_halves, halved
 
 #: Rows of one length and range of ids that one task numbers, on average.
 RANGE_ROWS = 1 << 17
@@ -89,9 +89,10 @@ def cut(ids: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id",
                  text_col: str = "text", ranks: str | None = None, pattern: str | None = None,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, in_halves: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit little-endian).
 
+    ``in_halves``: ids are laid out by ``tokens.halved``; ``pack`` undoes it.
     Null texts are empty and consist of the end id alone.  Texts of any length are read whole.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -105,7 +106,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
                 ids = tool.packed(text or "") + end
                 for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start: 4 * (start + length)]
-                    for to, x in zip(out, (doc, n, start, length, zlib.crc32(part), part)):
+                    for to, x in zip(out, (doc, n, start, length, zlib.crc32(part), halved(part) if in_halves else part)):
                         to.append(x)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
@@ -116,12 +117,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
                            + ", ids binary" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"),
+         in_halves: str | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
     Every row with a length from 1 to ``capacity`` is placed once; offsets within a sequence are gapless from 0.  Other
     lengths are an error.  Rows that repeat are placed as often as they come.  An empty table gives an empty result.
-    ``pieces`` is written once to the shared folder.
+    ``pieces`` is written once to the shared folder.  ``in_halves``: a column of ids laid out by ``tokens.halved``, which the
+    result has as they were.
     """
     if clash := {"sequence_id", "offset"} & set(pieces.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
@@ -145,7 +148,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tu
                 first, _, sequence, n, offset = by_length[length][bisect_right(firsts[length], rank) - 1]
                 ids.append(sequence + (rank - first) // n)
                 offsets.append(offset + (rank - first) % n * length)
-            own = [batch[c] for c in batch.schema.names if c != "_rank"]
+            own = [pa.array(map(from_halves, batch[c].to_pylist()), pa.binary()) if c == in_halves else batch[c]
+                   for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())],
                                              [*[c for c in batch.schema.names if c != "_rank"], "sequence_id", "offset"])
 

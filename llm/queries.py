@@ -82,8 +82,9 @@ SEQUENCE = 1024
 
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), end_id=END_ID, capacity=SEQUENCE, with_ids=True, **VOCABULARY)
-    placed = packing.pack(pieces.drop("ids_crc32"), SEQUENCE)
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), end_id=END_ID, capacity=SEQUENCE, with_ids=True, in_halves=True,
+                                  **VOCABULARY)
+    placed = packing.pack(pieces.drop("ids_crc32"), SEQUENCE, in_halves="ids")
     return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # of the ids as they came to their sequence
 
 

@@ -104,3 +104,17 @@ def test_sequences_hold_the_ids(docs):
     pieces = packing.token_pieces(docs(texts), end_id=2, capacity=128, with_ids=True, **VOCABULARY)
     out = packing.sequences(packing.pack(pieces, 128)).collect()
     assert sum(len(r.ids) for r in out) == sum(len(r.ids) for r in pieces.collect()) and all(len(r.ids) <= 512 for r in out)
+
+
+def test_ids_in_halves_take_less_room_and_come_back(spark, docs, tmp_path):
+    r = random.Random(3)
+    texts = ODD + [(i + 20, " ".join("".join(r.choices("aeioubcdklmnrst", k=6)) for _ in range(700))) for i in range(30)]
+    plain, laid = (packing.token_pieces(docs(texts), end_id=2, capacity=128, with_ids=True, in_halves=p, **VOCABULARY) for p in (False, True))
+    size = {}
+    for name, df in (("plain", plain), ("laid", laid)):
+        df.select("ids").coalesce(1).write.option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/{name}")
+        size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+    assert size["laid"] < 0.85 * size["plain"]
+    found = [sorted((r.doc_id, r.piece, bytes(r.ids), r.sequence_id, r.offset) for r in packing.pack(df, 128, in_halves=column).collect())
+             for df, column in ((plain, None), (laid, "ids"))]
+    assert found[0] == found[1]
