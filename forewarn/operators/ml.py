@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
@@ -170,7 +170,8 @@ def estimator(name: str, label: str, n: int, forest: int):
 class Training:
     """Prepared and split rows, written once, and the models that are fitted on them, each at most once.
 
-    The fits do not depend on one another and are made of many small jobs, so those asked for together run side by side.
+    The fits do not depend on one another and are made of many small jobs, so those asked for together run side by side, the forest
+    behind them.
     """
 
     def __init__(self, df: DataFrame, label: str = "Default", key: str = "LoanID", trees: int = 500, forest: int = 300,
@@ -210,14 +211,20 @@ class Training:
         train = self.scaler.transform(self.train) if name == "logistic" else self.train
         return estimator(name, self.label, self.n, self.forest).fit(train)
 
+    def _fit_behind(self, name: str, before: list[Future]):
+        wait(before)
+        return self._fit(name)
+
     def models(self, names: tuple[str, ...]) -> dict:
         """The fitted models of these names; a fit that failed is tried again when it is asked for again."""
         with self._lock:
             missing = [n for n in names if n not in self._fits or (self._fits[n].done() and self._fits[n].exception())]
             if missing:
                 pool = ThreadPoolExecutor(len(missing))
-                for n in missing:
-                    self._fits[n] = pool.submit(inheritable_thread_target(self.spark)(self._fit), n)
+                # the forest fills all cores and most memory, so it comes behind the others
+                for n in sorted(missing, key="random_forest".__eq__):
+                    before = list(self._fits.values()) if n == "random_forest" else []
+                    self._fits[n] = pool.submit(inheritable_thread_target(self.spark)(self._fit_behind), n, before)
                 pool.shutdown(wait=False)
             fits = {n: self._fits[n] for n in names}
         return {n: f.result() for n, f in fits.items()}

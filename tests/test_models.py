@@ -194,6 +194,10 @@ def test_models_asked_for_together_are_fitted_side_by_side(spark, sf, monkeypatc
     meet = threading.Barrier(2, timeout=60)
     monkeypatch.setattr(training, "_fit", lambda name: (meet.wait(), name)[1])
     assert training.models(("booster_a", "booster_b")) == {"booster_a": "booster_a", "booster_b": "booster_b"}
+    order = []
+    monkeypatch.setattr(training, "_fit", order.append)
+    training.models(("random_forest", "logistic"))
+    assert order == ["logistic", "random_forest"]
 
 
 def test_a_boosting_block_writes_its_rows_once(spark, tmp_path):
