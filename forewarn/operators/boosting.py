@@ -24,6 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forewarn.plans.fence import fence
 from forewarn.sources.io import path_exists
 
 #: The functions that tasks run travel with them, so workers need not have this package.
@@ -259,21 +260,25 @@ def contributions(df: DataFrame, model: BoostedTrees, names: list[str], keep=("L
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         rows = np.array(x.tolist(), np.float64).reshape(len(x), -1)
-        out = np.zeros((len(rows), len(names)))
+        # by columns: each step runs through neighbouring numbers
+        columns, out = np.ascontiguousarray(rows.T), np.zeros((len(names), len(rows)))
         for paths in trees:
-            feature, above, upto, part = _looked_up(paths)
-            met = np.zeros((len(rows), len(paths)), np.int64)
-            for j in range(feature.shape[1]):
-                value = rows[:, feature[:, j]]
-                met |= ((value > above[:, j]) & (value <= upto[:, j])).astype(np.int64) << j
-            each = part[np.arange(len(paths)), met].reshape(len(rows), -1)
-            order = np.argsort(feature.ravel(), kind="stable")
-            own, first = np.unique(feature.ravel()[order], return_index=True)
-            out[:, own] += np.add.reduceat(each[:, order], first, axis=1)
-        return pd.Series(list(out))
+            feature, *_, part = _looked_up(paths)
+            for leaf, (_, path) in enumerate(paths):
+                # places that only fill the path are always met
+                met = np.full(len(rows), (1 << feature.shape[1]) - (1 << len(path)))
+                for j, (f, (above, upto, _)) in enumerate(path.items()):
+                    inside = columns[f] <= upto
+                    if above > -np.inf:
+                        inside &= columns[f] > above
+                    met |= inside.astype(np.int64) << j
+                for j, f in enumerate(path):
+                    out[f] += part[leaf, :, j].take(met)
+        return pd.Series(list(np.ascontiguousarray(out.T)))
 
     values = vector_to_array(features)
-    rows = df.select(*keep, values.alias("_x"), run(values).alias("_phi"))
+    # an explode above adds a filter on the array, which would work out everything a second time
+    rows = fence(df.select(*keep, values.alias("_x"), run(values).alias("_phi")), "contributions")
     entry = F.transform(F.arrays_zip(F.array(*map(F.lit, names)).alias("f"), col("_phi").alias("p"), col("_x").alias("x")),
                         lambda e: F.struct(e["f"].alias("feature"), e["p"].alias("impact"), e["x"].alias("value")))
     out = rows.select(*keep, F.lit(float(base)).alias("base_value"), entry.alias("contributions"))

@@ -137,6 +137,19 @@ def test_boosting_resumes_and_contributions_are_exact(spark, tmp_path):
     assert boosting.path_table(whole, spark, names).where("share <= 0 or share > 1 or above >= upto").count() == 0
 
 
+def test_exploded_contributions_are_worked_out_once(spark):
+    trees, names = catalog.given_booster(), catalog.GIVEN_FEATURES
+    # a path of one feature, one of two and one of three that are met or not, and a row on a cut
+    rows = spark.createDataFrame([(1, Vectors.dense(30.0, 600.0, 30.0, 5e4)), (2, Vectors.dense(40.0, 700.0, 50.0, 7e4))], ["LoanID", "features"])
+    out = boosting.contributions(rows, trees, names).select("LoanID", F.explode("contributions").alias("c")).select("LoanID", "c.feature", "c.impact")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(") == 1, plan
+    got = {(r.LoanID, r.feature): r.impact for r in out.collect()}
+    for r in rows.collect():
+        want = [sum(v) for v in zip(*(shapley_by_definition(t, list(r.features), range(4)) for t in trees.trees()))]
+        assert [got[r.LoanID, f] for f in names] == pytest.approx(want, abs=1e-12)
+
+
 def test_early_stop_keeps_the_best_round(spark, tmp_path):
     noise = boosted_rows(spark, 200).withColumn("y", (F.xxhash64("LoanID") % 2 == 0).cast("int"))
     model = boosting.fit(noise, f"file://{tmp_path}/noise", "y", "LoanID", "w", "t", 8, rounds=40, rate=1.0, patience=3, block=4)
