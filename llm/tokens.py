@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE, fast enough for whole corpora.
 
-A text is cut at single spaces between words, where this vocabulary's pattern always ends a token, and the ids of the
-words are remembered; the result is that of encoding the whole text at once.
+Texts of Latin letters are encoded whole by the faster of two encoders.  Others are cut at single spaces between words, where
+this vocabulary's pattern always ends a token, and the ids of the words are remembered; the result is that of encoding the
+whole text at once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import base64
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -19,6 +21,10 @@ from tokenizers import Tokenizer
 REMEMBERED = 60_000
 #: A space inside or at the end of white space: there a token may reach over it.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
+#: What is not a Latin letter or below.
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+#: Longer texts are encoded in parts of about so many characters, so the numbers of one part are in memory.
+PART = 1 << 16
 _ASCII_JOINED = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
 
 
@@ -37,8 +43,8 @@ class _Words(dict):
 
 
 class Encoder:
-    """``vocabulary``: a tokenizers JSON file.  ``ranks``: the same vocabulary as a tiktoken file, used for words of Latin
-    letters, where both give the same ids and it is three times as fast; None: never."""
+    """``vocabulary``: a tokenizers JSON file.  ``ranks``: the same vocabulary as a tiktoken file, used for words and texts of
+    Latin letters, where both give the same ids and it is three times as fast; None: never."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,9 +61,19 @@ class Encoder:
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def _word(self, word: str) -> list[int]:
-        if self.quick is not None and (word.isascii() or max(word) < "ɐ"):
-            return self.quick.encode_ordinary(word)
-        return self._exact(word)
+        return self.quick.encode_ordinary(word) if self._latin(word) else self._exact(word)
+
+    def _latin(self, text: str) -> bool:
+        return self.quick is not None and (text.isascii() or _BEYOND.search(text) is None)
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a Latin text whose spaces are all single ones, cut before spaces."""
+        at = 0
+        while at < len(text):
+            to = text.find(" ", at + PART)
+            to = len(text) if to < 0 else to
+            yield array("I", self.quick.encode_ordinary(text[at:to])).tobytes()
+            at = to
 
     def packed(self, text: str) -> bytes:
         """The ids of ``text``, four bytes each, in the machine's byte order (little-endian on all common machines)."""
@@ -69,6 +85,8 @@ class Encoder:
             joined = _JOINED.search(text) is not None
         if joined or any(x in text for x in self.special):
             return array("I", self._exact(text)).tobytes()
+        if self._latin(text):
+            return b"".join(self._parts(text))
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.later.__getitem__, rest)) if head else b"".join(
             map(self.later.__getitem__, rest))

@@ -29,6 +29,29 @@ def test_ids_are_those_of_the_whole_text(whole):
         assert memoryview(tool.packed(t)).cast("I").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_encoded_whole_and_in_parts(whole, monkeypatch):
+    class Counted:
+        def __init__(self, tool):
+            self.tool, self.calls = tool, 0
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.tool.encode_ordinary(text)
+
+    tool, r = Encoder(**VOCABULARY), random.Random(2)
+    tool.quick = Counted(tool.quick)
+    letters = "abé\n\t1'sTß\xa0\x85\x1cɏ, " + " " * 6
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(4000)]
+    ids = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [memoryview(tool.packed(t)).cast("I").tolist() for t in texts] == ids
+    assert 0 < tool.quick.calls <= len(texts) and not tool.first and not tool.later
+    monkeypatch.setattr("llm.tokens.PART", 5)
+    assert [memoryview(tool.packed(t)).cast("I").tolist() for t in texts] == ids
+    # other letters go word by word, as before
+    assert memoryview(tool.packed("old 日 word")).cast("I").tolist() == whole.encode("old 日 word", add_special_tokens=False).ids
+    assert len(tool.later) == 2
+
+
 def test_pieces(docs, whole):
     rows = ODD + [(20, prose(5, 900))]
     got = packing.token_pieces(docs(rows), end_id=2, capacity=64, with_ids=True, **VOCABULARY).collect()
