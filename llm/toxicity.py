@@ -189,29 +189,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["passage", "y", "fold"])
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different words and pairs of each passage with the words they cover, as (first word, number of words)."""
-        kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        """The words and pairs of each passage with the words they cover, as (first word, number of words), and whether the term
+        comes for the first time in it."""
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
             rows = []
-            for passage, y, fold in zip(*[batch[c].to_pylist() for c in ("passage", "y", "fold")]):
+            for number, passage, y, fold in zip(*[batch[c].to_pylist() for c in ("number", "passage", "y", "fold")]):
                 words = passage.split()
                 many = [(i, n, b" ".join(words[i: i + n])) for n in (1, 2) for i in range(len(words) - n + 1)]
+                first = {}
+                for m in many:
+                    first.setdefault(m[2], m)
                 # of ordinary passages the terms are only counted
-                rows += [(passage, y, fold, *m) for m in many] if y else [(b"", y, fold, 0, t.count(b" ") + 1, t) for t in {m[2] for m in many}]
+                rows += [(number, fold, *m, first[m[2]] is m) for m in (many if y else first.values())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["passage", "y", "fold", "at", "n", "term"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
+                                                 ["number", "fold", "at", "n", "term", "first"])
 
     seen = saved(texts.select("text", "y", "fold").mapInArrow(passages, "passage binary, y int, fold int")
-                 .groupBy("passage", "y").agg(F.min("fold").alias("fold")), "toxic-passages")
+                 .groupBy("passage", "y").agg(F.min("fold").alias("fold"))
+                 .withColumn("number", F.monotonically_increasing_id()), "toxic-passages")
     sizes = {(r["y"], r["fold"]): r["count"] for r in seen.groupBy("y", "fold").count().collect()}
-    found = seen.mapInArrow(terms, "passage binary, y int, fold int, at int, n int, term binary")
+    found = [seen.where(F.col("y") == y).mapInArrow(terms, "number long, fold int, at int, n int, term binary, first boolean") for y in (0, 1)]
+    # terms travel with the numbers of their passages, whose texts would come once a term
+    toxic = saved(found[1], "toxic-terms")
     # a word repeated in a passage counts once; what too few toxic passages have needs no count of ordinary ones
-    toxic = saved(found.where("y = 1"), "toxic-terms")
-    once = toxic.select("term", "n", "passage", "fold").distinct()
-    often = once.groupBy("term", "n").agg(*[F.count_if(F.col("fold") == f).alias(f"n1_{f}") for f in range(FOLDS)])
+    often = toxic.where("first").groupBy("term", "n").agg(*[F.count_if(F.col("fold") == f).alias(f"n1_{f}") for f in range(FOLDS)])
     few = F.when(F.col("n") == 1, FEWEST[0]).otherwise(FEWEST[1])
     often = often.where(sum((F.col(f"n1_{f}") for f in range(FOLDS)), F.lit(0)) >= few)
-    plain = found.where("y = 0").join(often.select("term"), "term", "left_semi").groupBy("term").agg(
+    plain = found[0].join(often.select("term"), "term", "left_semi").groupBy("term").agg(
         *[F.count_if(F.col("fold") == f).alias(f"n0_{f}") for f in range(FOLDS)])
     counts = often.join(plain, "term", "left").na.fill(0)
     parts = [tuple(f for f in range(FOLDS) if f != out) for out in range(FOLDS)] + [tuple(range(FOLDS))]
@@ -226,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     marks = counts.select("term", F.array(*[odds(p) for p in parts]).alias("z")).where(
         F.array_max("z") > min(ERRORS))
-    typical = toxic.join(marks, "term").groupBy("passage").agg(
-        F.min("fold").alias("fold"), F.collect_list(F.struct("at", "n", "z")).alias("marks"))  # bounded by a passage's words
+    typical = toxic.select("number", "at", "n", "term").join(marks, "term").groupBy("number").agg(
+        F.collect_list(F.struct("at", "n", "z")).alias("marks"))  # bounded by a passage's words
+    typical = typical.join(seen.where("y = 1").select("number", "passage", "fold"), "number")
     # of each fold as many passages as a dictionary is trained on at most
     typical = saved(typical, "toxic-typical")
     chosen = [typical.where(F.col("fold") == f).orderBy(F.xxhash64("passage"), "passage").limit(TRAINING_WINDOWS // FOLDS) for f in range(FOLDS)]

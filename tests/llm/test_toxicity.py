@@ -97,6 +97,33 @@ def test_copied_toxic_documents_count_once(docs, spark):
     assert all(r.predicted == 0 for r in got)
 
 
+def test_terms_travel_without_their_passages(docs, spark, monkeypatch):
+    kept, found = toxicity.saved, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        found[name] = out.columns, out.collect()
+        return out
+
+    monkeypatch.setattr(toxicity, "saved", watched)
+    rows, labels = corpus(120)
+    rows[0], labels[0] = (0, "you dimwit you dimwit you"), (0, 1)
+    toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    columns, terms = found["toxic-terms"]
+    assert "passage" not in columns
+    passages = {r.number: r for r in found["toxic-passages"][1]}
+    assert len(passages) == len(found["toxic-passages"][1]) == len({(bytes(r.passage), r.y) for r in passages.values()})
+    want = []
+    for r in passages.values():
+        words = bytes(r.passage).split()
+        want += [(r.number, i, n, b" ".join(words[i: i + n])) for n in (1, 2) for i in range(len(words) - n + 1) if r.y]
+    assert sorted((r.number, r.at, r.n, bytes(r.term)) for r in terms) == sorted(want)
+    # each term of a passage counts once
+    firsts = [(r.number, bytes(r.term)) for r in terms if r.first]
+    assert len(firsts) == len(set(firsts)) and set(firsts) == {(x[0], x[3]) for x in want} and len(firsts) < len(want)
+    assert all(passages[r.number].passage == r.passage and passages[r.number].fold == r.fold for r in found["toxic-typical"][1])
+
+
 def test_savings_are_those_of_plain_compression(learnt):
     df, model, _ = learnt
     tool = toxicity.Distance(model)
