@@ -22,14 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.common import saved
+from llm.regression import LogisticRegression
 
 SAMPLE = 5000
 #: Hashed words that the classifier tells apart, a power of two, and its penalty.
@@ -175,22 +174,34 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str],
 
     place = F.array_position(F.array(*[F.lit(d) for d in sorted(domains[k] for k in present)]), F.col("domain")) - 1
     ready = found.select("domain", "held", place.cast("double").alias("label"), F.udf(vector, VectorUDT())("x", "words").alias("features"))
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=ROUNDS, standardization=False, fitIntercept=False).fit(
-        ready.where("not held"))
+    fitted = LogisticRegression(PENALTY, ROUNDS).fit(ready.where("not held"))
     order = [domains.index(d) for d in sorted(domains[k] for k in present)]
-    weights[np.ix_([*seen, *range(BUCKETS, BUCKETS + FEATURES)], order)] = model.coefficientMatrix.toArray().T
+    weights[np.ix_([*seen, *range(BUCKETS, BUCKETS + FEATURES)], order)] = fitted
     weights[-1, np.setdiff1d(np.arange(size), order)] -= 1e3
-    raw = model.transform(ready.where("held and label >= 0")).select("domain", vector_to_array("rawPrediction").alias("raw")).collect()
+    raw = _raw(found.where(F.col("held") & F.col("domain").isin([domains[k] for k in order])), Classifier(domains, mean, scale, weights))
     calibration = None
     y = np.array([domains.index(r["domain"]) for r in raw], dtype=int)
     if len(y) >= CALIBRATED and set(y) == set(order) == set(range(size)):
         z = np.zeros((len(y), size + 1))
-        z[:, order], z[:, -1] = np.array([r["raw"] for r in raw]), 1
+        z[:, order], z[:, -1] = np.array([r["raw"] for r in raw])[:, order], 1
         m, s, w = softmax_fit(z, y, size, ridge=1e-4)
         calibration = (np.append(m[:-1], 0.0), np.append(s[:-1], 1.0), w)
     return Classifier(domains, mean, scale, weights, calibration)
 
 
+def _raw(rows: DataFrame, classifier: Classifier) -> list:
+    """domain and raw scores of described rows, at most ``SAMPLE`` a domain."""
+    shared = rows.sparkSession.sparkContext.broadcast(classifier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                raw = shared.value.raw(np.array(batch["x"].to_pylist()), [np.array(w, np.int64) for w in batch["words"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch["domain"], pa.array(raw.tolist(), pa.list_(pa.float64()))], ["domain", "raw"])
+
+    return rows.select("domain", "x", "words").mapInArrow(run, "domain string, raw array<double>").collect()
+
+
 def with_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (tokens) and p, the posteriors in the order of the domains: one row per row of ``docs``."""
     size = len(classifier.domains)
