@@ -47,24 +47,33 @@ _BYTE_CLASS = np.full(256, 6)
 _BYTE_CLASS[97:123], _BYTE_CLASS[65:91], _BYTE_CLASS[48:58], _BYTE_CLASS[[9, 11, 12, 13, 32]] = 0, 1, 2, 3
 _BYTE_CLASS[10], _BYTE_CLASS[[33, 44, 46, 58, 59, 63]], _BYTE_CLASS[128:] = 4, 5, 7
 FEATURES = len(_CLASSES) + 6
+#: Bytes that count as odd at the end of a word, and those between words.
+_ODD, _GAP = (np.isin(np.arange(256), list(x)) for x in (b"%*&$#!|@^~", b" \t\n\r\x0b\x0c"))
 
 
-def features(text: str | None) -> tuple[int, list[float]]:
-    """Tokens (words) and features of one whole text; null counts as empty."""
-    data = (text or "").encode()
-    words = data.split()
-    n, size = len(words), max(1, len(data))
-    share = np.bincount(_BYTE_CLASS[np.frombuffer(data, np.uint8)], minlength=len(_CLASSES)) / size
+def _read(text: str | bytes | None) -> tuple[int, list[float], np.ndarray]:
+    """Tokens (words), features and the different hashed words of one whole text; null counts as empty."""
+    data = text if isinstance(text, bytes) else (text or "").encode()
+    words, codes = data.split(), np.frombuffer(data, np.uint8)
+    n, size, found = len(words), max(1, len(data)), set(words)
+    share = np.bincount(_BYTE_CLASS, np.bincount(codes, minlength=256), len(_CLASSES)) / size
     lines = data.split(b"\n")
-    odd = sum(w[-1:] in b"%*&$#!|@^~" for w in words) if n else 0
-    return n, [*share.tolist(), np.log1p(n) / 10, size / max(1, n) / 10, odd / max(1, n),
-               len(set(words)) / max(1, n), len(set(lines)) / max(1, len(lines)), 1.0]
+    marks = np.flatnonzero(_ODD[codes])
+    odd = np.count_nonzero(_GAP[codes[marks[marks < len(data) - 1] + 1]]) + int(len(marks) and marks[-1] == len(data) - 1)
+    x = [*share.tolist(), np.log1p(n) / 10, size / max(1, n) / 10, odd / max(1, n),
+         len(found) / max(1, n), len(set(lines)) / max(1, len(lines)), 1.0]
+    hashed = np.fromiter(map(zlib.crc32, map(bytes.lower, found)), np.int64, len(found))
+    return n, x, np.unique(hashed & (BUCKETS - 1))
+
+
+def features(text: str | bytes | None) -> tuple[int, list[float]]:
+    """Tokens (words) and features of one whole text; null counts as empty."""
+    return _read(text)[:2]
 
 
-def buckets(text: str | None) -> np.ndarray:
+def buckets(text: str | bytes | None) -> np.ndarray:
     """The different hashed words of a text, A-Z in lower case, in order."""
-    found = np.fromiter(map(zlib.crc32, set((text or "").encode().lower().split())), np.int64)
-    return np.unique(found & (BUCKETS - 1))
+    return _read(text)[2]
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,11 +81,10 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            rows = [features(t) for t in texts]
+            rows = [_read(t) for t in batch["text"].cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-                 pa.array([buckets(t) for t in texts], pa.list_(pa.int32()))], ["id", "n", "x", "words"])
+                 pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["id", "n", "x", "words"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, x array<double>, words array<int>")
@@ -120,12 +128,12 @@ class Classifier:
         p = np.exp(raw - raw.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def posteriors(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+    def posteriors(self, texts: list[str | bytes | None]) -> tuple[list[int], np.ndarray]:
         """Tokens and posteriors of whole texts."""
         if not texts:
             return [], np.empty((0, len(self.domains)))
-        rows = [features(t) for t in texts]
-        return [r[0] for r in rows], self.calibrated(self.raw(np.array([r[1] for r in rows]), [buckets(t) for t in texts]))
+        rows = [_read(t) for t in texts]
+        return [r[0] for r in rows], self.calibrated(self.raw(np.array([r[1] for r in rows]), [r[2] for r in rows]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id", text_col: str = "text",
@@ -209,7 +217,7 @@ def with_posteriors(docs: DataFrame, classifier: Classifier, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = shared.value.posteriors(batch["text"].to_pylist())
+            n, p = shared.value.posteriors(batch["text"].cast(pa.large_binary()).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * size), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), lists], ["id", "n", "p"])
 
@@ -363,7 +371,7 @@ def resampled(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = pa.array(model.value.posteriors(batch.column(place).to_pylist())[1].tolist(), pa.list_(pa.float64()))
+            p = pa.array(model.value.posteriors(batch.column(place).cast(pa.large_binary()).to_pylist())[1].tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), p], ["row", "p"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("p", T.ArrayType(T.DoubleType()))])
