@@ -982,9 +982,8 @@ def _(spark, d):
 
 # --- models ------------------------------------------------------------------
 
-#: Boosting rounds of the model queries: a round takes about 1.7 s whatever the (small) input, so the 500 of ``ml.fit`` are
-#: left to its callers.  All else is at full size.
-ROUNDS = dict(trees=20)
+#: Sizes of the models that differ from those of ``ml.fit``: none.
+ROUNDS: dict = {}
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,29 +1,27 @@
 """Boosted trees in resumable blocks, their paths as tables, and exact contributions of every feature for every row.
 
-Each round fits one Spark regression tree to Newton steps of the logistic loss (target gradient / hessian, weight hessian) on
-its own draw of rows and of columns.  The margins of all rows lie in a table of the shared folder; a block of rounds reads
-it, and writes its trees and the next margins.  A run that is started again in the same folder goes on behind the last
-whole block and gives the same trees.
+Each round fits one regression tree to Newton steps of the logistic loss (target gradient / hessian, weight hessian) on its own
+draw of rows and of columns.  A block of rounds is one barrier stage (``histograms``), whose tasks hold the rows in bins and their
+margins; its trees and losses are written to the shared folder.  A run that is started again in the same folder works the margins
+out from the trees, goes on behind the last whole block and gives the same trees.
 """
 
 from __future__ import annotations
 
 import json
-import random
 import sys
 from dataclasses import dataclass
-from itertools import chain
+from itertools import groupby
 from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forewarn.operators import histograms
 from forewarn.plans.fence import fence
 from forewarn.sources.io import path_exists
 
@@ -37,24 +35,6 @@ NODE_SCHEMA = ("round int, id int, feature int, threshold double, left int, righ
 DEEPEST = 8
 
 
-def _nodes(java, number: int, features: list[int], rate: float) -> list[tuple]:
-    """Rows of ``NODE_SCHEMA`` of one fitted tree."""
-    rows, todo = [], [(java.rootNode(), 0)]
-    taken = 1
-    while todo:
-        node, at = todo.pop()
-        cover = float(node.impurityStats().count())
-        if node.subtreeDepth() == 0:
-            value = rate * float(node.prediction())
-            rows.append((number, at, -1, 0.0, -1, -1, value, cover, 0.0))
-            continue
-        left, right, taken = taken, taken + 1, taken + 2
-        rows.append((number, at, features[node.split().featureIndex()], float(node.split().threshold()), left, right, 0.0,
-                     cover, float(node.gain())))
-        todo += [(node.leftChild(), left), (node.rightChild(), right)]
-    return sorted(rows, key=lambda r: r[1])
-
-
 @dataclass
 class BoostedTrees:
     """``nodes``: rows of ``NODE_SCHEMA``; at most rounds * 2^(depth + 1), whatever the number of rows."""
@@ -117,7 +97,7 @@ def walked(tree: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: str, size: int, rounds: int = 500, depth: int = 6,
         rate: float = 0.05, row_share: float = 0.8, column_share: float = 0.8, least_rows: int = 1, bins: int = 32,
-        patience: int | None = 30, block: int = 10, seed: int = 42) -> BoostedTrees:
+        patience: int | None = 30, block: int = 100, seed: int = 42) -> BoostedTrees:
     """Boosts on the rows where ``test`` is false; those where it is true decide when to stop.
 
     ``rows`` has ``features`` (a vector of ``size``), ``label`` (0/1), ``weight`` and ``key``.  ``patience`` rounds without
@@ -128,67 +108,38 @@ def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: s
     state, at = {"done": 0, "losses": []}, 0
     while path_exists(spark, f"{folder}/block-{at}/state/_SUCCESS"):
         state, at = json.loads(spark.read.text(f"{folder}/block-{at}/state").first().value), at + 1
-    kept = rows.select(key, label, weight, test, "features")
-
-    def behind(block: int) -> DataFrame:
-        """The rows with their margins after a block; the margins before each of its rounds are not read."""
-        scored = spark.read.parquet(f"{folder}/block-{block}/scored")
-        return scored.select(*kept.columns, "margin")
-
     if at:
-        current = behind(at - 1)
+        cuts = [np.array(c) for c in state["cuts"]]
     else:
-        positive = rows.where(~col(test)).agg(F.sum(F.when(col(label) == 1, col(weight)).otherwise(0)) / F.sum(weight)).scalar()
-        share = rows.sparkSession.range(1).select(positive).first()[0] or 0.5
-        state["start"] = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
-        current = kept.withColumn("margin", F.lit(state["start"]))
+        found = rows.agg(F.count("*").alias("n"), F.count_if(~col(test)).alias("train"), F.sum(F.when(~col(test), col(weight))).alias("all"),
+                         F.sum(F.when(~col(test) & (col(label) == 1), col(weight))).alias("pos")).first()
+        share = (found.pos or 0.0) / found.all if found.all else 0.5
+        cuts = histograms.borders(rows.where(~col(test)), key, found.train, size, bins)
+        state |= {"rows": found.n, "cuts": [c.tolist() for c in cuts],
+                  "start": float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0}
 
     def ended() -> bool:
         losses = state["losses"]
         return state["done"] >= rounds or bool(patience and losses and len(losses) - 1 - int(np.argmin(losses)) >= patience)
 
+    trees = [list(t) for b in range(at) for _, t in groupby(
+        sorted(tuple(r) for r in spark.read.parquet(f"{folder}/block-{b}/nodes").collect()), key=lambda r: r[0])]
+    held = None if ended() else histograms.Held(histograms.binned(rows, label, weight, test, key, cuts), cuts, state["rows"],
+                                                     folder)
     while not ended():
-        nodes, margins, before = [], current, None
-        steps = range(state["done"], min(rounds, state["done"] + block))
-        for number in steps:
-            columns = sorted(random.Random(f"{seed} {number}").sample(range(size), max(1, round(column_share * size))))
-            p = 1 / (1 + F.exp(-col("margin")))
-            curve = F.greatest(p * (1 - p), F.lit(1e-6))
-            drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(number), col(key)), F.lit(1000)) < int(1000 * row_share)
-            goal = margins.where(~col(test) & drawn).select(
-                "features", ((col(label) - p) / curve).alias("_goal"), (col(weight) * curve).alias("_pull"))
-            slicer = VectorSlicer(inputCol="features", outputCol="_some", indices=columns)
-            # the fit reads its rows three times before it keeps them in bins
-            ready = slicer.transform(goal).select("_some", "_goal", "_pull").persist()
-            tree = DecisionTreeRegressor(featuresCol="_some", labelCol="_goal", weightCol="_pull", maxDepth=depth, maxBins=bins,
-                                         minInstancesPerNode=least_rows, seed=seed, maxMemoryInMB=1024, cacheNodeIds=False).fit(ready)
-            ready.unpersist()
-            nodes += _nodes(tree._java_obj, number, columns, rate)
-            # the fit has read all margins, so those of the round before are no longer needed; without them in memory every
-            # round would walk all trees of its block again
-            if before is not None:
-                before.unpersist()
-            before = margins if number > steps[0] else None
-            margins = tree.setPredictionCol("_step").transform(slicer.transform(margins)).withColumns({
-                "margin": col("margin") + rate * col("_step"), f"_m{number}": col("margin")}).drop("_some", "_step").persist()
-        # column _m<n> holds the margin before round n; the last is the margin itself
-        target = f"{folder}/block-{at}"
-        spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{target}/nodes")
-        margins.write.mode("overwrite").parquet(f"{target}/scored")
-        for done in (before, margins):
-            if done is not None:
-                done.unpersist()
-        scored = spark.read.parquet(f"{target}/scored")
-        after = [f"_m{n + 1}" for n in steps[:-1]] + ["margin"]
-        sign = F.when(col(label) == 1, -1.0).otherwise(1.0)
-        loss = [F.avg(F.log1p(F.exp(F.least(sign * col(m), F.lit(500.0))))).alias(m) for m in after]
-        found = scored.where(col(test)).agg(*loss).first()
-        state = {**state, "done": steps[-1] + 1, "losses": state["losses"] + [found[m] if found[m] is not None else 0.0 for m in after]}
+        made, losses = held.boost(trees, state["start"], state["losses"], min(rounds, state["done"] + block), patience, depth, rate,
+                                  row_share, column_share, least_rows, seed)
+        target, first = f"{folder}/block-{at}", state["done"]
+        spark.createDataFrame([n for t in made for n in t], NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{target}/nodes")
+        spark.createDataFrame([(first + i, loss) for i, loss in enumerate(losses)], "round int, loss double").coalesce(1).write.mode(
+            "overwrite").parquet(f"{target}/scored")
+        state = {**state, "done": first + len(made), "losses": state["losses"] + losses}
         spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/state")
-        current, at = behind(at), at + 1
+        trees, at = trees + made, at + 1
+    if held is not None:
+        held.close()
     keep = int(np.argmin(state["losses"])) + 1 if patience and state["losses"] else state["done"]
-    every = chain.from_iterable(spark.read.parquet(f"{folder}/block-{b}/nodes").collect() for b in range(at))
-    return BoostedTrees(sorted(tuple(r) for r in every if r["round"] < keep), state["start"], size)
+    return BoostedTrees([n for t in trees[:keep] for n in t], state["start"], size)
 
 
 # --- contributions ---------------------------------------------------------------

@@ -50,6 +50,13 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as plain files see it, or None for one on another file system."""
+    fs, p = _locate(spark, path)
+    uri = fs.makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def load_best(spark: SparkSession, paths: list[str], **csv_options) -> DataFrame:
     """The first path that exists: ``*.csv`` with header (``csv_options`` such as a schema), else parquet."""
     for path in paths:

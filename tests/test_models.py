@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from forewarn import catalog
-from forewarn.operators import boosting, metrics, ml
+from forewarn.operators import boosting, histograms, metrics, ml
 from forewarn.sources.io import work_dir
 
 col = F.col
@@ -230,3 +230,44 @@ def test_a_round_walks_only_the_tree_before_it(spark, tmp_path):
     boosting.fit(rows, f"file://{tmp_path}/walk", "y", "LoanID", "w", "t", 8, rounds=4, block=4, patience=None)
     # once for the first tree and once for the margins that all later rounds go on from
     assert 200 < read.value <= 400
+
+
+def test_model_queries_boost_as_long_as_ml_fit(spark, sf):
+    catalog._training.cache_clear()
+    try:
+        training = catalog._training(spark.sparkContext.applicationId, sf)
+        assert (training.trees, training.forest, training.early_stop) == (500, 300, True)
+    finally:
+        catalog._training.cache_clear()
+
+
+def test_a_round_finds_the_best_cut_of_all(spark, tmp_path):
+    df = boosted_rows(spark, 300, 4)
+    got = boosting.fit(df, f"file://{tmp_path}/cut", "y", "LoanID", "w", "t", 4, rounds=1, depth=1, row_share=1.0, column_share=1.0,
+                       least_rows=20, bins=256, patience=None)
+    rows = [(list(r.features), r.y) for r in df.where("not t").collect()]
+    p = 1 / (1 + math.exp(-got.start))
+
+    def gain(f, cut):
+        sides = [[y for x, y in rows if (x[f] <= cut) == lower] for lower in (True, False)]
+        if min(map(len, sides)) < 20:
+            return -1.0
+        return sum(sum(y - p for y in s) ** 2 / (len(s) * p * (1 - p)) for s in sides)
+
+    best = max(gain(f, x[f]) for x, _ in rows for f in range(4))
+    root, *leaves = got.nodes
+    assert gain(root[2], root[3]) == pytest.approx(best)
+    lower = [y for x, y in rows if x[root[2]] <= root[3]]
+    assert leaves[0][6] == pytest.approx(0.05 * sum(y - p for y in lower) / (len(lower) * p * (1 - p)))
+    assert leaves[0][7] + leaves[1][7] == pytest.approx(root[7]) and len(leaves) == 2
+
+
+def test_tasks_of_a_barrier_stage_make_the_trees_of_one_task(spark, tmp_path, monkeypatch):
+    df = boosted_rows(spark, 400).repartition(6)
+    args = ("y", "LoanID", "w", "t", 8)
+    alone = boosting.fit(df, f"file://{tmp_path}/alone", *args, rounds=5, patience=None)
+    monkeypatch.setattr(histograms, "LEAST", 100)
+    several = boosting.fit(df, f"file://{tmp_path}/several", *args, rounds=5, patience=None)
+    assert [r[:6] for r in several.nodes] == [r[:6] for r in alone.nodes]
+    assert [v for r in several.nodes for v in r[6:]] == pytest.approx([v for r in alone.nodes for v in r[6:]])
+    assert {p.name for p in (tmp_path / "several").iterdir()} == {"block-0"}
