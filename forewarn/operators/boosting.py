@@ -54,12 +54,11 @@ class BoostedTrees:
 
     def margin(self, features: Column) -> Column:
         """Log odds, by batches of rows; ``features`` is a vector column."""
-        trees, start = self.trees(), self.start
+        trees, start = [_walked(t) for t in self.trees()], self.start
 
         @F.pandas_udf("double")
         def run(x: pd.Series) -> pd.Series:
-            rows = np.array(x.tolist(), np.float64).reshape(len(x), -1)
-            return pd.Series(start + sum((walked(t, rows) for t in trees), np.zeros(len(rows))))
+            return pd.Series(start + histograms.values_of(np.array(x.tolist(), np.float64).reshape(len(x), -1), trees))
 
         return run(vector_to_array(features))
 
@@ -86,13 +85,11 @@ class BoostedTrees:
         return cls(sorted(tuple(r) for r in spark.read.parquet(f"{path}/nodes").collect()), head.start, head["size"])
 
 
-def walked(tree: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The values of the leaves that ``rows`` fall into."""
-    at, every = np.zeros(len(rows), np.int64), np.arange(len(rows))
-    while (inner := tree["feature"][at] >= 0).any():
-        lower = rows[every, np.maximum(tree["feature"][at], 0)] <= tree["threshold"][at]
-        at = np.where(inner, np.where(lower, tree["left"][at], tree["right"][at]), at)
-    return tree["value"][at]
+def _walked(tree: dict[str, np.ndarray]) -> dict:
+    inner = tree["feature"] >= 0
+    if (tree["right"][inner] != tree["left"][inner] + 1).any():
+        raise ValueError("the right child must follow the left one")
+    return histograms.as_walked(tree["feature"], tree["threshold"], tree["left"], tree["value"])
 
 
 def fit(rows: DataFrame, folder: str, label: str, key: str, weight: str, test: str, size: int, rounds: int = 500, depth: int = 6,

@@ -9,9 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forewarn.functions import rules
-from forewarn.operators import boosting, metrics
+from forewarn.operators import boosting, forest as forests, metrics
 from forewarn.operators.tables import stratified_split
 from forewarn.sources.io import ensure_checkpoint_dir, work_dir
 
@@ -30,8 +28,9 @@ col = F.col
 NOT_FEATURES = {"LoanID", "customer_id", "name", "event_timestamp", "created_timestamp", "Default", "target",
                 "days_to_default", "delinquency_prob", "default_logit", "risk_score_v2", "risk_score",
                 "risk_category", "ensemble_probability"}
+_OWN = (boosting.BoostedTrees, forests.Forest)
 _READERS = {"booster_a": boosting.BoostedTrees, "booster_b": boosting.BoostedTrees,
-            "random_forest": RandomForestClassificationModel, "logistic": LogisticRegressionModel}
+            "random_forest": forests.Forest, "logistic": LogisticRegressionModel}
 
 
 def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -97,7 +96,7 @@ class EnsembleModel:
         """The same for rows that already carry the ``features`` vector."""
         out = self.scaler.transform(df) if "logistic" in self.models else df
         for name, model in self.models.items():
-            if isinstance(model, boosting.BoostedTrees):
+            if isinstance(model, _OWN):
                 out = out.withColumn(f"p_{name}", model.probability(col("features")))
             else:
                 out = model.transform(out).withColumn(f"p_{name}", vector_to_array(f"_prob_{name}")[1])
@@ -109,7 +108,7 @@ class EnsembleModel:
         self.prep.write().overwrite().save(f"{path}/prep")
         self.scaler.write().overwrite().save(f"{path}/scaler")
         for name, model in self.models.items():
-            (model if isinstance(model, boosting.BoostedTrees) else model.write().overwrite()).save(f"{path}/model-{name}")
+            (model if isinstance(model, _OWN) else model.write().overwrite()).save(f"{path}/model-{name}")
         spark = SparkSession.active()
         meta = json.dumps({"models": list(self.models), "threshold": self.threshold, "weights": self.weights,
                            "features": self.features})
@@ -125,7 +124,7 @@ class EnsembleModel:
     def importance(self, name: str = "booster_a") -> DataFrame:
         """Feature importance of a tree model, one row per feature, largest first."""
         model = self.models[name]
-        values = model.importance() if isinstance(model, boosting.BoostedTrees) else model.featureImportances.toArray()
+        values = model.importance() if isinstance(model, _OWN) else model.featureImportances.toArray()
         rows = [(f, float(v)) for f, v in zip(self.features, values)]
         return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(
             F.desc("importance"), "feature")
@@ -157,8 +156,7 @@ BOOSTERS = {"booster_a": dict(least_rows=5, seed=42), "booster_b": dict(bins=64,
 
 def estimator(name: str, label: str, n: int, forest: int):
     if name == "random_forest":
-        # every row's node in every tree is kept, or each level walks all trees from their roots again; histograms of 1 GB a
-        # task would not fit into an executor with several
+        # what ``forest.fit`` fits; Spark's own fit would keep every row's node and draws in all trees, some 2.5 KB a row
         return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="w_balanced", maxDepth=12,
                                       numTrees=forest, minInstancesPerNode=10, seed=42, maxMemoryInMB=256, cacheNodeIds=True,
                                       **_outputs(name))
@@ -208,8 +206,11 @@ class Training:
         if name in BOOSTERS:
             return boosting.fit(self.rows, f"{self.path}/{name}", self.label, self.key, "w_boost", "is_test", self.width, self.trees,
                                 patience=PATIENCE if self.early_stop else None, **BOOSTERS[name])
-        train = self.scaler.transform(self.train) if name == "logistic" else self.train
-        return estimator(name, self.label, self.n, self.forest).fit(train)
+        spec = estimator(name, self.label, self.n, self.forest)
+        if name == "random_forest":
+            return forests.fit(self.rows, f"{self.path}/{name}", self.label, self.key, spec.getWeightCol(), "is_test", self.width,
+                               spec.getNumTrees(), spec.getMaxDepth(), spec.getMinInstancesPerNode(), spec.getSeed(), spec.getMaxBins())
+        return spec.fit(self.scaler.transform(self.train))
 
     def _fit_behind(self, name: str, before: list[Future]):
         wait(before)

@@ -4,13 +4,14 @@ import threading
 from itertools import combinations
 from math import factorial
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from forewarn import catalog
-from forewarn.operators import boosting, histograms, metrics, ml
+from forewarn.operators import boosting, forest, histograms, metrics, ml
 from forewarn.sources.io import work_dir
 
 col = F.col
@@ -271,3 +272,52 @@ def test_tasks_of_a_barrier_stage_make_the_trees_of_one_task(spark, tmp_path, mo
     assert [r[:6] for r in several.nodes] == [r[:6] for r in alone.nodes]
     assert [v for r in several.nodes for v in r[6:]] == pytest.approx([v for r in alone.nodes for v in r[6:]])
     assert {p.name for p in (tmp_path / "several").iterdir()} == {"block-0"}
+
+
+def test_forest_draws_rows_by_their_keys_and_keeps_its_leaves_large(spark, tmp_path, monkeypatch):
+    df = boosted_rows(spark, 600).withColumn("w", F.when(col("y") == 1, 3.0).otherwise(0.5)).repartition(6)
+    args = ("y", "LoanID", "w", "t", 8, 6, 5, 10, 42)
+    alone = forest.fit(df, f"file://{tmp_path}/alone", *args)
+    monkeypatch.setattr(histograms, "LEAST", 100)
+    several = forest.fit(df.repartition(3), f"file://{tmp_path}/several", *args)
+    assert len(alone.trees) == 6 and not any((tmp_path / "several").iterdir())
+    for a, b in zip(alone.trees, several.trees):
+        assert all((a[n] == b[n]).all() for n in ("feature", "threshold", "left", "none", "hit"))
+        leaves, inner = a["feature"] < 0, np.flatnonzero(a["feature"] >= 0)
+        assert (a["none"] / 0.5 + a["hit"] / 3.0)[leaves].min() >= 10 and len(inner)
+        for n in ("none", "hit"):
+            assert a[n][inner] == pytest.approx(a[n][a["left"][inner]] + a[n][a["left"][inner] + 1])
+    # each tree has its own rows
+    assert len({t["none"][0] for t in alone.trees}) > 1
+    hits = df.where("t").select("y", alone.probability(F.col("features")).alias("p"))
+    assert metrics.roc_auc(hits, "p", "y").first().auc > 0.75
+    assert sum(alone.importance()) == pytest.approx(1) and max(alone.importance()[:3]) > max(alone.importance()[3:])
+    alone.save(f"file://{tmp_path}/saved")
+    back = forest.Forest.load(f"file://{tmp_path}/saved")
+    x = F.col("features")
+    assert df.where(F.abs(alone.probability(x) - back.probability(x)) > 1e-12).count() == 0
+
+
+def test_a_node_of_the_forest_is_cut_where_the_weighted_gini_impurity_falls_most():
+    r = np.random.default_rng(5)
+    counts, weights = r.integers(0, 9, (3, 4, 6, 2)).astype(float), (0.7, 2.0)
+    asked = np.array([[0, 1, 2, 3]] * 3)
+    counts[1] = counts[1, :1]
+    # all features hold the same rows
+    for f in range(1, 4):
+        counts[:, f] = r.permuted(counts[:, 0], axis=1)
+        counts[:, f, :, 1] += (counts[:, 0, :, 1].sum(axis=1) - counts[:, f, :, 1].sum(axis=1))[:, None] / 6
+        counts[:, f, :, 0] += (counts[:, 0, :, 0].sum(axis=1) - counts[:, f, :, 0].sum(axis=1))[:, None] / 6
+    got = histograms.purest(counts, asked, np.array([6, 6, 6, 6]), weights, 8)
+
+    def impurity(c):
+        w = c * weights
+        return 0.0 if not w.sum() else w.sum() * (1 - ((w / w.sum()) ** 2).sum())
+
+    for node in range(3):
+        all_ = counts[node, 0].sum(axis=0)
+        sides = {(f, b): (counts[node, f, :b + 1].sum(axis=0), counts[node, f, b + 1:].sum(axis=0)) for f in range(4) for b in range(5)}
+        want = max(impurity(all_) - impurity(a) - impurity(b) for a, b in sides.values() if min(a.sum(), b.sum()) >= 8)
+        a, b = sides[int(got[node, 0]), int(got[node, 1])]
+        assert got[node, 2] == pytest.approx(want) == pytest.approx(impurity(all_) - impurity(a) - impurity(b))
+        assert got[node, 3:5] == pytest.approx(a) and got[node, 5:7] == pytest.approx(all_)
