@@ -196,32 +196,75 @@ def _looked_up(paths: list[tuple[float, dict]]) -> tuple[np.ndarray, ...]:
     return feature, above, upto, part
 
 
+def _tables(tree: dict[str, np.ndarray]) -> dict:
+    """What contributions of one tree look up: a table for each subtree of its lowest two levels (up to four leaves).
+
+    A row's place in a table has a bit for each inner node above, whether the row follows the path to the subtree, and one for each
+    inner node inside, whether it goes left; the table holds the sums over the subtree's leaves, feature by feature.
+    """
+    paths, steps, todo, depth = leaf_paths(tree), [], [(0, [])], 0
+    while todo:  # in the order of leaf_paths
+        at, way = todo.pop()
+        if tree["feature"][at] < 0:
+            steps.append(way)
+            depth = max(depth, len(way))
+            continue
+        todo += [(int(tree["left"][at]), [*way, (at, True)]), (int(tree["right"][at]), [*way, (at, False)])]
+    *_, part = _looked_up(paths)
+    wide, top, found = part.shape[2], max(0, depth - 2), {}
+    for leaf, way in enumerate(steps):
+        found.setdefault(tuple(way[:top]), []).append(leaf)
+    subtrees = []
+    for above, leaves in found.items():
+        inner = sorted({n for leaf in leaves for n, _ in steps[leaf][top:]})
+        bit = {n: i for i, n in enumerate([n for n, _ in above] + inner)}
+        places = np.arange(1 << len(bit))
+        features = sorted({f for leaf in leaves for f in paths[leaf][1]})
+        table = np.zeros((len(features), len(places)))
+        for leaf in leaves:
+            path = paths[leaf][1]
+            met = np.full(len(places), (1 << wide) - (1 << len(path)))  # places that only fill the path are always met
+            for j, f in enumerate(path):
+                inside = np.ones(len(places), bool)
+                for i, (n, left) in enumerate(steps[leaf]):
+                    if tree["feature"][n] == f:
+                        inside &= (places >> bit[n] & 1 == 1) == (left or i < top)
+                met |= inside.astype(np.int64) << j
+            for j, f in enumerate(path):
+                table[features.index(f)] += part[leaf, :, j].take(met)
+        subtrees.append((above, inner, features, table))
+    nodes = [(n, int(tree["feature"][n]), float(tree["threshold"][n])) for n in np.flatnonzero(tree["feature"] >= 0).tolist()]
+    return {"nodes": nodes, "subtrees": subtrees}
+
+
 def contributions(df: DataFrame, model: BoostedTrees, names: list[str], keep=("LoanID",), features: str = "features") -> DataFrame:
     """Exact path-dependent Shapley values of every row's log odds: keep, base_value, contributions, risk_probability.
 
     ``contributions`` is an array of (feature, impact, value) in the order of ``names``; the impacts and ``base_value``, the
     cover-weighted mean of the trees, add up to the margin.  One pass over the rows, in batches; nothing is shuffled.
     """
-    trees = [leaf_paths(t) for t in model.trees()]
-    base = model.start + sum(v * np.prod([b[2] for b in p.values()]) for t in trees for v, p in t)
+    trees = model.trees()
+    base = model.start + sum(v * np.prod([b[2] for b in p.values()]) for t in trees for v, p in leaf_paths(t))
+    tables = [_tables(t) for t in trees]
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         rows = np.array(x.tolist(), np.float64).reshape(len(x), -1)
         # by columns: each step runs through neighbouring numbers
         columns, out = np.ascontiguousarray(rows.T), np.zeros((len(names), len(rows)))
-        for paths in trees:
-            feature, *_, part = _looked_up(paths)
-            for leaf, (_, path) in enumerate(paths):
-                # places that only fill the path are always met
-                met = np.full(len(rows), (1 << feature.shape[1]) - (1 << len(path)))
-                for j, (f, (above, upto, _)) in enumerate(path.items()):
-                    inside = columns[f] <= upto
-                    if above > -np.inf:
-                        inside &= columns[f] > above
-                    met |= inside.astype(np.int64) << j
-                for j, f in enumerate(path):
-                    out[f] += part[leaf, :, j].take(met)
+        for tree in tables:
+            left = {n: (columns[f] <= cut).astype(np.uint16) for n, f, cut in tree["nodes"]}
+            ways = {(): np.zeros(len(rows), np.uint16)}
+            for above, inner, some, table in tree["subtrees"]:
+                for i, (n, lower) in enumerate(above):
+                    if above[:i + 1] not in ways:
+                        ways[above[:i + 1]] = ways[above[:i]] | ((left[n] if lower else left[n] ^ 1) << i)
+                at = ways[above]
+                for i, n in enumerate(inner, len(above)):
+                    at = at | (left[n] << i)
+                at = at.astype(np.intp)
+                for f, part in zip(some, table):
+                    out[f] += part.take(at)
         return pd.Series(list(np.ascontiguousarray(out.T)))
 
     values = vector_to_array(features)

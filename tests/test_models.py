@@ -321,3 +321,23 @@ def test_a_node_of_the_forest_is_cut_where_the_weighted_gini_impurity_falls_most
         a, b = sides[int(got[node, 0]), int(got[node, 1])]
         assert got[node, 2] == pytest.approx(want) == pytest.approx(impurity(all_) - impurity(a) - impurity(b))
         assert got[node, 3:5] == pytest.approx(a) and got[node, 5:7] == pytest.approx(all_)
+
+
+def test_contributions_look_up_a_subtree_at_once():
+    # 64 leaves over three features, so that every path meets features again
+    rows, r = [], random.Random(3)
+    for i in range(127):
+        rows.append((0, i, i % 3, r.random(), 2 * i + 1, 2 * i + 2, 0.0, 0.0, 1.0) if i < 63 else (0, i, -1, 0.0, -1, -1, r.random(), 10.0, 0.0))
+    for i in range(62, -1, -1):
+        rows[i] = (*rows[i][:7], rows[2 * i + 1][7] + rows[2 * i + 2][7], 1.0)
+    tree = boosting.BoostedTrees(rows, 0.0, 3).trees()[0]
+    tables = boosting._tables(tree)["subtrees"]
+    assert len(tables) == 16 and all(t.shape[1] == 2 ** 7 for *_, t in tables)
+    for _ in range(5):
+        x = [r.random() for _ in range(3)]
+        got = np.zeros(3)
+        for above, inner, features, table in tables:
+            lower = [(x[tree["feature"][n]] <= tree["threshold"][n]) == left for n, left in [*above, *((n, True) for n in inner)]]
+            for f, part in zip(features, table):
+                got[f] += part[sum(b << i for i, b in enumerate(lower))]
+        assert got == pytest.approx(shapley_by_definition(tree, x, range(3)), abs=1e-12)
